@@ -84,7 +84,9 @@ def format_pace_min_per_km(pace: ColumnOrName) -> Column:
     """Decimal minutes -> ``m:s`` with no zero padding (may print ``:60``)."""
     p = _c(pace).cast("double")
     whole = F.floor(p)
-    frac_seconds = ((p - whole) * F.lit(60.0)).cast("bigint")
+    # double -> bigint casts round (half to even) in the SQL dialect the
+    # macro was written for, hence rint rather than a truncating cast.
+    frac_seconds = F.rint((p - whole) * F.lit(60.0)).cast("bigint")
     return F.when(p.isNull(), F.lit(None).cast("string")).otherwise(
         F.concat(whole.cast("bigint").cast("string"), F.lit(":"), frac_seconds.cast("string"))
     )
@@ -152,7 +154,7 @@ def session_title(first_message: ColumnOrName, max_length: int = 60) -> Column:
 def strip_py(text: ColumnOrName) -> Column:
     """Python ``str.strip()`` over the same whitespace set."""
     return F.regexp_replace(
-        _c(text), "^" + PY_WHITESPACE_CLASS + "+|" + PY_WHITESPACE_CLASS + "+$", ""
+        _c(text), "^" + PY_WHITESPACE_CLASS + "+|" + PY_WHITESPACE_CLASS + "+\\z", ""
     )
 
 

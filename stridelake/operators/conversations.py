@@ -198,7 +198,7 @@ def llm_run_usage(prompt_tokens: Column, completion_tokens: Column) -> Column:
 
 
 def _rstrip_py(c: Column) -> Column:
-    return F.regexp_replace(c, PY_WHITESPACE_CLASS + "+$", "")
+    return F.regexp_replace(c, PY_WHITESPACE_CLASS + "+\\z", "")
 
 
 def prompt_assembly(

@@ -104,9 +104,8 @@ def date_range(spark: SparkSession, start_date: str | None, end_date: str | None
     end = _dt.date.fromisoformat(end_date)
     if start > end:
         raise ValueError("start_date must be less than or equal to end_date.")
-    return spark.range(1).select(
-        F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 day"))).cast("string").alias("run_date")
-    )
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 day"))).alias("d"))
+    return days.select(F.col("d").cast("string").alias("run_date"))
 
 
 def backfill_dates(

@@ -273,3 +273,6 @@ def q_batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = _landing.batch_counts(_staged(spark, sf_dir, asset), asset)
         out = c if out is None else out.unionByName(c)
     return out
+
+
+from . import query_ops  # noqa: E402,F401  (registers the remaining queries)
