@@ -77,12 +77,14 @@ def _records_generic(doc: Column, kind: str, extract: dict, raw: Column) -> Colu
     raise ValueError(kind)
 
 
-def _records_descriptor(doc: Column, extract: dict, mapping: list[dict], context: dict[str, Column], raw: Column) -> Column:
+def _records_descriptor(doc: Column, extract: dict, mapping: list[dict], context: dict[str, Column], raw: Column) -> tuple[dict[str, Column], Column]:
     """Measurements x metric values, each labelled by its descriptor.
 
     Descriptors: objects with an integer index; a later duplicate index
-    wins. A value whose position has no descriptor keeps NULL key/unit.
-    Positions are kept even when an earlier measurement is skipped.
+    wins. They are reduced once per document to an index -> (key, unit) map;
+    each value then costs one map lookup. A value whose position has no
+    descriptor keeps NULL key/unit. Positions are kept even when an earlier
+    measurement is skipped (not an object, or no list of values).
     """
     empty_v = F.array().cast("array<variant>")
     descs_raw = F.try_variant_get(doc, _json_path(extract["schema_path"]), "array<variant>")
@@ -94,61 +96,82 @@ def _records_descriptor(doc: Column, extract: dict, mapping: list[dict], context
     meas_ok = has_meas.isNull() | meas.isNotNull()
 
     idx_field = _json_path(extract["schema_index_field"])
+    key_path = _json_path(extract["schema_key_field"])
+    unit = extract.get("schema_unit_path")
+    none_v = F.lit(None).cast("variant")
+    # Non-objects have no fields, so a NULL index also drops them.
     descs = F.filter(
         F.transform(
             F.coalesce(descs_raw, empty_v),
             lambda d: F.struct(
                 F.try_variant_get(d, idx_field, "bigint").alias("idx"),
-                _is_object(d).alias("obj"),
-                d.alias("d"),
+                F.try_variant_get(d, key_path, "variant").alias("key"),
+                (F.try_variant_get(d, _json_path(unit) + "['key']", "variant") if unit else none_v).alias("unit_key"),
+                (F.try_variant_get(d, _json_path(unit) + "['factor']", "variant") if unit else none_v).alias("unit_factor"),
             ),
         ),
-        lambda x: x["obj"] & x["idx"].isNotNull(),
+        lambda x: x["idx"].isNotNull(),
+    )
+    last_wins = F.filter(
+        F.transform(descs, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
+        lambda y: ~F.exists(F.slice(descs, y["i"] + 2, F.size(descs) + 1), lambda z: z["idx"] == y["x"]["idx"]),
+    )
+    by_index = F.map_from_entries(
+        F.transform(
+            last_wins,
+            lambda y: F.struct(
+                y["x"]["idx"].alias("k"),
+                F.struct(y["x"]["key"].alias("key"), y["x"]["unit_key"].alias("unit_key"),
+                         y["x"]["unit_factor"].alias("unit_factor")).alias("v"),
+            ),
+        )
     )
-    key_path = _json_path(extract["schema_key_field"])
-    unit = extract.get("schema_unit_path")
     values_path = _json_path(extract["values_path"])
+    mapped = {c["target"] for c in mapping}
+    # Per-document values become columns first; lambdas below only reference
+    # them (an expression captured by a lambda is re-evaluated per element).
+    shape = _doc_kind(raw)
+    pre = {
+        "_dmap": by_index,
+        "_meas": F.when((shape == "{") & descs_ok & meas_ok, F.coalesce(meas, empty_v)),
+    }
+    by_index = F.col("_dmap")
+
+    def record(x: Column, mi: Column) -> Column:
+        resolved = {
+            "measurement_index": mi.cast("bigint").cast("variant"),
+            "metric_index": x["ki"].cast("bigint").cast("variant"),
+            "metric_key": x["dsc"]["key"],
+            "metric_value": x["val"],
+            "unit_key": x["dsc"]["unit_key"],
+            "unit_factor": x["dsc"]["unit_factor"],
+        }
+        fields = []
+        for col in mapping:
+            t = col["target"]
+            src = context[t] if t in context else resolved.get(col["source"])
+            if src is None:
+                value = F.lit(None).cast(DTYPES[col["dtype"]])
+            elif col["dtype"] == "json":
+                value = F.to_json(src)
+            else:
+                value = F.try_variant_get(src, "$", DTYPES[col["dtype"]])
+            fields.append(value.alias(t))
+        for t, v in context.items():
+            if t not in mapped:
+                fields.append(F.try_variant_get(v, "$", "string").alias(t))
+        return F.struct(*fields)
 
     def per_measurement(m: Column, mi: Column) -> Column:
         vals = F.try_variant_get(m, values_path, "array<variant>")
-
-        def per_value(val: Column, ki: Column) -> Column:
-            d = F.try_element_at(F.filter(descs, lambda x: x["idx"] == ki.cast("bigint")), F.lit(-1))["d"]
-            resolved = {
-                "measurement_index": mi.cast("bigint").cast("variant"),
-                "metric_index": ki.cast("bigint").cast("variant"),
-                "metric_key": F.try_variant_get(d, key_path, "variant"),
-                "metric_value": val,
-                "unit_key": F.try_variant_get(d, _json_path(unit) + "['key']", "variant") if unit else F.lit(None).cast("variant"),
-                "unit_factor": F.try_variant_get(d, _json_path(unit) + "['factor']", "variant") if unit else F.lit(None).cast("variant"),
-            }
-            fields = []
-            for col in mapping:
-                t = col["target"]
-                if t in context:
-                    src = context[t]
-                else:
-                    src = resolved.get(col["source"])
-                if src is None:
-                    value = F.lit(None).cast(DTYPES[col["dtype"]])
-                elif col["dtype"] == "json":
-                    value = F.to_json(src)
-                else:
-                    value = F.try_variant_get(src, "$", DTYPES[col["dtype"]])
-                fields.append(value.alias(t))
-            mapped = {c["target"] for c in mapping}
-            for t, v in context.items():
-                if t not in mapped:
-                    fields.append(F.try_variant_get(v, "$", "string").alias(t))
-            return F.struct(*fields)
-
-        return F.when(
-            _is_object(m) & vals.isNotNull(), F.transform(vals, per_value)
+        labelled = F.transform(
+            vals,
+            lambda val, ki: F.struct(val.alias("val"), ki.alias("ki"), F.try_element_at(by_index, ki.cast("bigint")).alias("dsc")),
         )
+        return F.transform(labelled, lambda x: record(x, mi))
 
-    rows = F.flatten(F.filter(F.transform(F.coalesce(meas, empty_v), per_measurement), lambda a: a.isNotNull()))
-    shape = _doc_kind(raw)
-    return F.when((shape == "{") & descs_ok & meas_ok, rows)
+    rows = F.flatten(F.filter(F.transform(F.col("_meas"), per_measurement), lambda a: a.isNotNull()))
+    return pre, rows
 
 
 def extract_documents(docs: DataFrame, asset: dict) -> DataFrame:
@@ -169,19 +192,32 @@ def extract_documents(docs: DataFrame, asset: dict) -> DataFrame:
             if src
             else F.lit(None).cast("variant")
         )
-        context[ck["target"]] = ctx_val
+        parsed = parsed.withColumn("_ctx0", ctx_val)
+        context[ck["target"]] = F.col("_ctx0")
 
+    pre: dict[str, Column] = {}
     if kind == "descriptor_metrics":
-        records = _records_descriptor(doc, extract, mapping, context, F.col("value"))
+        pre, records = _records_descriptor(doc, extract, mapping, context, F.col("value"))
     else:
         recs = _records_generic(doc, kind, extract, F.col("value"))
         records = F.transform(recs, lambda r: _map_record(r, mapping, context))
+    for name, expr in pre.items():
+        parsed = parsed.withColumn(name, expr)
+    helper_cols = [c for c in parsed.columns if c.startswith("_")]
 
     target_types = ", ".join(
         f"`{c['target']}`: {DTYPES[c['dtype']]}" for c in mapping
     ) + "".join(f", `{t}`: string" for t in context if t not in {c["target"] for c in mapping})
     empty = F.array().cast(f"array<struct<{target_types}>>")
-    out = parsed.withColumn("records", F.coalesce(records, empty))
+    # The helper columns are referenced inside lambdas. One more reference
+    # outside the lambdas makes the optimizer keep them as computed columns
+    # (evaluated once per document) instead of inlining them into the lambda
+    # body, where they would be re-evaluated for every element.
+    keep = F.lit(True)
+    for c in helper_cols:
+        if c != "_doc":
+            keep = keep & (F.isnull(F.col(c)) | F.isnotnull(F.col(c)))
+    out = parsed.withColumn("records", F.when(keep, F.coalesce(records, empty)))
     required = [c["target"] for c in mapping if c.get("required")]
 
     def has_violation(r: Column) -> Column:
@@ -191,4 +227,4 @@ def extract_documents(docs: DataFrame, asset: dict) -> DataFrame:
         return cond
 
     out = out.withColumn("valid", ~F.exists("records", has_violation))
-    return out.drop("_doc")
+    return out.drop(*helper_cols)

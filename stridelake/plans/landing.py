@@ -35,10 +35,18 @@ class MalformedDocumentError(ValueError):
     pass
 
 
-def stage_documents(docs: DataFrame, asset: dict) -> DataFrame:
-    """Snapshot filter + extraction; one row per file kept."""
+def stage_documents(docs: DataFrame, asset: dict, spread: int | None = None) -> DataFrame:
+    """Snapshot filter + extraction; one row per file kept.
+
+    Extraction is CPU-heavy per document. File scans already split work by
+    file; documents produced by an upstream shuffle can arrive coalesced
+    into few tasks, so ``spread`` re-distributes them by file name (a
+    deterministic hash, safe to recompute) over that many tasks first.
+    """
     if asset["extract"]["payload_kind"] == "list":
         docs = latest_snapshot_file(docs)
+    if spread:
+        docs = docs.repartition(spread, "source_file")
     return extract_documents(docs, asset)
 
 
@@ -48,8 +56,11 @@ def landing_rows(staged: DataFrame, asset: dict, clock: _dt.datetime, valid: boo
     ck = (asset["extract"].get("context_key") or {}).get("target")
     if ck and ck not in targets:
         targets.append(ck)
-    kept = staged.filter(F.col("parsed") & (F.col("valid") == F.lit(valid)))
-    rows = kept.select("dt", "source_file", F.explode("records").alias("r"))
+    # The file choice sits inside the generator rather than in a Filter: a
+    # Filter on ``valid`` would be pushed below the projection that builds
+    # ``records`` and re-evaluate the whole extraction in its condition.
+    chosen = F.when(F.col("parsed") & (F.col("valid") == F.lit(valid)), F.col("records"))
+    rows = staged.select("dt", "source_file", F.explode(chosen).alias("r"))
     return rows.select(
         *[F.col(f"r.`{t}`").alias(t) for t in targets],
         F.lit(clock.isoformat()).alias("ingested_at"),

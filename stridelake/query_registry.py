@@ -115,7 +115,8 @@ _CLOCK_COLS = "'2024-01-01T00:00:00' as ingested_at, '2024-01-01' as ingestion_d
 
 def _staged(spark: SparkSession, sf_dir: str, asset: str) -> DataFrame:
     docs = _raw_docs.DOCUMENT_SOURCES[asset](spark, sf_dir)
-    return _landing.stage_documents(docs, DEFAULT_LANDING_CONFIG["assets"][asset])
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _landing.stage_documents(docs, DEFAULT_LANDING_CONFIG["assets"][asset], spread=spread)
 
 
 def _landed(spark: SparkSession, sf_dir: str, asset: str, valid: bool = True) -> DataFrame:
