@@ -24,6 +24,12 @@ DEFAULT_CONF: dict[str, str] = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.mergeSchema": "false",
     "spark.ui.enabled": "false",
+    # Raw payload names embed ISO times ("activities_2024-03-02T08:00:00.json").
+    # The local filesystem's checksum wrapper cannot derive ".crc" paths for
+    # names with ':'; the raw local filesystem (no checksums) reads them.
+    # Object stores have no checksum files, so clusters are unaffected.
+    "spark.hadoop.fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem",
+    "spark.hadoop.fs.file.impl.disable.cache": "true",
 }
 
 
