@@ -111,7 +111,7 @@ def run_checks(tables: dict[str, DataFrame], checks: tuple[Check, ...] = CHECKS)
     """One row per check: model, test, column_name, failures."""
     parts = []
     for ch in checks:
-        if ch.model not in tables:
+        if ch.model not in tables or (ch.parent is not None and ch.parent not in tables):
             continue
         parts.append(
             failing_rows(ch, tables).agg(F.count(F.lit(1)).cast("bigint").alias("failures")).select(
