@@ -10,7 +10,8 @@ distributed steps:
    partial aggregate, so only counts cross the network;
 2. running sum of chunk counts per group -> start offset of each chunk
    (a window over the small count table);
-3. ``row_number`` inside each (group, chunk) plus the chunk's offset.
+3. ``row_number`` inside each (group, chunk) plus the chunk's offset
+   (joined on (group, chunk), the partitioning the window already has).
 
 The result equals the plain window whenever the chunk is non-decreasing in
 the ordering and the ordering is total.
@@ -21,7 +22,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import bounded_broadcast
 
 
 def ordinal_within_group(
@@ -46,7 +46,9 @@ def ordinal_within_group(
     local = chunked.withColumn(
         "_local", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_cols))
     )
-    offsets = bounded_broadcast(offsets)
+    # ``local`` is already hash-partitioned on (group, chunk) by its window,
+    # so a shuffle join moves only the small offsets table; AQE turns it into
+    # a broadcast at run time when its measured size allows.
     cond = None
     for k in keys:
         c = local[k].eqNullSafe(offsets[k])

@@ -12,6 +12,7 @@ executors: downstream stages recompute from the written table).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,27 +21,51 @@ from . import gold, silver
 
 
 class TrainingModels:
+    """Source frames may be DataFrames or zero-argument loaders (built on first use)."""
+
+    SOURCES = ("activities", "splits", "activity_details", "workouts")
+
     def __init__(
         self,
-        activities: DataFrame,
-        splits: DataFrame,
-        activity_details: DataFrame,
-        workouts: DataFrame,
+        activities: DataFrame | Callable[[], DataFrame],
+        splits: DataFrame | Callable[[], DataFrame],
+        activity_details: DataFrame | Callable[[], DataFrame],
+        workouts: DataFrame | Callable[[], DataFrame],
     ) -> None:
-        self.activities = activities
-        self.splits = splits
-        self.activity_details = activity_details
-        self.workouts = workouts
+        self._sources = dict(zip(self.SOURCES, (activities, splits, activity_details, workouts)))
+
+    def _source(self, name: str) -> DataFrame:
+        src = self._sources[name]
+        if not isinstance(src, DataFrame):
+            src = src()
+            self._sources[name] = src
+        return src
+
+    @property
+    def activities(self) -> DataFrame:
+        return self._source("activities")
+
+    @property
+    def splits(self) -> DataFrame:
+        return self._source("splits")
+
+    @property
+    def activity_details(self) -> DataFrame:
+        return self._source("activity_details")
+
+    @property
+    def workouts(self) -> DataFrame:
+        return self._source("workouts")
 
     @classmethod
     def from_fixtures(cls, spark: SparkSession, sf_dir: str) -> "TrainingModels":
         from ..sources import fixtures
 
         return cls(
-            fixtures.activities(spark, sf_dir),
-            fixtures.splits(spark, sf_dir),
-            fixtures.activity_details(spark, sf_dir),
-            fixtures.workouts(spark, sf_dir),
+            lambda: fixtures.activities(spark, sf_dir),
+            lambda: fixtures.splits(spark, sf_dir),
+            lambda: fixtures.activity_details(spark, sf_dir),
+            lambda: fixtures.workouts(spark, sf_dir),
         )
 
     # silver -----------------------------------------------------------------

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import bounded_broadcast
 
 
 def scan_raw(
@@ -43,4 +42,5 @@ def latest_snapshot_file(docs: DataFrame) -> DataFrame:
     tiny aggregate (one row per day) joined back as a semi join.
     """
     latest = docs.groupBy("dt").agg(F.max("source_file").alias("source_file"))
-    return docs.join(bounded_broadcast(latest), ["dt", "source_file"], "left_semi")
+    # One row per day: AQE broadcasts it at run time from its measured size.
+    return docs.join(latest, ["dt", "source_file"], "left_semi")
