@@ -336,6 +336,13 @@ def workout_names(planned: DataFrame) -> DataFrame:
 
 
 def running_workout_results(run_splits: DataFrame, planned: DataFrame) -> DataFrame:
+    # Both branches start from the same projection of the laps, so their
+    # upstream plans are identical and the shuffle feeding them is computed
+    # once and reused (AQE stage cache) instead of once per branch.
+    run_splits = run_splits.select(
+        "activity_id", "workout_id", "run_date", "step_type", "workout_step_index", "average_speed_ms",
+        "split_index", "split_pace", "duration_sec", "distance_m", "average_hr",
+    )
     wc = warmup_cooldown_agg(run_splits)
     names = bounded_broadcast(workout_names(planned))
     is_warmup = F.col("step_type") == "warmup"

@@ -67,11 +67,18 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     order_w = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"
     )
-    x = joined.select(
-        F.col("l_orderkey").alias("activity_id"),
-        F.col("l_shipdate").cast("string").alias("start_time_gmt"),
+    # Number the lines on the raw columns; text columns are derived after
+    # the window so the shuffle carries narrow rows.
+    numbered = joined.select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "o_orderdate",
         (F.row_number().over(order_w) - 1).cast("bigint").alias("message_index"),
         F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).alias("n"),
+    )
+    x = numbered.select(
+        F.col("l_orderkey").alias("activity_id"),
+        F.col("l_shipdate").cast("string").alias("start_time_gmt"),
+        "message_index",
+        "n",
         (F.col("l_quantity") * F.lit(50.0)).alias("distance"),
         (F.col("l_quantity") * F.lit(20.0)).alias("duration"),
         (F.lit(2.0) + F.col("l_linenumber") / F.lit(8.0)).alias("average_speed"),
