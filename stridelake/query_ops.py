@@ -13,6 +13,7 @@ from .operators.incremental import incremental_filter, upsert
 from .oracle import _q
 from .plans import bronze
 from .plans.pipeline import TrainingModels
+from .query_registry import _SPLIT_DOCS as _SPLIT_DOCS_TEXT
 from .query_registry import register
 from .sources import fixtures
 from .sources.tables import read_table
@@ -465,3 +466,32 @@ def q_backfill_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = fixtures.activities(spark, sf_dir).filter(F.col("activity_type") == "running").select(F.col("run_date").alias("dt"))
     s = fixtures.splits(spark, sf_dir).filter(F.col("intensity_type") == "INTERVAL").select(F.col("run_date").alias("dt"))
     return ingest.backfill_dates(spark, "1996-01-01", "1996-03-31", a.union(s))
+
+
+@register(
+    "session_messages",
+    "select session_id, created_at, role, content, "
+    "cast(row_number() over (partition by session_id order by created_at) - 1 as bigint) as position from t_messages",
+)
+def q_session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session's full transcript as rows, with the chronological position."""
+    return conv.with_positions(_messages(spark, sf_dir)).select("session_id", "created_at", "role", "content", "position")
+
+
+@register(
+    "run_summary",
+    """
+with c as (select 'splits' as asset, run_date, valid, n from (""" + _SPLIT_DOCS_TEXT + """ select * from files) x)
+select 'splits' as assets, cast(sum(case when valid then n else 0 end) as bigint) as rows_valid,
+ cast(sum(case when valid then 0 else n end) as bigint) as rows_invalid, cast(0 as bigint) as quarantine_files,
+ cast(count(distinct case when valid then run_date end) as bigint) as staged_files
+from c""",
+)
+def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run totals over the per-day counts of a landing run (here: the laps asset)."""
+    from .plans import landing as _landing
+    from .query_registry import _staged
+
+    counts = _landing.batch_counts(_staged(spark, sf_dir, "splits"), "splits")
+    s = _landing.run_summary(counts)
+    return s.select(F.array_join("assets", ",").alias("assets"), "rows_valid", "rows_invalid", "quarantine_files", "staged_files")

@@ -44,3 +44,12 @@ def latest_snapshot_file(docs: DataFrame) -> DataFrame:
     latest = docs.groupBy("dt").agg(F.max("source_file").alias("source_file"))
     # One row per day: AQE broadcasts it at run time from its measured size.
     return docs.join(latest, ["dt", "source_file"], "left_semi")
+
+
+def landing_scan(spark: SparkSession, landing_path: str, asset: str) -> DataFrame:
+    """A landing table: every ``dt=`` partition, columns unified by name.
+
+    ``mergeSchema`` lets partitions written before a column was added be
+    read together with newer ones (missing columns read as NULL).
+    """
+    return spark.read.option("mergeSchema", "true").parquet(f"{landing_path.rstrip('/')}/{asset}")
