@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import cast_int_half_even, format_duration, format_pace_from_speed, round2
-from ..operators.joins import bounded_broadcast
+from ..operators.joins import bounded_broadcast, fits_broadcast
 
 # Sensor metrics kept by the pivot, and their output names.
 PIVOT_METRICS = (
@@ -275,21 +275,26 @@ def warmup_cooldown_agg(run_splits: DataFrame) -> DataFrame:
     )
 
 
-def workout_interval_match(run_splits: DataFrame, planned: DataFrame) -> DataFrame:
-    """Laps matched to planned steps on (workout_id, lap index)."""
-    steps = bounded_broadcast(
-        planned.select(
-            "workout_id",
-            "garmin_step_index",
-            "workout_name",
-            "step_type",
-            "target_goal",
-            "target_distance_m",
-            "target_time_sec",
-            "target_pace_lower_range",
-            "target_pace_upper_range",
-        )
-    ).alias("w")
+PLANNED_STEP_COLUMNS = (
+    "workout_id",
+    "garmin_step_index",
+    "workout_name",
+    "step_type",
+    "target_goal",
+    "target_distance_m",
+    "target_time_sec",
+    "target_pace_lower_range",
+    "target_pace_upper_range",
+)
+
+
+def workout_interval_match(run_splits: DataFrame, planned: DataFrame, checked: bool = False) -> DataFrame:
+    """Laps matched to planned steps on (workout_id, lap index).
+
+    ``checked=True``: ``planned`` is already a size-checked broadcast side.
+    """
+    steps = planned.select(*PLANNED_STEP_COLUMNS)
+    steps = (F.broadcast(steps) if checked else bounded_broadcast(steps)).alias("w")
     s = run_splits.filter(~F.col("step_type").isin(*WARMUP_COOLDOWN)).alias("s")
     cond = (F.col("s.workout_id") == F.col("w.workout_id")) & (
         F.col("s.workout_step_index") == F.col("w.garmin_step_index")
@@ -344,7 +349,12 @@ def running_workout_results(run_splits: DataFrame, planned: DataFrame) -> DataFr
         "split_index", "split_pace", "duration_sec", "distance_m", "average_hr",
     )
     wc = warmup_cooldown_agg(run_splits)
-    names = bounded_broadcast(workout_names(planned))
+    # One size check covers both broadcast sides: the name table is an
+    # aggregate of the planned steps, so it is never larger than they are.
+    steps = planned.select(*PLANNED_STEP_COLUMNS)
+    small = fits_broadcast(steps)
+    names = workout_names(steps)
+    names = F.broadcast(names) if small else names
     is_warmup = F.col("step_type") == "warmup"
     wc_rows = wc.join(names, "workout_id", "left").select(
         "activity_id",
@@ -366,7 +376,9 @@ def running_workout_results(run_splits: DataFrame, planned: DataFrame) -> DataFr
         F.lit(None).cast("string").alias("target_pace_upper_range"),
         "average_hr",
     )
-    matched = workout_interval_match(run_splits, planned).select(*wc_rows.columns)
+    matched = (
+        workout_interval_match(run_splits, steps, checked=True) if small else workout_interval_match(run_splits, steps)
+    ).select(*wc_rows.columns)
     u = wc_rows.unionByName(matched)
     return u.select(
         "activity_id",

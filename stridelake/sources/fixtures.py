@@ -61,6 +61,7 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(
         spark, sf_dir, "lineitem",
         ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"],
+        spread_by="l_orderkey",  # the per-order window's own partitioning
     )
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
     joined = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
@@ -174,7 +175,9 @@ WORKOUT_TEMPLATES = (
 
 
 def workouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_size"])
+    # Plans are parsed from JSON downstream (CPU-heavy per row): spread a
+    # single-split part table over all cores first.
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_size"], spread_by="p_partkey")
     variant = F.col("p_partkey") % 3
     template = (
         F.when(variant == 0, F.lit(WORKOUT_TEMPLATES[0]))
