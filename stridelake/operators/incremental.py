@@ -110,6 +110,8 @@ def write_upsert(
         .distinct()
     )
     touched = [r[0] for r in touched_df.collect()]  # one value per partition (days), not rows
+    if not touched:
+        return  # empty batch: nothing to replace or insert
     in_touched = F.col(partition_col).isin(touched)
     rewritten = (
         target.filter(in_touched)

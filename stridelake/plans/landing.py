@@ -154,7 +154,9 @@ def land_asset(
             if days_with_rows:
                 (
                     landing_rows(staged, asset, clock, valid)
-                    .repartition("dt")
+                    # One file per day when days are small; AQE splits a hot
+                    # day over several tasks instead of one (rebalance).
+                    .hint("rebalance", "dt")
                     .write.mode("overwrite")
                     .option("partitionOverwriteMode", "dynamic")
                     .partitionBy("dt")

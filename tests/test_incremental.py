@@ -93,3 +93,11 @@ def test_stream_upsert_equals_batch(spark, tmp_root):
     stream_upsert(spark, src, target, ["activity_id"], "dt", ckpt)  # second run: only new files
     cols = ["activity_id", "distance", "run_date"]
     assert _rows(spark.read.parquet(target), cols) == _rows(land.distinct(), cols)
+
+
+def test_empty_batch_is_a_no_op(spark, tmp_root):
+    target = os.path.join(tmp_root, "t")
+    first = spark.createDataFrame([(1, "x", "2024-01-01")], "k int, v string, dt string")
+    write_upsert(spark, target, first, ["k"], partition_col="dt")
+    write_upsert(spark, target, first.limit(0), ["k"], partition_col="dt")
+    assert [(r.k, r.v) for r in spark.read.parquet(target).collect()] == [(1, "x")]
