@@ -94,12 +94,13 @@ def write_upsert(
         (w.partitionBy(partition_col) if partition_col else w).parquet(target_path)
         return
 
-    target = spark.read.parquet(target_path)
+    # The batch's schema also reads a table that was written empty (no files).
+    target = spark.read.schema(batch.schema).parquet(target_path)
     if partition_col is None:
         merged = upsert(target, batch, keys)
         staged = scratch_path(spark, "upsert")
         merged.write.mode("overwrite").parquet(staged)
-        spark.read.parquet(staged).write.mode("overwrite").parquet(target_path)
+        spark.read.schema(batch.schema).parquet(staged).write.mode("overwrite").parquet(target_path)
         return
 
     batch_keys = bounded_broadcast(batch.select(*keys).distinct())
@@ -120,7 +121,7 @@ def write_upsert(
     )
     staged = scratch_path(spark, "upsert")
     rewritten.write.mode("overwrite").partitionBy(partition_col).parquet(staged)
-    staged_df = spark.read.parquet(staged)
+    staged_df = spark.read.schema(batch.schema).parquet(staged)
     present = {r[0] for r in staged_df.select(partition_col).distinct().collect()}
     staged_df.select(*[c for c in target.columns]).write.mode("overwrite").options(**writer_opts).partitionBy(
         partition_col

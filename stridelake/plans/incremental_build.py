@@ -67,7 +67,8 @@ def incremental_build(
             # The mark is read when this model runs. For the derived splits
             # it comes from the upstream details table, already updated in
             # this run (as in the original model).
-            mark_table = spark.read.parquet(paths[mark_from]) if exists[mark_from] else None
+            mark_schema = (df if mark_from == name else getattr(models, mark_from)).schema
+            mark_table = spark.read.schema(mark_schema).parquet(paths[mark_from]) if exists[mark_from] else None
             if name == "running_derived_splits_summary":
                 # This model's mark filters its input: the derived splits'
                 # run_date (sensor dates), not the summary's own run_date
@@ -82,5 +83,6 @@ def incremental_build(
             (w.partitionBy(partition) if partition else w).parquet(paths[name])
         else:
             write_upsert(spark, paths[name], batch, UNIQUE_KEYS[name], partition)
-        models.__dict__[name] = spark.read.parquet(paths[name])
+        # Read back with the known schema: an empty table has no files to infer it from.
+        models.__dict__[name] = spark.read.schema(df.schema).parquet(paths[name])
     return paths
