@@ -136,8 +136,14 @@ def detail_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     later duplicate descriptor relabels position 2.
     """
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value"])
+    ts = F.col("ts")
+    # Epoch seconds of the wall-clock time, independent of the session time zone.
+    epoch = (
+        F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint") * 86400
+        + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    )
     metrics = F.array(
-        F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double"),
+        epoch.cast("double"),
         F.col("value"),
         (F.col("event_id") % 100).cast("double"),
         F.lit(2.0) + (F.col("event_id") % 16) / F.lit(8.0),
