@@ -48,18 +48,14 @@ def _map_record(r: Column, mapping: list[dict], context: dict[str, Column]) -> C
     for col in mapping:
         target = col["target"]
         if target in context:
-            value = context[target]
-            if col["dtype"] != "json":
-                value = F.try_variant_get(value, "$", DTYPES[col["dtype"]])
-            else:
-                value = F.to_json(value)
+            value = context[target]  # typed once per document
         else:
             value = _variant_value(r, col["source"], col["dtype"])
         fields.append(value.alias(target))
     mapped = {c["target"] for c in mapping}
     for target, value in context.items():
         if target not in mapped:  # undeclared context key: kept, as text
-            fields.append(F.try_variant_get(value, "$", "string").alias(target))
+            fields.append(value.alias(target))
     return F.struct(*fields)
 
 
@@ -138,28 +134,35 @@ def _records_descriptor(doc: Column, extract: dict, mapping: list[dict], context
     by_index = F.col("_dmap")
 
     def record(x: Column, mi: Column) -> Column:
+        # (value, is_variant): positions are already integers, the rest are
+        # JSON values still to be cast leniently to the configured type.
         resolved = {
-            "measurement_index": mi.cast("bigint").cast("variant"),
-            "metric_index": x["ki"].cast("bigint").cast("variant"),
-            "metric_key": x["dsc"]["key"],
-            "metric_value": x["val"],
-            "unit_key": x["dsc"]["unit_key"],
-            "unit_factor": x["dsc"]["unit_factor"],
+            "measurement_index": (mi.cast("bigint"), False),
+            "metric_index": (x["ki"].cast("bigint"), False),
+            "metric_key": (x["dsc"]["key"], True),
+            "metric_value": (x["val"], True),
+            "unit_key": (x["dsc"]["unit_key"], True),
+            "unit_factor": (x["dsc"]["unit_factor"], True),
         }
         fields = []
         for col in mapping:
-            t = col["target"]
-            src = context[t] if t in context else resolved.get(col["source"])
+            t, dtype = col["target"], col["dtype"]
+            if t in context:
+                fields.append(context[t].alias(t))  # typed once per document
+                continue
+            src, is_variant = resolved.get(col["source"], (None, False))
             if src is None:
-                value = F.lit(None).cast(DTYPES[col["dtype"]])
-            elif col["dtype"] == "json":
+                value = F.lit(None).cast(DTYPES[dtype])
+            elif not is_variant:
+                value = src.cast("string") if dtype == "json" else src.cast(DTYPES[dtype])
+            elif dtype == "json":
                 value = F.to_json(src)
             else:
-                value = F.try_variant_get(src, "$", DTYPES[col["dtype"]])
+                value = F.try_variant_get(src, "$", DTYPES[dtype])
             fields.append(value.alias(t))
         for t, v in context.items():
             if t not in mapped:
-                fields.append(F.try_variant_get(v, "$", "string").alias(t))
+                fields.append(v.alias(t))
         return F.struct(*fields)
 
     def per_measurement(m: Column, mi: Column) -> Column:
@@ -193,7 +196,15 @@ def extract_documents(docs: DataFrame, asset: dict) -> DataFrame:
             else F.lit(None).cast("variant")
         )
         parsed = parsed.withColumn("_ctx0", ctx_val)
-        context[ck["target"]] = F.col("_ctx0")
+        target_cfg = next((c for c in mapping if c["target"] == ck["target"]), None)
+        if target_cfg is None:  # undeclared context key: kept as text
+            typed = F.try_variant_get(F.col("_ctx0"), "$", "string")
+        elif target_cfg["dtype"] == "json":
+            typed = F.to_json(F.col("_ctx0"))
+        else:
+            typed = F.try_variant_get(F.col("_ctx0"), "$", DTYPES[target_cfg["dtype"]])
+        parsed = parsed.withColumn("_ctx0_t", typed)
+        context[ck["target"]] = F.col("_ctx0_t")
 
     pre: dict[str, Column] = {}
     if kind == "descriptor_metrics":
