@@ -73,13 +73,21 @@ class TrainingModels:
     def running_trainings(self) -> DataFrame:
         return silver.running_trainings(self.activities)
 
+    @cached_property
+    def _trainings_fit(self) -> bool:
+        """One size check of the trainings rows, shared by every join that
+        broadcasts a projection of them (same row count)."""
+        from ..operators.joins import fits_broadcast
+
+        return fits_broadcast(self.running_trainings.select("activity_id"))
+
     @cached_property
     def running_splits(self) -> DataFrame:
-        return silver.running_splits(self.splits, self.running_trainings)
+        return silver.running_splits(self.splits, self.running_trainings, self._trainings_fit)
 
     @cached_property
     def running_activity_details(self) -> DataFrame:
-        return silver.running_activity_details(self.activity_details, self.running_trainings)
+        return silver.running_activity_details(self.activity_details, self.running_trainings, self._trainings_fit)
 
     @cached_property
     def running_derived_splits(self) -> DataFrame:

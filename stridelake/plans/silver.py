@@ -55,9 +55,16 @@ def running_trainings(activities: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # running_splits
 # ---------------------------------------------------------------------------
-def running_splits(splits: DataFrame, trainings: DataFrame) -> DataFrame:
+def _dimension(df: DataFrame, fits: bool | None) -> DataFrame:
+    """Broadcast ``df`` if it fits; ``fits`` may carry an earlier check of the same rows."""
+    if fits is None:
+        return bounded_broadcast(df)
+    return F.broadcast(df) if fits else df
+
+
+def running_splits(splits: DataFrame, trainings: DataFrame, trainings_fit: bool | None = None) -> DataFrame:
     """Laps of running activities, with the parent's workout_id/include_hr."""
-    parent = bounded_broadcast(trainings.select("activity_id", "workout_id", "include_hr"))
+    parent = _dimension(trainings.select("activity_id", "workout_id", "include_hr"), trainings_fit)
     s = splits.alias("s")
     joined = s.join(parent.alias("a"), F.col("s.activity_id") == F.col("a.activity_id"), "inner")
     return joined.select(
@@ -107,14 +114,16 @@ def metric_pivot(details: DataFrame) -> DataFrame:
     )
 
 
-def running_activity_details(details: DataFrame, trainings: DataFrame) -> DataFrame:
+def running_activity_details(
+    details: DataFrame, trainings: DataFrame, trainings_fit: bool | None = None
+) -> DataFrame:
     """Pivoted sensor samples of running activities.
 
     The reference joins to trainings and keeps only the sample columns; with
     activity_id unique in trainings that is a semi join, which never
     duplicates rows.
     """
-    running_ids = bounded_broadcast(trainings.select("activity_id"))
+    running_ids = _dimension(trainings.select("activity_id"), trainings_fit)
     kept = details.join(running_ids, "activity_id", "left_semi")
     return metric_pivot(kept)
 
