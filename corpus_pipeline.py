@@ -11,8 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.llm import language, quality
+from stridelake.llm import decontaminate, language, near_duplicates, packing, quality
 from stridelake.llm.common import free_name, remainder, table
+from stridelake.llm.queries import tokenizer_path
 from stridelake.session import ensure_checkpoint_dir
 
 
@@ -32,9 +33,27 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.withColumn(s, quality.scorer(trees)(docs["text"].cast("string"))).filter(F.col(s) >= 0.3).drop(s)
 
 
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest id, of each group of near duplicates stays."""
+    return near_duplicates.one_of_each(docs)
+
+
+def keep_clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold a copy, edited or not, of a benchmark item."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of all that is left."""
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
 STAGES = [
     ("language", keep_known_language),
     ("quality", keep_good_quality),
+    ("near-duplicates", keep_one_of_each),
+    ("decontamination", keep_clean_of_benchmark),
+    ("packing", pack),
 ]
 
 #: No SQL: models, signatures and alignments are not expressible; tests compare with brute force.
