@@ -14,17 +14,14 @@ from stridelake.session import ensure_checkpoint_dir
 
 #: ASCII white space, the separators of words in every contract: \x20 and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
-_LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
-_BLANK = str.maketrans({c: " " for c in SPACES})
 
 
-def words_of(text: str | None, lower: bool = True) -> list[str]:
-    """Words ``[^\\x20\\x09-\\x0D]+``; A-Z lower-cased. Null has none."""
-    if not text:
-        return []
-    if lower:
-        text = text.translate(_LOWER) if not text.isascii() else text.lower()
-    return [w for w in text.translate(_BLANK).split(" ") if w]
+def words_of(text: str | None) -> list[bytes]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` in UTF-8, A-Z lower-cased; null has none.
+
+    ``bytes.lower`` and ``bytes.split`` know only ASCII letters and exactly those six separators.
+    """
+    return text.encode().lower().split() if text else []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
