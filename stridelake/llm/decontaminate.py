@@ -25,20 +25,40 @@ from pyspark.sql import functions as F
 
 from .common import free_name, id_text, slices
 
-WORD = re.compile(r"[^\W_]+")
+#: Separators besides ASCII white space and punctuation: Latin-1 marks, general and CJK punctuation.
+OTHER_MARKS = re.compile("[\u00a0-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u3000-\u303f]")
+BLANKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 MATCH, MISS, GAP = 2, -1, -1
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+def words(text: str | None) -> list[bytes]:
+    """Lower-cased words in UTF-8: what stands between white space and punctuation."""
+    if not text:
+        return []
+    text = text.lower()
+    if OTHER_MARKS.search(text):
+        text = OTHER_MARKS.sub(" ", text)
+    return text.encode().translate(BLANKS).split()
 
 
-def mix(ids: np.ndarray, n: int) -> np.ndarray:
-    """64-bit key of the n-gram at each position (a collision only costs an alignment)."""
-    key = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+def numbered(texts: list[str | None], vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of all texts in one row (-1: not in the vocabulary), a -1 behind each text, and their starts."""
+    flat: list[bytes] = []
+    starts = [0]
+    for t in texts:
+        flat += words(t)
+        flat.append(b"")  # no word: parts the texts
+        starts.append(len(flat))
+    get = vocab.get
+    return np.fromiter([get(w, -1) for w in flat], np.int64, len(flat)), np.array(starts)
+
+
+def mix(ids: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
+    """64-bit key of the n-gram at each of the places (a collision only costs an alignment)."""
+    key = np.zeros(len(at), np.uint64)
     for k in range(n):
-        key = (key + ids[k : len(ids) - n + 1 + k].astype(np.uint64) + np.uint64(1)) * SPREAD
+        key = (key + ids[at + k].astype(np.uint64) + np.uint64(1)) * SPREAD
         key ^= key >> np.uint64(29)
     return key
 
@@ -78,7 +98,7 @@ class Block:
 
     names: list
     items: list[np.ndarray]
-    vocab: dict[str, int]
+    vocab: dict[bytes, int]
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # n -> sorted keys, item, offset
     threshold: float
 
@@ -87,7 +107,7 @@ class Block:
         items = [np.array([vocab[w] for w in ws], np.int64) for ws in texts]
         found: dict[int, list[tuple[np.uint64, int, int]]] = {}
         for k, it in enumerate(items):
-            keys = {n: mix(it, n) for n in range(1, longest + 1)}
+            keys = {n: mix(it, n, np.arange(max(0, len(it) - n + 1))) for n in range(2, longest + 1)}
             for at in range(len(it)):
                 n, chance = 0, 1.0
                 while n < min(longest, len(it) - at) and (n < 2 or chance > rate):
@@ -101,42 +121,43 @@ class Block:
             seeds[n] = tuple(np.array(c, t) for c, t in zip(zip(*rows), (np.uint64, np.int64, np.int64)))
         return Block(list(names), items, vocab, seeds, threshold)
 
-    def stretches(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, from, to) around the seed hits of one text; overlapping ones of an item are joined."""
-        known = ids >= 0
-        run = np.concatenate([[0], np.cumsum(known)])
-        spans: dict[int, list[tuple[int, int]]] = {}
+    def stretches(self, ids: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(row, item, from, to) around the seed hits in the texts; overlapping ones of an item are joined."""
+        run = np.concatenate([[0], np.cumsum(ids >= 0)])
+        spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for n, (keys, item, offset) in self.seeds.items():
             if len(ids) < n:
                 continue
-            at = np.flatnonzero(run[n:] - run[:-n] == n)
-            key = mix(ids, n)[at]
-            low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
-            for j in np.flatnonzero(high > low):
-                for s in range(low[j], high[j]):
+            at = np.flatnonzero(run[n:] - run[:-n] == n)  # n known words in a row never span two texts
+            key = mix(ids, n, at)
+            low = np.searchsorted(keys, key)
+            low[low == len(keys)] = 0
+            at, key, low = (x[keys[low] == key] for x in (at, key, low))
+            high = np.searchsorted(keys, key, side="right")
+            rows = np.searchsorted(starts, at, side="right") - 1
+            for row, p, i, j in zip(rows.tolist(), at.tolist(), low.tolist(), high.tolist()):
+                for s in range(i, j):
                     k = int(item[s])
                     m = len(self.items[k])
-                    start, pad = int(at[j] - offset[s]), 4 + m // 4
-                    spans.setdefault(k, []).append((max(0, start - pad), min(len(ids), start + m + pad)))
+                    start, pad = p - int(offset[s]), 4 + m // 4
+                    span = (max(int(starts[row]), start - pad), min(int(starts[row + 1]) - 1, start + m + pad))
+                    spans.setdefault((row, k), []).append(span)
         out = []
-        for k, ranges in spans.items():
+        for (row, k), ranges in spans.items():
             ranges.sort()
             a, b = ranges[0]
             for c, d in ranges[1:]:
                 if c > b:
-                    out.append((k, a, b))
+                    out.append((row, k, a, b))
                     a = c
                 b = max(b, d)
-            out.append((k, a, b))
+            out.append((row, k, a, b))
         return out
 
     def matches(self, texts: list[str | None]) -> Iterator[tuple[int, object, float, int, int]]:
         """(row, item name, score, first word, last word + 1): the best match of each item in each text."""
-        todo = []
-        for row, t in enumerate(texts):
-            get = self.vocab.get
-            ids = np.array([get(w, -1) for w in words(t)], np.int64)
-            todo += [(row, k, a, ids[a:b]) for k, a, b in self.stretches(ids)]
+        flat, starts = numbered(texts, self.vocab)
+        todo = [(row, k, a - int(starts[row]), flat[a:b]) for row, k, a, b in self.stretches(flat, starts)]
         todo.sort(key=lambda x: len(x[3]))
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         at = 0
@@ -153,17 +174,15 @@ class Block:
             yield row, self.names[k], share, start, end
 
 
-def word_counts(docs: DataFrame, vocab: dict[str, int], text_col: str) -> tuple[np.ndarray, int]:
+def word_counts(docs: DataFrame, vocab: dict[bytes, int], text_col: str) -> tuple[np.ndarray, int]:
     """Occurrences of the vocabulary's words and the number of all words, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total, get = np.zeros(len(vocab), np.int64), 0, vocab.get
+        n, total = np.zeros(len(vocab), np.int64), 0
         for b in slices(batches):
-            for t in b.column(0).to_pylist():
-                ws = words(t)
-                ids = np.array([get(w, -1) for w in ws], np.int64)
-                n += np.bincount(ids[ids >= 0], minlength=len(vocab))
-                total += len(ws)
+            ids, _ = numbered(b.column(0).to_pylist(), vocab)
+            n += np.bincount(ids[ids >= 0], minlength=len(vocab))
+            total += len(ids) - b.num_rows
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], total))], names=["w", "n"])
 
@@ -179,7 +198,7 @@ def blocks(
 ) -> Iterator[Block]:
     """Blocks of test items. Items with fewer than ``min_words`` words (null ones too) match nothing."""
     rows = benchmark.select(benchmark["item_id"].cast("long"), benchmark["text"].cast("string")).toLocalIterator()
-    held: list[tuple[int, list[str]]] = []
+    held: list[tuple[int, list[bytes]]] = []
 
     def build() -> Block:
         vocab = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in held for w in ws))}
