@@ -48,7 +48,7 @@ NAMES = [*SCRIPTS, "other"]
 STARTS = sorted((lo, hi, k) for k, ranges in enumerate(SCRIPTS.values()) for lo, hi in ranges)
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
-LONGEST = 3
+LONGEST = 4
 
 
 def script_of(word: str) -> int:
@@ -60,11 +60,23 @@ def script_of(word: str) -> int:
     return len(SCRIPTS)
 
 
-def buckets_of(word: str) -> list[int]:
-    """Hash buckets of the word's character n-grams, its borders marked; the whole word is one too."""
-    w = f"<{word}>"
-    grams = [w[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(g.encode()) % BUCKETS for g in [*grams, f"={w}"]]
+def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash bucket, word) of every n-gram of 1 to LONGEST bytes, borders marked, and of the whole words."""
+    parts = [w.encode() for w in words]
+    data = np.frombuffer(b"".join([b"<%b>" % w for w in parts]), np.uint8).astype(np.uint32)
+    owner = np.repeat(np.arange(len(parts)), [len(w) + 2 for w in parts])
+    buckets = [np.fromiter((zlib.crc32(w) % BUCKETS for w in parts), np.int64, len(parts))]
+    owners = [np.arange(len(parts))]
+    for n in range(1, LONGEST + 1):
+        m = len(data) - n + 1
+        inside = np.flatnonzero(owner[:m] == owner[n - 1 :]) if m > 0 else np.zeros(0, np.int64)
+        h = np.full(len(inside), n, np.uint32)
+        for k in range(n):
+            h = (h ^ data[inside + k]) * np.uint32(2654435761)
+            h ^= h >> np.uint32(15)
+        buckets.append((h % np.uint32(BUCKETS)).astype(np.int64))
+        owners.append(owner[inside])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 @dataclass
@@ -73,8 +85,8 @@ class LanguageModel:
     logp: np.ndarray  # buckets x languages
     allowed: np.ndarray  # scripts x languages
     switch: float = 6.0
-    scale: float = 0.4
-    cache_words: int = 100_000
+    scale: float = 0.3
+    cache_words: int = 300_000
 
 
 class Labeller:
@@ -83,30 +95,31 @@ class Labeller:
     def __init__(self, model: LanguageModel):
         self.m, self.k = model, len(model.langs)
         self.index: dict[str, int] = {}
-        self.rows = np.zeros((1024, self.k), np.float32)
-
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """Row of ``self.rows`` of each word."""
-        get, out = self.index.get, np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            r = get(w)
-            if r is None:
-                r = self.index[w] = len(self.index)
-                if r >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                score = self.m.scale * self.m.logp[buckets_of(w)].sum(axis=0)
-                mask = self.m.allowed[script_of(w)]
-                self.rows[r] = np.where(mask, score - score.max(), -1e4) if mask.any() else score - score.max()
-            out[i] = r
-        return out
+        self.rows = np.zeros((0, self.k), np.float32)
+
+    def word_scores(self, found: list[list[str]]) -> list[np.ndarray]:
+        """Row of ``self.rows`` of each word of each text; words not seen before are scored together."""
+        if len(self.index) > self.m.cache_words:
+            self.index.clear()
+        index = self.index
+        new = list({w for ws in found for w in ws if w not in index})
+        if new:
+            at, owner = ngrams(new)
+            score = np.stack([np.bincount(owner, weights=self.m.logp[at, k], minlength=len(new)) for k in range(self.k)], axis=1)
+            score *= self.m.scale
+            mask = self.m.allowed[[script_of(w) for w in new]]
+            mask[~mask.any(axis=1)] = True  # a script that training never saw narrows nothing
+            score = np.where(mask, score, -np.inf)
+            score = np.maximum(score - score.max(axis=1, keepdims=True), -1e4).astype(np.float32)
+            first = len(index)
+            index.update(zip(new, range(first, first + len(new))))
+            self.rows = np.concatenate([self.rows[:first], score])
+        return [np.array([index[w] for w in ws], np.int64) for ws in found]
 
     def label(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
         """For each text its words and the language number of each."""
         found = [WORD.findall(t.lower()) if t else [] for t in texts]
-        if len(self.index) > self.m.cache_words:
-            self.index.clear()
-            self.rows = np.zeros((1024, self.k), np.float32)
-        ids = [self.word_scores(ws) for ws in found]
+        ids = self.word_scores(found)
         return list(zip(found, self.viterbi(ids)))
 
     def viterbi(self, ids: list[np.ndarray]) -> list[np.ndarray]:
@@ -202,8 +215,9 @@ def train(
         def out():
             for lang, c in words.items():
                 grams, letters = np.zeros(BUCKETS, np.int64), np.zeros(len(NAMES), np.int64)
+                bucket, owner = ngrams(list(c))
+                grams += np.bincount(bucket, weights=np.array(list(c.values()))[owner], minlength=BUCKETS).astype(np.int64)
                 for w, n in c.items():
-                    np.add.at(grams, buckets_of(w), n)
                     letters[script_of(w)] += n * len(w)
                 at, sc = np.flatnonzero(grams), np.flatnonzero(letters)
                 keys = np.concatenate([at, -1 - sc])
