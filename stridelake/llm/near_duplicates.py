@@ -359,7 +359,8 @@ def near_duplicates(
 
     copies = classes.filter("members > 1").select("f1", "f2", F.col("node").alias("first_id"))
     rows = sets.drop("sig").join(copies, ["f1", "f2"], "left").withColumn("node", F.coalesce("first_id", "doc_id"))
-    component = F.when(F.col("f1").isNull(), F.col("doc_id")).otherwise(F.coalesce("comp", "node"))
+    alone = F.col("f1").isNull() | F.col("doc_id").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("comp", "node"))
     out = rows.join(comp, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
