@@ -3,7 +3,7 @@
 python -m stridelake.cli land   --source RAW --landing LANDING --quarantine Q [--start D --end D]
 python -m stridelake.cli build  --landing LANDING --out MODELS [--lookback N] [--full-refresh]
 python -m stridelake.cli quality --landing LANDING
-python -m stridelake.cli stream --source LANDING/asset --target BRONZE/asset --keys k1,k2
+python -m stridelake.cli stream --source LANDING/asset --target BRONZE/asset --keys k1,k2 --checkpoint C
 
 The session comes from ``spark-submit`` (its settings win); paths may be any
 Hadoop filesystem URI.
@@ -38,6 +38,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--target", required=True)
     p.add_argument("--keys", required=True)
     p.add_argument("--partition", default="dt")
+    p.add_argument("--checkpoint", required=True, help="folder that records which files were read")
     args = ap.parse_args(argv)
 
     from .session import get_spark
@@ -69,7 +70,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.cmd == "stream":
         from .streaming.landing_stream import stream_upsert
 
-        stream_upsert(spark, args.source, args.target, args.keys.split(","), args.partition)
+        stream_upsert(spark, args.source, args.target, args.keys.split(","), args.partition, args.checkpoint)
     return 0
 
 

@@ -13,22 +13,24 @@ the batch are replaced; NULL keys never match; duplicates inside the batch
 are kept.
 
 ``write_upsert`` applies an upsert to a parquet table folder without a
-table format. It never overwrites a path it is reading: the rewritten rows
-are first written to a table in the shared checkpoint folder (this also
+table format. It never overwrites a path it is reading. A table without partitions is
+written whole beside the old one and swapped in by rename. For a partitioned one the
+rewritten rows are first written to a table in the shared checkpoint folder (this also
 cuts lineage, so a lost executor recomputes from that table, not from the
 old target), then copied over with dynamic partition overwrite, touching
-only the partitions that hold batch keys or batch rows.
+only the partitions (the NULL one included) that hold batch keys or batch rows; the
+staged copy is deleted.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .joins import bounded_broadcast
 
 
 def mark_column(target: DataFrame, col: str, lookback_days: int = 0) -> Column:
@@ -54,7 +56,7 @@ def incremental_filter(
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    batch_keys = bounded_broadcast(batch.select(*keys).distinct())
+    batch_keys = batch.select(*keys).distinct()
     kept = target.join(batch_keys, keys, "left_anti")
     return kept.unionByName(batch, allowMissingColumns=True)
 
@@ -74,7 +76,24 @@ def _delete_partition(spark: SparkSession, root: str, col: str, value) -> None:
         fs.delete(p, True)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _swap_in(spark: SparkSession, new: str, target: str) -> None:
+    """Put the complete folder ``new`` in the place of ``target``; the old one is dropped last."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = f"{new}-replaced"
+    if not (fs.rename(path(target), path(old)) and fs.rename(path(new), path(target))):
+        raise OSError(f"{target}: could not be replaced; new rows are in {new}, old ones in {old}")
+    fs.delete(path(old), True)
+
+
 def _partition_literal(v) -> str:
+    if v is None:
+        return "__HIVE_DEFAULT_PARTITION__"
     if isinstance(v, (_dt.date, _dt.datetime)):
         return v.isoformat()
     return str(v)
@@ -97,13 +116,12 @@ def write_upsert(
     # The batch's schema also reads a table that was written empty (no files).
     target = spark.read.schema(batch.schema).parquet(target_path)
     if partition_col is None:
-        merged = upsert(target, batch, keys)
-        staged = scratch_path(spark, "upsert")
-        merged.write.mode("overwrite").parquet(staged)
-        spark.read.schema(batch.schema).parquet(staged).write.mode("overwrite").parquet(target_path)
+        new = f"{target_path.rstrip('/')}-{uuid.uuid4().hex[:12]}"
+        upsert(target, batch, keys).write.parquet(new)
+        _swap_in(spark, new, target_path)
         return
 
-    batch_keys = bounded_broadcast(batch.select(*keys).distinct())
+    batch_keys = batch.select(*keys).distinct()
     # Partitions touched: those holding a key being replaced, plus the batch's.
     touched_df = (
         target.join(batch_keys, keys, "left_semi").select(partition_col)
@@ -113,7 +131,9 @@ def write_upsert(
     touched = [r[0] for r in touched_df.collect()]  # one value per partition (days), not rows
     if not touched:
         return  # empty batch: nothing to replace or insert
-    in_touched = F.col(partition_col).isin(touched)
+    in_touched = F.col(partition_col).isin([v for v in touched if v is not None])
+    if None in touched:  # isin never matches NULL
+        in_touched = in_touched | F.col(partition_col).isNull()
     rewritten = (
         target.filter(in_touched)
         .join(batch_keys, keys, "left_anti")
@@ -129,3 +149,4 @@ def write_upsert(
     for value in touched:
         if value not in present:
             _delete_partition(spark, target_path, partition_col, _partition_literal(value))
+    _delete(spark, staged)

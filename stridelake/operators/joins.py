@@ -1,36 +1,12 @@
 """Join helpers.
 
-``bounded_broadcast`` broadcasts a dimension-like side only after proving
-its size: it counts at most ``max_rows + 1`` rows (``limit`` stops each
-partition early, so the check is cheap even when the side is huge). Above
-the bound the side is returned unchanged and the join stays a shuffle join,
-where AQE's skew-join handling splits hot keys of the large side.
+Joins of the models carry no broadcast hints and run no size checks: AQE turns a shuffle join into
+a broadcast from the measured bytes of a side, and splits skewed partitions otherwise.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
-CONF_KEY = "stridelake.broadcast.maxRows"
-
-
-def max_broadcast_rows(df: DataFrame) -> int:
-    value = df.sparkSession.conf.get(CONF_KEY, None)
-    return int(value) if value else DEFAULT_MAX_BROADCAST_ROWS
-
-
-def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
-    bound = max_broadcast_rows(df) if max_rows is None else max_rows
-    if bound <= 0:
-        return False
-    return df.limit(bound + 1).count() <= bound
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
 def null_safe_on(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import bounded_broadcast
 
 
 def dq_not_null(df: DataFrame, column: str) -> DataFrame:
@@ -35,7 +34,7 @@ def dq_unique_combination(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def dq_relationships(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
-    keys = bounded_broadcast(parent.select(F.col(parent_column).alias(column)).distinct())
+    keys = parent.select(F.col(parent_column).alias(column)).distinct()
     return child.filter(F.col(column).isNotNull()).join(keys, column, "left_anti")
 
 
@@ -108,11 +107,12 @@ def failing_rows(check: Check, tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def run_checks(tables: dict[str, DataFrame], checks: tuple[Check, ...] = CHECKS) -> DataFrame:
-    """One row per check: model, test, column_name, failures."""
+    """One row per check: model, test, column_name, failures. A check whose table is absent is an error."""
+    missing = sorted({t for ch in checks for t in (ch.model, ch.parent) if t is not None and t not in tables})
+    if missing:
+        raise ValueError(f"tables of the checks are missing: {', '.join(missing)}")
     parts = []
     for ch in checks:
-        if ch.model not in tables or (ch.parent is not None and ch.parent not in tables):
-            continue
         parts.append(
             failing_rows(ch, tables).agg(F.count(F.lit(1)).cast("bigint").alias("failures")).select(
                 F.lit(ch.model).alias("model"),

@@ -79,7 +79,8 @@ def incremental_build(
             else:
                 batch = incremental_filter(df, "run_date", mark_table, lookback_days)
         if full_refresh and exists[name]:
-            w = batch.write.mode("overwrite")
+            # static: partitions that the source no longer has go as well
+            w = batch.write.mode("overwrite").option("partitionOverwriteMode", "static")
             (w.partitionBy(partition) if partition else w).parquet(paths[name])
         else:
             write_upsert(spark, paths[name], batch, UNIQUE_KEYS[name], partition)

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import cast_int_half_even, format_duration, format_pace_from_speed, round2
-from ..operators.joins import bounded_broadcast, fits_broadcast
 
 # Sensor metrics kept by the pivot, and their output names.
 PIVOT_METRICS = (
@@ -55,16 +54,9 @@ def running_trainings(activities: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # running_splits
 # ---------------------------------------------------------------------------
-def _dimension(df: DataFrame, fits: bool | None) -> DataFrame:
-    """Broadcast ``df`` if it fits; ``fits`` may carry an earlier check of the same rows."""
-    if fits is None:
-        return bounded_broadcast(df)
-    return F.broadcast(df) if fits else df
-
-
-def running_splits(splits: DataFrame, trainings: DataFrame, trainings_fit: bool | None = None) -> DataFrame:
+def running_splits(splits: DataFrame, trainings: DataFrame) -> DataFrame:
     """Laps of running activities, with the parent's workout_id/include_hr."""
-    parent = _dimension(trainings.select("activity_id", "workout_id", "include_hr"), trainings_fit)
+    parent = trainings.select("activity_id", "workout_id", "include_hr")
     s = splits.alias("s")
     joined = s.join(parent.alias("a"), F.col("s.activity_id") == F.col("a.activity_id"), "inner")
     return joined.select(
@@ -90,7 +82,7 @@ def running_splits(splits: DataFrame, trainings: DataFrame, trainings_fit: bool
 def metric_pivot(details: DataFrame) -> DataFrame:
     """Long (activity, measurement, key, value) -> one row per measurement.
 
-    Explicit pivot values make this a single partial aggregation; the key
+    One conditional maximum per key: a partial aggregate and one exchange of the samples. The key
     filter runs before the shuffle (and reaches the scan when it can).
     """
     keys = [k for k, _ in PIVOT_METRICS]
@@ -101,10 +93,8 @@ def metric_pivot(details: DataFrame) -> DataFrame:
         "metric_value",
         F.to_date("run_date").alias("run_date"),
     )
-    pivoted = (
-        base.groupBy("activity_id", "measurement_index", "run_date")
-        .pivot("metric_key", keys)
-        .agg(F.max("metric_value"))
+    pivoted = base.groupBy("activity_id", "measurement_index", "run_date").agg(
+        *[F.max(F.when(F.col("metric_key") == k, F.col("metric_value"))).alias(k) for k in keys]
     )
     return pivoted.select(
         "activity_id",
@@ -114,16 +104,14 @@ def metric_pivot(details: DataFrame) -> DataFrame:
     )
 
 
-def running_activity_details(
-    details: DataFrame, trainings: DataFrame, trainings_fit: bool | None = None
-) -> DataFrame:
+def running_activity_details(details: DataFrame, trainings: DataFrame) -> DataFrame:
     """Pivoted sensor samples of running activities.
 
     The reference joins to trainings and keeps only the sample columns; with
     activity_id unique in trainings that is a semi join, which never
     duplicates rows.
     """
-    running_ids = _dimension(trainings.select("activity_id"), trainings_fit)
+    running_ids = trainings.select("activity_id")
     kept = details.join(running_ids, "activity_id", "left_semi")
     return metric_pivot(kept)
 
@@ -297,13 +285,9 @@ PLANNED_STEP_COLUMNS = (
 )
 
 
-def workout_interval_match(run_splits: DataFrame, planned: DataFrame, checked: bool = False) -> DataFrame:
-    """Laps matched to planned steps on (workout_id, lap index).
-
-    ``checked=True``: ``planned`` is already a size-checked broadcast side.
-    """
-    steps = planned.select(*PLANNED_STEP_COLUMNS)
-    steps = (F.broadcast(steps) if checked else bounded_broadcast(steps)).alias("w")
+def workout_interval_match(run_splits: DataFrame, planned: DataFrame) -> DataFrame:
+    """Laps matched to planned steps on (workout_id, lap index)."""
+    steps = planned.select(*PLANNED_STEP_COLUMNS).alias("w")
     s = run_splits.filter(~F.col("step_type").isin(*WARMUP_COOLDOWN)).alias("s")
     cond = (F.col("s.workout_id") == F.col("w.workout_id")) & (
         F.col("s.workout_step_index") == F.col("w.garmin_step_index")
@@ -358,12 +342,8 @@ def running_workout_results(run_splits: DataFrame, planned: DataFrame) -> DataFr
         "split_index", "split_pace", "duration_sec", "distance_m", "average_hr",
     )
     wc = warmup_cooldown_agg(run_splits)
-    # One size check covers both broadcast sides: the name table is an
-    # aggregate of the planned steps, so it is never larger than they are.
     steps = planned.select(*PLANNED_STEP_COLUMNS)
-    small = fits_broadcast(steps)
     names = workout_names(steps)
-    names = F.broadcast(names) if small else names
     is_warmup = F.col("step_type") == "warmup"
     wc_rows = wc.join(names, "workout_id", "left").select(
         "activity_id",
@@ -385,9 +365,7 @@ def running_workout_results(run_splits: DataFrame, planned: DataFrame) -> DataFr
         F.lit(None).cast("string").alias("target_pace_upper_range"),
         "average_hr",
     )
-    matched = (
-        workout_interval_match(run_splits, steps, checked=True) if small else workout_interval_match(run_splits, steps)
-    ).select(*wc_rows.columns)
+    matched = workout_interval_match(run_splits, steps).select(*wc_rows.columns)
     u = wc_rows.unionByName(matched)
     return u.select(
         "activity_id",

@@ -3,17 +3,31 @@
 The original pipeline runs daily over new ``dt=`` folders. Here the same
 cadence is a file-source stream over a landing table: each run with
 ``trigger(availableNow=True)`` picks up exactly the files not yet seen (the
-stream checkpoint records them), and every micro-batch is de-duplicated and
-upserted by the model's unique key with ``write_upsert``. Re-running after
+stream checkpoint, which the caller must name, records them); every micro-batch is cut to
+the latest row per key and upserted by the model's unique key with ``write_upsert``. Re-running after
 a failure resumes from the checkpoint; the upsert is idempotent per batch.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.incremental import write_upsert
-from ..session import scratch_path
+
+
+def latest_per_key(batch: DataFrame, keys: list[str], newest_by: str | None) -> DataFrame:
+    """One row per key: the one of the latest ``newest_by`` (ties: a fixed hash order).
+
+    Rows with a NULL key match nothing; their distinct rows all stay.
+    """
+    has_key = F.lit(True)
+    for k in keys:
+        has_key = has_key & F.col(k).isNotNull()
+    rank = F.struct(*([F.col(newest_by)] if newest_by else []), F.xxhash64(*batch.columns))
+    best = batch.filter(has_key).groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys])
+    one = best.agg(F.max_by(F.struct(*batch.columns), rank).alias("_row")).select("_row.*")
+    return one.unionByName(batch.filter(~has_key).distinct())
 
 
 def stream_upsert(
@@ -21,8 +35,8 @@ def stream_upsert(
     source_path: str,
     target_path: str,
     keys: list[str],
-    partition_col: str | None = "dt",
-    checkpoint_location: str | None = None,
+    partition_col: str | None,
+    checkpoint_location: str,
     max_files_per_trigger: int | None = None,
 ) -> None:
     """Upsert every not-yet-processed landing file into ``target_path``."""
@@ -33,12 +47,12 @@ def stream_upsert(
     stream = reader.parquet(source_path)
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
-        write_upsert(batch.sparkSession, target_path, batch.distinct(), keys, partition_col)
+        write_upsert(batch.sparkSession, target_path, latest_per_key(batch, keys, partition_col), keys, partition_col)
 
     query = (
         stream.writeStream.foreachBatch(upsert_batch)
         .trigger(availableNow=True)
-        .option("checkpointLocation", checkpoint_location or scratch_path(spark, "stream-ckpt"))
+        .option("checkpointLocation", checkpoint_location)
         .start()
     )
     query.awaitTermination()

@@ -101,3 +101,33 @@ def test_empty_batch_is_a_no_op(spark, tmp_root):
     write_upsert(spark, target, first, ["k"], partition_col="dt")
     write_upsert(spark, target, first.limit(0), ["k"], partition_col="dt")
     assert [(r.k, r.v) for r in spark.read.parquet(target).collect()] == [(1, "x")]
+
+
+def test_upsert_keeps_the_null_partition(spark, tmp_root):
+    target = os.path.join(tmp_root, "nulls")
+    schema = "k int, v string, dt string"
+    first = spark.createDataFrame([(1, "a", None), (2, "b", None), (3, "c", "2024-01-01")], schema)
+    write_upsert(spark, target, first, ["k"], partition_col="dt")
+    write_upsert(spark, target, spark.createDataFrame([(9, "z", None)], schema), ["k"], partition_col="dt")
+    read = lambda: sorted((r.k, r.dt) for r in spark.read.schema(schema).parquet(target).collect())
+    assert read() == [(1, None), (2, None), (3, "2024-01-01"), (9, None)]
+    moved = spark.createDataFrame([(k, "m", "2024-01-02") for k in (1, 2, 9)], schema)
+    write_upsert(spark, target, moved, ["k"], partition_col="dt")
+    assert read() == [(1, "2024-01-02"), (2, "2024-01-02"), (3, "2024-01-01"), (9, "2024-01-02")]
+
+
+def test_unpartitioned_upsert_swaps_whole_folders(spark, tmp_root):
+    target = os.path.join(tmp_root, "swap")
+    write_upsert(spark, target, spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), ["k"])
+    write_upsert(spark, target, spark.createDataFrame([(2, "c")], "k int, v string"), ["k"])
+    assert sorted((r.k, r.v) for r in spark.read.parquet(target).collect()) == [(1, "a"), (2, "c")]
+    assert os.listdir(tmp_root) == ["swap"]
+
+
+def test_stream_takes_the_latest_landing_of_a_key(spark, tmp_root):
+    src, target, ckpt = (os.path.join(tmp_root, x) for x in ("landing", "bronze", "ckpt"))
+    schema = "k int, v string, dt string"
+    spark.createDataFrame([(1, "old", "2024-01-01"), (1, "new", "2024-01-02")], schema).write.partitionBy("dt").parquet(src)
+    stream_upsert(spark, src, target, ["k"], "dt", ckpt)
+    stream_upsert(spark, src, target, ["k"], "dt", ckpt)
+    assert [(r.k, r.v) for r in spark.read.parquet(target).collect()] == [(1, "new")]

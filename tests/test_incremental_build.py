@@ -51,3 +51,16 @@ def test_second_run_equals_full_build(spark, tmp_root):
     incremental_build(spark, _sources(spark, upto_last_day=True), inc_root)
     for name in TABLE_MODELS:
         assert _rows(spark.read.parquet(paths[name])) == expected[name], name
+
+
+def test_full_refresh_drops_old_partitions(spark, tmp_root):
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        target = os.path.join(tmp_root, "t")
+        rows = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02")], "k int, run_date string")
+        rows.write.partitionBy("run_date").parquet(target)
+        new = spark.createDataFrame([(1, "2024-01-05")], "k int, run_date string")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("run_date").parquet(target)
+        assert [r.k for r in spark.read.parquet(target).collect()] == [1]
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from stridelake.operators import quality
 from stridelake.plans import gold, silver
 
@@ -82,8 +84,10 @@ def test_workout_results_summary_text(spark):
 
 def test_result_key_collision_surfaces_in_quality_check(spark):
     results = spark.createDataFrame([_res(0, 0, "warmup", 1000.0, "7:00"), _res(0, 0, "warmup", 900.0, "7:10")], RESULTS)
-    report = quality.run_checks({"running_workout_results": results},
-                                tuple(c for c in quality.CHECKS if c.model == "running_workout_results"))
+    of_model = tuple(c for c in quality.CHECKS if c.model == "running_workout_results")
+    with pytest.raises(ValueError, match="running_trainings"):  # a check's table is missing: no silent skip
+        quality.run_checks({"running_workout_results": results}, of_model)
+    report = quality.run_checks({"running_workout_results": results}, tuple(c for c in of_model if c.parent is None))
     got = {(r.test, r.column_name): r.failures for r in report.collect()}
     assert got[("unique_combination", "activity_id,split_index")] == 1
     assert got[("not_null", "activity_id")] == 0
