@@ -2,9 +2,8 @@
 
 Each model is a function from input DataFrames to a DataFrame; nothing is
 executed until an action. Joins against dimension-like inputs (trainings,
-planned workout steps) go through ``bounded_broadcast`` so the broadcast
-happens only when the side is proven small; otherwise they remain shuffle
-joins and AQE splits skewed keys.
+planned workout steps) are plain joins: AQE broadcasts a side whose measured
+bytes allow it and splits skewed keys otherwise.
 """
 
 from __future__ import annotations
