@@ -14,7 +14,7 @@
    all in the window, so that no untested candidate is left in it.
 
 Links are facts (full sets decide). Candidates are confirmed from an estimate of the threshold less
-``slack`` on; the estimate's standard error at 0.75 is 0.044, so 0.15 is 3.4 of them. A pair at exactly 0.75 is missed by all 12 trees of depth 2
+``slack`` on; the sketch's standard error at 0.75 is at most 0.025, so 0.1 is 4 of them. A pair at exactly 0.75 is missed by all 12 trees of depth 2
 with probability 0.4375 ** 12 = 5e-5.
 """
 
@@ -35,6 +35,8 @@ from .common import id_text, slices, stored, words_of
 SHINGLE = 5
 TREES, DEPTH = 12, 8
 FUNCTIONS = TREES * DEPTH
+BIN_BITS = 9
+BINS = 1 << BIN_BITS
 _SEEDS = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, FUNCTIONS, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -86,45 +88,74 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (_mixed(least) >> np.uint64(48)).astype(">u2")
 
 
-SETS = "doc_id long, n_shingles long, f1 long, f2 long, sig binary"
+def sketch(shingles: np.ndarray) -> bytes:
+    """Least hash of each of BINS equal ranges of hashes, as 2 bits: 0 for an empty range, else 1 to 3.
+
+    Two planes of BINS bits each. A small set has nearly every hash alone in its range, so estimates of small sets are nearly exact.
+    """
+    spread = np.sort(_mixed(shingles ^ _STEP))
+    at, first = np.unique(spread >> np.uint64(64 - BIN_BITS), return_index=True)
+    value = (_mixed(spread[first]) % np.uint64(3)).astype(np.uint8) + 1
+    planes = np.zeros((2, BINS), np.uint8)
+    planes[0, at] = value >> 1
+    planes[1, at] = value & 1
+    return np.packbits(planes, axis=1).tobytes()
+
+
+def estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity of each pair of rows of two arrays of sketches (uint64, the planes one after the other).
+
+    Of the ranges that either set reaches, the share in which both have the same least hash; of unequal
+    least hashes a third agree by chance, which is taken off.
+    """
+    half = x.shape[1] // 2
+    held_x, held_y = x[:, :half] | x[:, half:], y[:, :half] | y[:, half:]
+    differ = x ^ y
+    count = lambda bits: np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    both = count(held_x & held_y)
+    agree = count(held_x & held_y & ~(differ[:, :half] | differ[:, half:]))
+    return np.maximum(0, (agree - both / 3) * 1.5) / np.maximum(1, count(held_x | held_y))
+
+
+SETS = "doc_id long, n_shingles long, f1 long, f2 long, sig binary, sketch binary"
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     make = Shingler()
     for b in slices(batches):
-        n, f1, f2, sig = [], [], [], []
+        n, f1, f2, sig, sk = [], [], [], [], []
         for t in b.column("text").to_pylist():
             s = make.shingles(t)
             n.append(len(s))
             f1.append(xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63) if len(s) else None)
             f2.append(xxhash.xxh64_intdigest(s.tobytes(), 2) - (1 << 63) if len(s) else None)
             sig.append(signature(s).tobytes() if len(s) else None)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        cols = [pa.array(c, k) for c, k in zip((n, f1, f2, sig), kinds)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "n_shingles", "f1", "f2", "sig"])
+            sk.append(sketch(s) if len(s) else None)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        cols = [pa.array(c, k) for c, k in zip((n, f1, f2, sig, sk), kinds)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "n_shingles", "f1", "f2", "sig", "sketch"])
 
 
 # --- candidates from the forest --------------------------------------------------------------------
 
-ROWS = "tree short, prefix binary, node long, comp long, n long, low binary"
-FOUND = "a long, b long, est float, edge int, side int, pos int, tree short, prefix binary, node long, comp long, n long, low binary"
+ROWS = "tree short, prefix binary, node long, comp long, n long, sketch binary"
+FOUND = "a long, b long, est float, edge int, side int, pos int, tree short, prefix binary, node long, comp long, n long, sketch binary"
 
 
 def _forest_rows(nodes: DataFrame) -> DataFrame:
-    """One row per class and tree: prefix in that tree's order, and 8 bits of each minimum for estimates."""
+    """One row per class and tree: prefix in that tree's order, and the sketch for estimates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2048):
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), ">u2").reshape(-1, FUNCTIONS)
-            low = pa.array([r.tobytes() for r in (sig & 255).astype(np.uint8)], pa.binary())
             for t in range(TREES):
                 prefix = [r.tobytes() for r in np.ascontiguousarray(sig[:, t * DEPTH : (t + 1) * DEPTH])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(sig), t), pa.int16()), pa.array(prefix, pa.binary()), *map(b.column, ("node", "comp", "n")), low],
-                    names=["tree", "prefix", "node", "comp", "n", "low"],
+                    [pa.array(np.full(len(sig), t), pa.int16()), pa.array(prefix, pa.binary()), *map(b.column, ("node", "comp", "n", "sketch"))],
+                    names=["tree", "prefix", "node", "comp", "n", "sketch"],
                 )
 
-    return nodes.select("sig", "node", "comp", "n").mapInArrow(run, ROWS)
+    return nodes.select("sig", "node", "comp", "n", "sketch").mapInArrow(run, ROWS)
 
 
 def nearest(rows: dict[str, np.ndarray], new: int, window: int, min_depth: int, take: int, least: float):
@@ -144,8 +175,7 @@ def nearest(rows: dict[str, np.ndarray], new: int, window: int, min_depth: int,
         ok &= (rows["prefix"][i, :depth2] == rows["prefix"][j, :depth2]).all(axis=1)
         i, j = i[ok], j[ok]
         if len(i):
-            same = (rows["low"][i] == rows["low"][j]).mean(axis=1)
-            est[i, s - 1] = np.maximum(0, (same - 1 / 256) / (1 - 1 / 256))
+            est[i, s - 1] = estimates(rows["sketch"][i], rows["sketch"][j])
     out = []
     at = np.arange(n)
     for _ in range(take):
@@ -167,7 +197,7 @@ def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
     get = lambda c: b.column(b.schema.get_field_index(c))
     out = {c: get(c).to_numpy(zero_copy_only=False) for c in ("tree", "node", "comp", "n")}
     out["prefix"] = np.frombuffer(b"".join(get("prefix").to_pylist()), np.uint8).reshape(-1, 2 * DEPTH)
-    out["low"] = np.frombuffer(b"".join(get("low").to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
+    out["sketch"] = np.frombuffer(b"".join(get("sketch").to_pylist()), np.uint64).reshape(-1, 2 * BINS // 64)
     return out
 
 
@@ -177,7 +207,7 @@ def _scan(window: int, min_depth: int, take: int, least: float):
     def emit(a, b, est, edge=None, side=None, pos=None, rows=None):
         k = len(a) if rows is None else len(edge)
         none = lambda t: pa.nulls(k, t)
-        kinds = dict(tree=pa.int16(), prefix=pa.binary(), node=pa.int64(), comp=pa.int64(), n=pa.int64(), low=pa.binary())
+        kinds = dict(tree=pa.int16(), prefix=pa.binary(), node=pa.int64(), comp=pa.int64(), n=pa.int64(), sketch=pa.binary())
         if rows is None:
             cols = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(est, pa.float32()), *[none(pa.int32())] * 3]
             cols += [none(t) for t in kinds.values()]
@@ -210,7 +240,7 @@ def _scan(window: int, min_depth: int, take: int, least: float):
 
 
 def candidates(nodes: DataFrame, window: int, min_depth: int, take: int, least: float) -> DataFrame:
-    """Distinct (a, b, est), a < b, of classes in different components. nodes: node, comp, n, sig."""
+    """Distinct (a, b, est), a < b, of classes in different components. nodes: node, comp, n, sig, sketch."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["tree", "prefix", "node"]
     found = stored(
@@ -223,7 +253,7 @@ def candidates(nodes: DataFrame, window: int, min_depth: int, take: int, least:
         left = int((pdf["side"] == 0).sum())
         if left in (0, len(pdf)):
             return pd.DataFrame({"a": [], "b": [], "est": []}).astype({"a": "int64", "b": "int64", "est": "float32"})
-        batch = pa.RecordBatch.from_pandas(pdf[["tree", "prefix", "node", "comp", "n", "low"]], preserve_index=False)
+        batch = pa.RecordBatch.from_pandas(pdf[["tree", "prefix", "node", "comp", "n", "sketch"]], preserve_index=False)
         a, b, e = nearest(_columns(batch), len(pdf) - left, window, min_depth, take, least)
         return pd.DataFrame({"a": a, "b": b, "est": e.astype("float32")})
 
@@ -314,7 +344,7 @@ def near_duplicates(
     percent: int = 75,
     window: int = 16,
     min_depth: int = 2,
-    slack: float = 0.15,
+    slack: float = 0.1,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -330,7 +360,7 @@ def near_duplicates(
     usable = sets.filter(F.col("doc_id").isNotNull() & F.col("f1").isNotNull())
     classes = stored(
         usable.groupBy("f1", "f2").agg(
-            F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("members")
+            F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("members")
         ), "classes",
     )
     spark = docs.sparkSession
@@ -340,24 +370,21 @@ def near_duplicates(
     ends = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     near = stored(classes.join(ends, "node", "left_semi"), "near-classes")
     whole = _full_sets(own, near)
-    links = spark.createDataFrame([], "a long, b long")
     comp = spark.createDataFrame([], "node long, comp long")
     tested, todo = first.select("a", "b"), first
     # Later scans of the near classes: first the best candidates in other components, at last the whole
     # window; groups that the best ones join need no further pairs.
     wide = 4 * window
-    for take in (2, 8, wide, None):
+    for take in (2, wide, None):
         if not todo.isEmpty():
             # the best candidate of each class first: these links join most of a group
             ranked = F.struct(F.col("est"), -F.col("a"), -F.col("b"))
             ends = todo.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", ranked.alias("rank"))
             best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), "rank").alias("p")).select("p.a", "p.b").distinct()
             best = stored(best, "best-candidates")
-            links = links.unionByName(_confirmed(best, whole, percent))
-            comp = stored(components(links), "components")
+            comp = _joined(comp, _confirmed(best, whole, percent))
             rest = todo.select("a", "b").join(best, ["a", "b"], "left_anti")
-            links = stored(links.unionByName(_confirmed(_between(rest, comp), whole, percent)), "all-links")
-            comp = stored(components(links), "components")
+            comp = _joined(comp, _confirmed(_between(rest, comp), whole, percent))
         if take is None:
             break
         again = near.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -366,13 +393,20 @@ def near_duplicates(
         tested = tested.unionByName(todo.select("a", "b"))
 
     copies = classes.filter("members > 1").select("f1", "f2", F.col("node").alias("first_id"))
-    rows = sets.drop("sig").join(copies, ["f1", "f2"], "left").withColumn("node", F.coalesce("first_id", "doc_id"))
+    rows = sets.drop("sig", "sketch").join(copies, ["f1", "f2"], "left").withColumn("node", F.coalesce("first_id", "doc_id"))
     alone = F.col("f1").isNull() | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("comp", "node"))
     out = rows.join(comp, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links; the earlier ones count as links of each node to its component."""
+    if links.isEmpty():
+        return comp
+    return stored(components(links.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")))), "components")
+
+
 def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components."""
     of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
