@@ -9,9 +9,8 @@
    spreads over tasks, and rows at partition borders are compared in a second step.
 3. The nearest of these by estimated similarity are candidates; the full sets confirm or reject them, best
    candidate of each class first, and those inside one component not at all.
-4. Rounds: classes that had a candidate scan again, in a wider window and only for classes of other
-   components that they have not been compared with; first for the best ones, in the last round for
-   all in the window, so that no untested candidate is left in it.
+4. Second round: classes that had a candidate scan again, in a wider window and only for classes of other
+   components; all of these that they have not been compared with are candidates.
 
 Links are facts (full sets decide). Candidates are confirmed from an estimate of the threshold less
 ``slack`` on; the sketch's standard error at 0.75 is at most 0.025, so 0.1 is 4 of them. A pair at exactly 0.75 is missed by all 12 trees of depth 2
@@ -372,10 +371,9 @@ def near_duplicates(
     whole = _full_sets(own, near)
     comp = spark.createDataFrame([], "node long, comp long")
     tested, todo = first.select("a", "b"), first
-    # Later scans of the near classes: first the best candidates in other components, at last the whole
-    # window; groups that the best ones join need no further pairs.
+    # The second scan takes all of a wider window: the first one has joined most of a group, whose members need no further pairs.
     wide = 4 * window
-    for take in (2, wide, None):
+    for take in (wide, None):
         if not todo.isEmpty():
             # the best candidate of each class first: these links join most of a group
             ranked = F.struct(F.col("est"), -F.col("a"), -F.col("b"))
