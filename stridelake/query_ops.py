@@ -18,9 +18,9 @@ from .query_registry import register
 from .sources import fixtures
 from .sources.tables import read_table
 
-# Conversation parameters for the given data: sessions hold 2 to 8 turns, so
-# the service defaults (keep 6, compact over 12) would never trigger.
-RECENT_LIMIT = 2
+RECENT_LIMIT = conv.RECENT_RAW_MESSAGE_LIMIT
+#: The given sessions hold 2 to 8 messages, so only the compaction pair needs smaller numbers.
+COMPACTION_LIMIT = 2
 COMPACTION_TRIGGER = 4
 # Incremental split: the target holds activities up to this day; the batch
 # is every landing partition since the mark minus the lookback.
@@ -240,21 +240,21 @@ def q_conversation_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     "compaction_plan",
     f"""
 select session_id, cast(count(*) as bigint) as total_messages, cast(0 as bigint) as summarized_before,
- cast(count(*) - {RECENT_LIMIT} as bigint) as messages_to_compact, cast(count(*) - {RECENT_LIMIT} as bigint) as summarized_after
-from t_messages group by session_id having count(*) > {COMPACTION_TRIGGER} and count(*) > {RECENT_LIMIT}""",
+ cast(count(*) - {COMPACTION_LIMIT} as bigint) as messages_to_compact, cast(count(*) - {COMPACTION_LIMIT} as bigint) as summarized_after
+from t_messages group by session_id having count(*) > {COMPACTION_TRIGGER} and count(*) > {COMPACTION_LIMIT}""",
 )
 def q_compaction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conv.compaction_plan(_messages(spark, sf_dir), trigger=COMPACTION_TRIGGER, limit=RECENT_LIMIT)
+    return conv.compaction_plan(_messages(spark, sf_dir), trigger=COMPACTION_TRIGGER, limit=COMPACTION_LIMIT)
 
 
 @register(
     "messages_to_compact",
     _RANKED
     + f"""select session_id, created_at, role, content, cast(total - rd as bigint) as position from r
-where total > {COMPACTION_TRIGGER} and total > {RECENT_LIMIT} and total - rd < total - {RECENT_LIMIT}""",
+where total > {COMPACTION_TRIGGER} and total > {COMPACTION_LIMIT} and total - rd < total - {COMPACTION_LIMIT}""",
 )
 def q_messages_to_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conv.messages_to_compact(_messages(spark, sf_dir), trigger=COMPACTION_TRIGGER, limit=RECENT_LIMIT)
+    return conv.messages_to_compact(_messages(spark, sf_dir), trigger=COMPACTION_TRIGGER, limit=COMPACTION_LIMIT)
 
 
 @register(
@@ -293,11 +293,14 @@ with runs as (select session_id, created_at,
     + """select session_id, created_at, prompt_tokens, completion_tokens,
  case when prompt_tokens is null and completion_tokens is null then null
       else coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0) end as total_tokens,
- case when prompt_tokens is null and completion_tokens is null then 'failed' else 'completed' end as status
+ 'completed' as status
 from runs""",
 )
 def q_llm_run_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token accounting of the model runs behind assistant turns."""
+    """Token accounting of the model runs behind assistant turns.
+
+    Each of these runs returned its reply, so it is completed, whether or not it reported counts.
+    """
     m = _messages(spark, sf_dir).filter(F.col("role") == "assistant")
     key = F.col("session_id") + F.col("created_at")
     runs = m.select(
@@ -314,7 +317,7 @@ def q_llm_run_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select(
         "*",
         total.alias("total_tokens"),
-        F.when(total.isNull(), F.lit("failed")).otherwise(F.lit("completed")).alias("status"),
+        F.lit("completed").alias("status"),
     )
 
 
@@ -455,16 +458,15 @@ def q_fetch_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "backfill_dates",
     """
-with parts as (select run_date as dt from t_activities where activity_type = 'running'
-               union select run_date from t_splits where intensity_type = 'INTERVAL'),
+with parts as (select run_date as dt from t_activities union select run_date from t_splits),
 d as (select cast(cast(x as date) as varchar) as run_date
       from unnest(generate_series(date '1996-01-01', date '1996-03-31', interval 1 day)) t(x))
 select run_date from d where run_date in (select dt from parts)""",
 )
 def q_backfill_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days of a requested range that have a raw partition for any asset."""
-    a = fixtures.activities(spark, sf_dir).filter(F.col("activity_type") == "running").select(F.col("run_date").alias("dt"))
-    s = fixtures.splits(spark, sf_dir).filter(F.col("intensity_type") == "INTERVAL").select(F.col("run_date").alias("dt"))
+    a = fixtures.activities(spark, sf_dir).select(F.col("run_date").alias("dt"))
+    s = fixtures.splits(spark, sf_dir).select(F.col("run_date").alias("dt"))
     return ingest.backfill_dates(spark, "1996-01-01", "1996-03-31", a.union(s))
 
 
