@@ -2,15 +2,15 @@
 
 1. Each text becomes its set of 5-word shingles (64-bit hashes) and a signature. Equal sets form one
    class; only classes are compared.
-2. Every tree of the forest is one sort order of the classes by a part of the signature. In that order a
-   class looks at the next ``window`` rows of its region: rows whose common prefix reaches at
-   least ``min_depth``; where a region is dense, the window itself holds only rows of a deeper prefix,
-   so the depth adapts to the region. Orders are range partitioned, so a dense region
-   spreads over tasks, and rows at partition borders are compared in a second step.
-3. The nearest of these by estimated similarity are candidates; the full sets confirm or reject them, best
-   candidate of each class first, and those inside one component not at all.
-4. Second round: classes that had a candidate scan again, in a wider window and only for classes of other
-   components; all of these that they have not been compared with are candidates.
+2. Every tree of the forest is one sort order of the classes by a part of the signature. Classes whose first
+   ``min_depth`` minima agree in a tree share a bucket; only buckets of two or more are kept.
+3. First scan: in each order a class looks at the next ``window`` rows of its bucket, and the nearest by estimated
+   similarity is a candidate; the full sets confirm or reject them, best candidate of each class first. This joins
+   most of a group cheaply and decides nothing else.
+4. Second scan: within every bucket all pairs of classes of different components are compared, however many
+   rows the bucket has. Large buckets are cut into blocks, and each pair of blocks is one piece of work; pairs of blocks
+   of the same component are left out. All pairs found are confirmed or lie in one component by then, so nothing is
+   left that a further scan could find.
 
 Links are facts (full sets decide). Candidates are confirmed from an estimate of the threshold less
 ``slack`` on; the sketch's standard error at 0.75 is at most 0.025, so 0.1 is 4 of them. A pair at exactly 0.75 is missed by all 12 trees of depth 2
@@ -22,10 +22,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,129 +135,145 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- candidates from the forest --------------------------------------------------------------------
 
-ROWS = "tree short, prefix binary, node long, comp long, n long, sketch binary"
-FOUND = "a long, b long, est float, edge int, side int, pos int, tree short, prefix binary, node long, comp long, n long, sketch binary"
+BLOCK = 256
+PLACES = "tree short, prefix binary, bucket long, node long"
+PAIRS = "a long, b long, est float"
 
 
-def _forest_rows(nodes: DataFrame) -> DataFrame:
-    """One row per class and tree: prefix in that tree's order, and the sketch for estimates."""
+def _places(nodes: DataFrame, min_depth: int) -> DataFrame:
+    """One row per class and tree in which another class shares its bucket: tree, prefix, bucket, node, n, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2048):
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), ">u2").reshape(-1, FUNCTIONS)
             for t in range(TREES):
-                prefix = [r.tobytes() for r in np.ascontiguousarray(sig[:, t * DEPTH : (t + 1) * DEPTH])]
+                own = np.ascontiguousarray(sig[:, t * DEPTH : (t + 1) * DEPTH])
+                bucket = np.full(len(own), np.uint64(t + 1))
+                for k in range(min_depth):  # two buckets under one number only cost comparisons
+                    bucket = _mixed(bucket * _STEP + own[:, k].astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(sig), t), pa.int16()), pa.array(prefix, pa.binary()), *map(b.column, ("node", "comp", "n", "sketch"))],
-                    names=["tree", "prefix", "node", "comp", "n", "sketch"],
+                    [pa.array(np.full(len(own), t), pa.int16()), pa.array([r.tobytes() for r in own], pa.binary()), pa.array(bucket.view(np.int64)), b.column("node")],
+                    names=["tree", "prefix", "bucket", "node"],
                 )
 
-    return nodes.select("sig", "node", "comp", "n", "sketch").mapInArrow(run, ROWS)
+    every = nodes.select("sig", "node").mapInArrow(run, PLACES)
+    shared = every.groupBy("bucket").count().filter("count > 1").select("bucket")
+    return stored(every.join(shared, "bucket").join(nodes.select("node", "n", "sketch"), "node"), "forest")
 
 
-def nearest(rows: dict[str, np.ndarray], new: int, window: int, min_depth: int, take: int, least: float):
-    """(a, b, estimate) of the ``take`` nearest later rows within the window of each row.
+def _similar_size(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    size_i, size_j = rows["n"][i], rows["n"][j]
+    return 4 * np.minimum(size_i, size_j) >= 3 * np.maximum(size_i, size_j)
+
+
+def nearest(rows: dict[str, np.ndarray], new: int, window: int, least: float):
+    """(a, b, estimate) of the nearest later row within the window and bucket of each row.
 
     rows: columns in sort order; the first len - ``new`` rows came before and only look at new ones.
     """
     n = len(rows["node"])
     est = np.zeros((n, window), np.float32)
-    depth2 = 2 * min_depth
     for s in range(1, min(window, n - 1) + 1):
         i = np.arange(max(0, n - new - s), n - s)
         j = i + s
-        size_i, size_j = rows["n"][i], rows["n"][j]
-        ok = (rows["tree"][i] == rows["tree"][j]) & (rows["comp"][i] != rows["comp"][j])
-        ok &= 4 * np.minimum(size_i, size_j) >= 3 * np.maximum(size_i, size_j)
-        ok &= (rows["prefix"][i, :depth2] == rows["prefix"][j, :depth2]).all(axis=1)
+        ok = (rows["bucket"][i] == rows["bucket"][j]) & _similar_size(rows, i, j)
         i, j = i[ok], j[ok]
         if len(i):
             est[i, s - 1] = estimates(rows["sketch"][i], rows["sketch"][j])
-    out = []
+    best = est.argmax(axis=1)
+    value = est[np.arange(n), best]
+    hit = np.flatnonzero(value >= least)
+    a, b = rows["node"][hit], rows["node"][hit + 1 + best[hit]]
+    return np.minimum(a, b), np.maximum(a, b), value[hit]
+
+
+def every_pair(rows: dict[str, np.ndarray], least: float):
+    """(a, b, estimate) of all pairs of rows of one piece that lie in different components and, if it has two sides, on both."""
+    n = len(rows["node"])
     at = np.arange(n)
-    for _ in range(take):
-        best = est.argmax(axis=1)
-        value = est[at, best]
-        hit = np.flatnonzero(value >= least)
-        if not len(hit):
+    end = np.searchsorted(rows["piece"], rows["piece"], side="right")  # sorted by piece
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    i = at
+    for s in range(1, n):
+        i = i[i + s < end[i]]
+        if not len(i):
             break
-        out.append((hit, hit + 1 + best[hit], value[hit]))
-        est[hit, best[hit]] = 0
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    i, j, v = (np.concatenate(c) for c in zip(*out))
-    a, b = rows["node"][i], rows["node"][j]
-    return np.minimum(a, b), np.maximum(a, b), v
+        ok = (rows["comp"][i] != rows["comp"][i + s]) & ((rows["side"][i] == 0) | (rows["side"][i] != rows["side"][i + s]))
+        x = i[ok & _similar_size(rows, i, i + s)]
+        if len(x):
+            e = estimates(rows["sketch"][x], rows["sketch"][x + s])
+            x, e = x[e >= least], e[e >= least]
+            a, b = rows["node"][x], rows["node"][x + s]
+            out.append((np.minimum(a, b), np.maximum(a, b), e.astype(np.float32)))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
-    get = lambda c: b.column(b.schema.get_field_index(c))
-    out = {c: get(c).to_numpy(zero_copy_only=False) for c in ("tree", "node", "comp", "n")}
-    out["prefix"] = np.frombuffer(b"".join(get("prefix").to_pylist()), np.uint8).reshape(-1, 2 * DEPTH)
-    out["sketch"] = np.frombuffer(b"".join(get("sketch").to_pylist()), np.uint64).reshape(-1, 2 * BINS // 64)
+    out = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names if c != "sketch"}
+    out["sketch"] = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint64).reshape(-1, 2 * BINS // 64)
     return out
 
 
-def _scan(window: int, min_depth: int, take: int, least: float):
-    """Candidates within a sorted partition, and its first and last rows for the border step."""
-
-    def emit(a, b, est, edge=None, side=None, pos=None, rows=None):
-        k = len(a) if rows is None else len(edge)
-        none = lambda t: pa.nulls(k, t)
-        kinds = dict(tree=pa.int16(), prefix=pa.binary(), node=pa.int64(), comp=pa.int64(), n=pa.int64(), sketch=pa.binary())
-        if rows is None:
-            cols = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(est, pa.float32()), *[none(pa.int32())] * 3]
-            cols += [none(t) for t in kinds.values()]
-        else:
-            cols = [none(pa.int64()), none(pa.int64()), none(pa.float32())]
-            cols += [pa.array(x, pa.int32()) for x in (edge, side, pos)]
-            cols += [
-                pa.array([r.tobytes() for r in rows[c]] if t == pa.binary() else rows[c], t) for c, t in kinds.items()
-            ]
-        return pa.RecordBatch.from_arrays(cols, names=["a", "b", "est", "edge", "side", "pos", *kinds])
+def _pair_batch(found) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float32()))], names=["a", "b", "est"])
+
+
+def neighbours(places: DataFrame, window: int, least: float) -> DataFrame:
+    """Distinct (a, b, est), a < b: the nearest row of each in its window. Windows end with their partition; ``across`` needs none of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, first, seen = TaskContext.get().partitionId(), None, None, 0
+        held = None
         for b in slices(batches, 4096):
             new = _columns(b)
             joined = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
             # rows of the previous slice look again: their window was cut at its end
-            a, c, e = nearest(joined, b.num_rows, window, min_depth, take, least)
-            yield emit(a, c, e)
-            if seen < window:  # ``held`` still has every earlier row
-                first = {c: x[:window] for c, x in joined.items()}
-            seen += b.num_rows
+            yield _pair_batch(nearest(joined, b.num_rows, window, least))
             held = {c: x[-window:] for c, x in joined.items()}
-        if held is not None:
-            k, m = len(first["node"]), len(held["node"])
-            yield emit([], [], [], np.full(k, part - 1), np.ones(k, int), np.arange(k), first)
-            yield emit([], [], [], np.full(m, part), np.zeros(m, int), np.arange(m), held)
 
-    return run
+    parts = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["tree", "prefix", "node"]
+    rows = places.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("bucket", "node", "n", "sketch")
+    return rows.mapInArrow(run, PAIRS).groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
-def candidates(nodes: DataFrame, window: int, min_depth: int, take: int, least: float) -> DataFrame:
-    """Distinct (a, b, est), a < b, of classes in different components. nodes: node, comp, n, sig, sketch."""
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["tree", "prefix", "node"]
-    found = stored(
-        _forest_rows(nodes).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        .mapInArrow(_scan(window, min_depth, take, least), FOUND), "forest-scan",
-    )
+def across(places: DataFrame, comp: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b, est), a < b: all pairs of different components that share a bucket.
+
+    The rows of a bucket are cut into blocks of about BLOCK rows; a component with more rows than that in the bucket has blocks
+    of its own, which are not compared with one another. Each pair of blocks is a piece, dealt out by itself.
+    """
+    rows = stored(places.join(comp, "node", "left").select("bucket", "node", "n", "sketch", F.coalesce("comp", "node").alias("comp")), "forest-rows")
+    counts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("held"))
+    mixed = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("bucket")
+    large = F.col("held") > BLOCK
+    counts = counts.join(mixed, "bucket").select("bucket", "comp", "held", large.alias("large"), F.when(large, F.col("comp")).otherwise(0).alias("own"))
+    counts = stored(counts, "bucket-components")
+    sizes = counts.groupBy("bucket", "large", "own").agg(F.ceil(F.sum("held") / BLOCK).cast("long").alias("blocks"))
+    block = ["bucket", "large", "own", "block"]
+    blocks = sizes.select("bucket", "large", "own", F.explode(F.sequence(F.lit(1).cast("long"), "blocks")).alias("block"))
+    x, y = (blocks.select("bucket", F.struct("large", "own", "block").alias(c)) for c in "xy")
+    same = F.col("x.large") & F.col("y.large") & (F.col("x.own") == F.col("y.own"))
+    pieces = x.join(y, "bucket").filter((F.col("x") <= F.col("y")) & ~same)
+    pieces = pieces.select("bucket", F.xxhash64("bucket", "x", "y").alias("piece"), "x", "y")
+    alone = pieces.filter("x = y").select("bucket", "piece", F.lit(0).alias("side"), "x.*")
+    ends = [pieces.filter("x <> y").select("bucket", "piece", F.lit(k + 1).alias("side"), f"{c}.*") for k, c in enumerate("xy")]
+    of_piece = alone.unionByName(ends[0]).unionByName(ends[1])
+    rows = rows.join(counts.join(sizes, ["bucket", "large", "own"]).drop("held"), ["bucket", "comp"])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks") + 1).join(of_piece, block)
 
-    def border(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "pos"], kind="stable")
-        left = int((pdf["side"] == 0).sum())
-        if left in (0, len(pdf)):
-            return pd.DataFrame({"a": [], "b": [], "est": []}).astype({"a": "int64", "b": "int64", "est": "float32"})
-        batch = pa.RecordBatch.from_pandas(pdf[["tree", "prefix", "node", "comp", "n", "sketch"]], preserve_index=False)
-        a, b, e = nearest(_columns(batch), len(pdf) - left, window, min_depth, take, least)
-        return pd.DataFrame({"a": a, "b": b, "est": e.astype("float32")})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in slices(batches, 4096):
+            new = _columns(b)
+            new = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
+            cut = int(np.searchsorted(new["piece"], new["piece"][-1]))  # the last piece may go on
+            yield _pair_batch(every_pair({c: v[:cut] for c, v in new.items()}, least))
+            held = {c: v[cut:] for c, v in new.items()}
+        if held is not None:
+            yield _pair_batch(every_pair(held, least))
 
-    rims = found.filter(F.col("edge").isNotNull()).drop("a", "b", "est")
-    across = rims.groupBy("edge").applyInPandas(border, "a long, b long, est float")
-    inside = found.filter(F.col("edge").isNull()).select("a", "b", "est")
-    return inside.unionByName(across).groupBy("a", "b").agg(F.max("est").alias("est"))
+    dealt = rows.select("piece", "side", "node", "comp", "n", "sketch").repartition("piece").sortWithinPartitions("piece")
+    return dealt.mapInArrow(run, PAIRS).groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
 # --- confirmation and components ------------------------------------------------------------------
@@ -365,15 +379,13 @@ def near_duplicates(
     spark = docs.sparkSession
     least = percent / 100 - slack
 
-    first = stored(candidates(classes.withColumn("comp", F.col("node")), window, min_depth, 1, least), "candidates")
-    ends = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    near = stored(classes.join(ends, "node", "left_semi"), "near-classes")
-    whole = _full_sets(own, near)
+    places = _places(classes, min_depth)
     comp = spark.createDataFrame([], "node long, comp long")
-    tested, todo = first.select("a", "b"), first
-    # The second scan takes all of a wider window: the first one has joined most of a group, whose members need no further pairs.
-    wide = 4 * window
-    for take in (wide, None):
+    todo = stored(neighbours(places, window, least), "candidates")
+    near = _ends(todo)
+    whole = _full_sets(own, classes.join(near, "node", "left_semi"))
+    tested = todo.select("a", "b")
+    for last in (False, True):
         if not todo.isEmpty():
             # the best candidate of each class first: these links join most of a group
             ranked = F.struct(F.col("est"), -F.col("a"), -F.col("b"))
@@ -383,12 +395,11 @@ def near_duplicates(
             comp = _joined(comp, _confirmed(best, whole, percent))
             rest = todo.select("a", "b").join(best, ["a", "b"], "left_anti")
             comp = _joined(comp, _confirmed(_between(rest, comp), whole, percent))
-        if take is None:
-            break
-        again = near.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        more = candidates(again, wide, min_depth, take, least)
-        todo = stored(more.join(tested, ["a", "b"], "left_anti"), "candidates")
-        tested = tested.unionByName(todo.select("a", "b"))
+        if not last:
+            todo = stored(across(places, comp, least).join(tested, ["a", "b"], "left_anti"), "candidates")
+            more = stored(_ends(todo).join(near, "node", "left_anti"), "near-classes")
+            if not more.isEmpty():
+                whole = whole.unionByName(_full_sets(own, classes.join(more, "node", "left_semi")))
 
     copies = classes.filter("members > 1").select("f1", "f2", F.col("node").alias("first_id"))
     rows = sets.drop("sig", "sketch").join(copies, ["f1", "f2"], "left").withColumn("node", F.coalesce("first_id", "doc_id"))
@@ -398,6 +409,10 @@ def near_duplicates(
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """The components after further links; the earlier ones count as links of each node to its component."""
     if links.isEmpty():

@@ -213,6 +213,16 @@ def test_near_duplicates_equal_brute_force(spark, documents):
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_of_a_hub(spark):
+    """Copies that are similar to one text only (0.77, among themselves 0.62), far more than a window holds."""
+    hub = prose(60, 44)
+    added = lambda k: " ".join(f"own{k}at{i}" for i in range(12))
+    rows = [(k, f"{hub} {added(k)}") for k in range(2500) if k != 1200] + [(1200, hub)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = near_duplicates.near_duplicates(df).groupBy("component_id").count().collect()
+    assert [(x["component_id"], x["count"]) for x in got] == [(0, 2500)]
+
+
 def test_near_duplicates_edges(spark, edge, none):
     got = near_duplicates.near_duplicates(edge).collect()
     assert len(got) == len(edge_rows())
