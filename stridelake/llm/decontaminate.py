@@ -6,7 +6,8 @@
    observed count keeps the seeds of a passage that was copied into very many documents.
 3. Seeds found in a document propose (item, diagonal); the stretch of words around the
    diagonals is aligned with the whole item by Smith-Waterman (gaps and mismatches allowed), all
-   stretches of a batch at once. Its score in shares of a perfect copy decides.
+   stretches of a batch at once. Its score in shares of a perfect copy decides, or, for an excerpt of a
+   longer item, the score itself: ``passage`` is that of so many copied words in a row.
 
 Items go through in blocks of bounded size, so what is sent to the executors is bounded.
 """
@@ -101,9 +102,10 @@ class Block:
     vocab: dict[bytes, int]
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # n -> sorted keys, item, offset
     threshold: float
+    passage: int  # score that suffices whatever the item's length
 
     @staticmethod
-    def build(names, texts, vocab, p: np.ndarray, rate: float, longest: int, threshold: float) -> Block:
+    def build(names, texts, vocab, p: np.ndarray, rate: float, longest: int, threshold: float, passage: int) -> Block:
         items = [np.array([vocab[w] for w in ws], np.int64) for ws in texts]
         found: dict[int, list[tuple[np.uint64, int, int]]] = {}
         for k, it in enumerate(items):
@@ -119,7 +121,7 @@ class Block:
         for n, rows in found.items():
             rows.sort()
             seeds[n] = tuple(np.array(c, t) for c, t in zip(zip(*rows), (np.uint64, np.int64, np.int64)))
-        return Block(list(names), items, vocab, seeds, threshold)
+        return Block(list(names), items, vocab, seeds, threshold, passage)
 
     def stretches(self, ids: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, from, to) around the seed hits in the texts; overlapping ones of an item are joined."""
@@ -167,7 +169,7 @@ class Block:
             score, end = align(padded([self.items[k] for _, k, _, _ in part], -3), padded([x for *_, x in part], -2))
             for (row, k, a, ids), s, e in zip(part, score.tolist(), end.tolist()):
                 share = s / (MATCH * len(self.items[k]))
-                if share >= self.threshold and share > best.get((row, k), (0.0,))[0]:
+                if (share >= self.threshold or s >= self.passage) and share > best.get((row, k), (0.0,))[0]:
                     _, back = align(self.items[k][::-1][None, :], ids[:e][::-1][None, :])
                     best[row, k] = (share, a + e - int(back[0]), a + e)
         for (row, k), (share, start, end) in sorted(best.items()):
@@ -194,7 +196,7 @@ def word_counts(docs: DataFrame, vocab: dict[bytes, int], text_col: str) -> tupl
 
 
 def blocks(
-    docs: DataFrame, benchmark: DataFrame, text_col="text", items_per_block=5_000, rate=1e-7, longest=6, threshold=0.5, min_words=8
+    docs: DataFrame, benchmark: DataFrame, text_col="text", items_per_block=5_000, rate=1e-7, longest=6, threshold=0.5, min_words=8, passage_words=18
 ) -> Iterator[Block]:
     """Blocks of test items. Items with fewer than ``min_words`` words (null ones too) match nothing."""
     rows = benchmark.select(benchmark["item_id"].cast("long"), benchmark["text"].cast("string")).toLocalIterator()
@@ -204,7 +206,7 @@ def blocks(
         vocab = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in held for w in ws))}
         n, total = word_counts(docs, vocab, text_col)
         p = (n + 1) / max(1, total + len(vocab))
-        return Block.build([i for i, _ in held], [ws for _, ws in held], vocab, p, rate, longest, threshold)
+        return Block.build([i for i, _ in held], [ws for _, ws in held], vocab, p, rate, longest, threshold, MATCH * passage_words)
 
     for item, text in rows:
         ws = words(text)
@@ -223,8 +225,8 @@ MATCHES = "doc_id long, item_id long, score double, first_word long, end_word lo
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """doc_id, item_id, score, first_word, end_word of every test item that a document holds a copy of.
 
-    score: Smith-Waterman score in shares of a perfect copy, at least ``threshold``; the best place
-    per row and item. Null and empty texts hold nothing; null ids are reported as null; repeated rows
+    score: Smith-Waterman score in shares of a perfect copy, at least ``threshold`` or worth ``passage_words``
+    copied words; the best place per row and item. Null and empty texts hold nothing; null ids are reported as null; repeated rows
     are reported each; no items or no documents give an empty table. Other columns are not read.
     """
     own = id_text(docs, id_col, text_col)

@@ -109,6 +109,20 @@ def test_leaks(spark, edge, none):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_parts_of_long_items(spark):
+    items = [prose(300 + i, n) for i, n in enumerate((200, 59, 38, 200))]
+    w = [x.split() for x in items]
+    third = [f"other{k}" if k % 6 in (3, 4) and k < 36 or k == 17 else x for k, x in enumerate(w[2])]  # one in three, in pairs
+    texts = [w[0][60:150], w[1][:29], third, w[3][100:112]]
+    texts = [" ".join([prose(400 + i, 60), *x, prose(500 + i, 60)]) for i, x in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 2)}  # twelve words of 200 are no excerpt
+    assert all(x < 0.5 for x in got.values())
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()] == [3]
+
+
 def test_alignment_equals_plain_smith_waterman():
     def plain(a, b):
         h = np.zeros((len(a) + 1, len(b) + 1), int)
