@@ -9,6 +9,7 @@
    stretches of a batch at once. Its score in shares of a perfect copy decides, or, for an excerpt of a
    longer item, the score itself: ``passage`` is that of so many copied words in a row.
 
+Items of fewer than ``min_words`` words are matched as whole sequences of words, exactly.
 Items go through in blocks of bounded size, so what is sent to the executors is bounded.
 """
 
@@ -28,18 +29,23 @@ from .common import free_name, id_text, slices
 
 #: Separators besides ASCII white space and punctuation: Latin-1 marks, general and CJK punctuation.
 OTHER_MARKS = re.compile("[\u00a0-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u3000-\u303f]")
+#: Scripts without spaces between words, each character a word: Thai to Burmese, Khmer, kana, Han, half-width kana, supplementary Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 BLANKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 MATCH, MISS, GAP = 2, -1, -1
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[bytes]:
-    """Lower-cased words in UTF-8: what stands between white space and punctuation."""
+    """Lower-cased words in UTF-8: what stands between white space and punctuation, and each character of unspaced scripts."""
     if not text:
         return []
     text = text.lower()
-    if OTHER_MARKS.search(text):
-        text = OTHER_MARKS.sub(" ", text)
+    if not text.isascii():
+        if OTHER_MARKS.search(text):
+            text = OTHER_MARKS.sub(" ", text)
+        if UNSPACED.search(text):
+            text = UNSPACED.sub(r" \g<0> ", text)
     return text.encode().translate(BLANKS).split()
 
 
@@ -103,12 +109,17 @@ class Block:
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # n -> sorted keys, item, offset
     threshold: float
     passage: int  # score that suffices whatever the item's length
+    whole: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> sorted keys, item; of short items
 
     @staticmethod
-    def build(names, texts, vocab, p: np.ndarray, rate: float, longest: int, threshold: float, passage: int) -> Block:
+    def build(names, texts, vocab, p: np.ndarray, rate: float, longest: int, threshold: float, passage: int, min_words: int) -> Block:
         items = [np.array([vocab[w] for w in ws], np.int64) for ws in texts]
         found: dict[int, list[tuple[np.uint64, int, int]]] = {}
+        short: dict[int, list[tuple[np.uint64, int]]] = {}
         for k, it in enumerate(items):
+            if len(it) < min_words:
+                short.setdefault(len(it), []).append((mix(it, len(it), np.zeros(1, np.int64))[0], k))
+                continue
             keys = {n: mix(it, n, np.arange(max(0, len(it) - n + 1))) for n in range(2, longest + 1)}
             for at in range(len(it)):
                 n, chance = 0, 1.0
@@ -121,7 +132,26 @@ class Block:
         for n, rows in found.items():
             rows.sort()
             seeds[n] = tuple(np.array(c, t) for c, t in zip(zip(*rows), (np.uint64, np.int64, np.int64)))
-        return Block(list(names), items, vocab, seeds, threshold, passage)
+        whole = {n: tuple(np.array(c, t) for c, t in zip(zip(*sorted(rows)), (np.uint64, np.int64))) for n, rows in short.items()}
+        return Block(list(names), items, vocab, seeds, threshold, passage, whole)
+
+    def copies(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, item, first word) of each place where a short item stands word for word."""
+        run = np.concatenate([[0], np.cumsum(ids >= 0)])
+        for n, (keys, item) in self.whole.items():
+            if len(ids) < n:
+                continue
+            at = np.flatnonzero(run[n:] - run[:-n] == n)
+            key = mix(ids, n, at)
+            low = np.searchsorted(keys, key)
+            low[low == len(keys)] = 0
+            at, key, low = (x[keys[low] == key] for x in (at, key, low))
+            high = np.searchsorted(keys, key, side="right")
+            rows = np.searchsorted(starts, at, side="right") - 1
+            for row, p, i, j in zip(rows.tolist(), at.tolist(), low.tolist(), high.tolist()):
+                for k in item[i:j].tolist():
+                    if np.array_equal(self.items[k], ids[p : p + n]):
+                        yield row, k, p - int(starts[row])
 
     def stretches(self, ids: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, from, to) around the seed hits in the texts; overlapping ones of an item are joined."""
@@ -162,6 +192,8 @@ class Block:
         todo = [(row, k, a - int(starts[row]), flat[a:b]) for row, k, a, b in self.stretches(flat, starts)]
         todo.sort(key=lambda x: len(x[3]))
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for row, k, p in self.copies(flat, starts):
+            best.setdefault((row, k), (1.0, p, p + len(self.items[k])))
         at = 0
         while at < len(todo):  # batches of bounded area; padding stays small because lengths are sorted
             part = todo[at : at + max(1, min(256, 200_000 // (1 + len(todo[min(at + 255, len(todo) - 1)][3]))))]
@@ -198,7 +230,7 @@ def word_counts(docs: DataFrame, vocab: dict[bytes, int], text_col: str) -> tupl
 def blocks(
     docs: DataFrame, benchmark: DataFrame, text_col="text", items_per_block=5_000, rate=1e-7, longest=6, threshold=0.5, min_words=8, passage_words=18
 ) -> Iterator[Block]:
-    """Blocks of test items. Items with fewer than ``min_words`` words (null ones too) match nothing."""
+    """Blocks of test items. Items without a word (null ones too) match nothing; those of fewer than ``min_words`` words only exactly."""
     rows = benchmark.select(benchmark["item_id"].cast("long"), benchmark["text"].cast("string")).toLocalIterator()
     held: list[tuple[int, list[bytes]]] = []
 
@@ -206,11 +238,11 @@ def blocks(
         vocab = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in held for w in ws))}
         n, total = word_counts(docs, vocab, text_col)
         p = (n + 1) / max(1, total + len(vocab))
-        return Block.build([i for i, _ in held], [ws for _, ws in held], vocab, p, rate, longest, threshold, MATCH * passage_words)
+        return Block.build([i for i, _ in held], [ws for _, ws in held], vocab, p, rate, longest, threshold, MATCH * passage_words, min_words)
 
     for item, text in rows:
         ws = words(text)
-        if len(ws) >= min_words:
+        if ws:
             held.append((item, ws))
         if len(held) == items_per_block:
             yield build()

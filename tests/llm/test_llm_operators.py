@@ -123,6 +123,18 @@ def test_leaks_of_parts_of_long_items(spark):
     assert [r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()] == [3]
 
 
+def test_leaks_of_short_and_unspaced_items(spark):
+    chinese, thai = "北京的秋天天气很好我们去公园散步看红叶", "วันนี้อากาศดีมากเราไปเดินเล่น"
+    items = ["The capital of Peru?", "zebra", chinese, thai, "永遠", "capital of Chile"]
+    edited = chinese.replace("公园", "山上")
+    texts = ["What is the CAPITAL of peru", f"昨天{edited}很多", f"ก {thai} ข", "zebras of Peru the capital", "zebra", "永 遠", f"the capital of\nPeru {chinese}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert set(got) == {(0, 0), (1, 2), (2, 3), (4, 1), (5, 4), (6, 0), (6, 2)}
+    assert (got[0, 0]["score"], got[0, 0]["first_word"], got[0, 0]["end_word"]) == (1.0, 2, 6)
+
+
 def test_alignment_equals_plain_smith_waterman():
     def plain(a, b):
         h = np.zeros((len(a) + 1, len(b) + 1), int)
