@@ -4,8 +4,8 @@
 2. ``fences``: one mergeable KLL quantile sketch per (lang, source) and statistic; sketches of
    sources are merged into one per language and one overall. A (lang, source) with fewer than
    ``min_rows`` usable documents takes its language's sketch, a small language the overall one.
-   The fence is Q3 + ``reach`` * (Q3 - Q1) (below: Q1 - ...), but never tighter than a base
-   value, so it cuts outliers of a skewed tail, not a fixed share of clean documents.
+   The fence is Q3 + ``reach`` * (Q3 - Q1) (below: Q1 - ...), with a small minimum in place of
+   Q3 - Q1 where most documents have the same value; the group alone decides, looser or tighter.
 3. The fences are joined to the statistics and decide ``kept``.
 
 The sketches hold every usable value exactly while a group has fewer than ``k`` rows; beyond that
@@ -25,13 +25,13 @@ GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
-#: statistic -> (loosest value a lower fence may take, tightest an upper fence may take); None: no fence.
-LIMITS: dict[str, tuple[float | None, float | None]] = {
-    "word_length": (2.0, 12.0),
-    "symbol_share": (None, 0.1),
-    "dup_line_share": (None, 0.3),
-    "repeat_share": (None, 0.2),
-    "upper_share": (None, 0.5),
+#: statistic -> (lower fence, upper fence, least value that Q3 - Q1 counts as).
+LIMITS: dict[str, tuple[bool, bool, float]] = {
+    "word_length": (True, True, 0.5),
+    "symbol_share": (False, True, 0.01),
+    "dup_line_share": (False, True, 0.05),
+    "repeat_share": (False, True, 0.03),
+    "upper_share": (False, True, 0.02),
 }
 
 
@@ -99,13 +99,13 @@ def text_statistics(docs: DataFrame, id_col="doc_id", text_col="text", lang_col=
 
 def _quartile_fences(sketches: DataFrame, keys: list[str], prefix: str, reach: float) -> DataFrame:
     out = [*keys, F.col("n").alias(f"{prefix}_n")]
-    for name, (low, high) in LIMITS.items():
+    for name, (low, high, spread) in LIMITS.items():
         q = lambda p: F.kll_sketch_get_quantile_double(F.col(f"s_{name}"), F.lit(p))  # noqa: B023,E731
-        wide = reach * (q(0.75) - q(0.25))
-        if low is not None:
-            out.append(F.least(F.lit(low), q(0.25) - wide).alias(f"{prefix}_{name}_low"))
-        if high is not None:
-            out.append(F.greatest(F.lit(high), q(0.75) + wide).alias(f"{prefix}_{name}_high"))
+        wide = reach * F.greatest(q(0.75) - q(0.25), F.lit(spread))
+        if low:
+            out.append((q(0.25) - wide).alias(f"{prefix}_{name}_low"))
+        if high:
+            out.append((q(0.75) + wide).alias(f"{prefix}_{name}_high"))
     return sketches.select(*out)
 
 
@@ -132,8 +132,8 @@ def fences(stats: DataFrame, reach: float = 3.0, min_rows: int = 200, k: int = 2
         .join(whole, F.col("_k") == F.col("_one"), "left")
     )
     cols = []
-    for name, limit in LIMITS.items():
-        for side in (s for s, v in zip(("low", "high"), limit) if v is not None):
+    for name, (low, high, _) in LIMITS.items():
+        for side in (s for s, v in zip(("low", "high"), (low, high)) if v):
             cols.append(
                 F.coalesce(
                     F.when(F.col("a_n") >= min_rows, F.col(f"a_{name}_{side}")),
@@ -146,10 +146,10 @@ def fences(stats: DataFrame, reach: float = 3.0, min_rows: int = 200, k: int = 2
 
 def inside() -> Column:
     ok = F.lit(True)
-    for name, (low, high) in LIMITS.items():
-        if low is not None:
+    for name, (low, high, _) in LIMITS.items():
+        if low:
             ok = ok & F.coalesce(F.col(name) >= F.col(f"{name}_low"), F.lit(True))
-        if high is not None:
+        if high:
             ok = ok & F.coalesce(F.col(name) <= F.col(f"{name}_high"), F.lit(True))
     return ok
 

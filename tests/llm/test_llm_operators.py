@@ -375,6 +375,17 @@ def test_fences_adapt_to_the_group(spark):
     assert kept == set(range(60))
 
 
+def test_fences_are_tighter_than_any_constant_in_a_plain_source(spark):
+    lines = lambda i, same: "\n".join([prose(1000 * i + k, 6) for k in range(14 - same)] + ["a line"] * same)
+    rows = [(i, lines(i, 0), "en", "plain") for i in range(60)]
+    rows += [(100, lines(100, 5), "en", "plain"), (101, lines(101, 0) + " " + "#" * 40, "en", "plain")]  # shares 0.29 and 0.08
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stats = {r["doc_id"]: r for r in rules.text_statistics(df).collect()}
+    assert 0.2 < stats[100]["dup_line_share"] < 0.3 and 0.05 < stats[101]["symbol_share"] < 0.1
+    got = rules.quality_rules(df, min_rows=20).collect()
+    assert {r["doc_id"] for r in got if r["kept"]} == set(range(60)) and not any(r["base_failed"] for r in got if r["doc_id"] < 100)
+
+
 # --- 8 ---------------------------------------------------------------------------------------
 
 
