@@ -7,7 +7,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, near_duplicates, packing, quality, rules, sharding, suffix_tree, tokens
+from . import (
+    alignment, chat, decontaminate, language, near_duplicates, packing, piece_codec, quality, rules, runs, sharding,
+    suffix_tree, tokens,
+)
 from .common import table
 
 TOKENIZER_DIR = os.environ.get("STRIDELAKE_TOKENIZERS")
@@ -70,6 +73,33 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = runs.detect_runs(runs.with_periods(table(spark, sf_dir, "documents")), min_length=12)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("rest"), r["start"], r["period"])))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return t.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.rest")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(-F.col("best.rest") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = piece_codec.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    n = F.floor(F.length("ids") / 4).alias("n_tokens")
+    return t.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return alignment.align_documents(table(spark, sf_dir, "documents"), *files)
+
+
 LLM_QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
@@ -81,6 +111,9 @@ LLM_QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_language_id": op9_language_id,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_piece_codec": op12_piece_codec,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 LLM_ORACLE_SQL: dict[str, str] = {}

@@ -481,7 +481,7 @@ def test_chats(spark):
 
 
 def test_names_and_native_plans(spark, edge):
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 14))
     plan = rules.quality_rules(edge)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
