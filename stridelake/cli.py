@@ -1,8 +1,9 @@
 """Command line for the pipeline jobs.
 
 python -m stridelake.cli land   --source RAW --landing LANDING --quarantine Q [--start D --end D]
-python -m stridelake.cli build  --landing LANDING --out MODELS [--lookback N] [--full-refresh]
-python -m stridelake.cli quality --landing LANDING
+python -m stridelake.cli backfill --source RAW --landing LANDING --quarantine Q --start D --end D
+python -m stridelake.cli build  --landing LANDING --out MODELS [--lookback N] [--full-refresh] [--all-landings]
+python -m stridelake.cli quality (--models MODELS | --landing LANDING)
 python -m stridelake.cli stream --source LANDING/asset --target BRONZE/asset --keys k1,k2 --checkpoint C
 
 The session comes from ``spark-submit`` (its settings win); paths may be any
@@ -18,21 +19,26 @@ import json
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="stridelake")
     sub = ap.add_subparsers(dest="cmd", required=True)
-    p = sub.add_parser("land")
-    p.add_argument("--source", required=True)
-    p.add_argument("--landing", required=True)
-    p.add_argument("--quarantine", required=True)
-    p.add_argument("--start")
-    p.add_argument("--end")
-    p.add_argument("--assets", help="comma-separated; default: all enabled")
-    p.add_argument("--no-gate", action="store_true")
+    for name in ("land", "backfill"):
+        p = sub.add_parser(name)
+        p.add_argument("--source", required=True)
+        p.add_argument("--landing", required=True)
+        p.add_argument("--quarantine", required=True)
+        p.add_argument("--start", required=name == "backfill")
+        p.add_argument("--end", required=name == "backfill")
+        p.add_argument("--assets", help="comma-separated; default: all enabled")
+        p.add_argument("--no-gate", action="store_true")
+        p.add_argument("--on-malformed", choices=["raise", "quarantine"], default="raise")
     p = sub.add_parser("build")
     p.add_argument("--landing", required=True)
     p.add_argument("--out", required=True)
     p.add_argument("--lookback", type=int, default=0)
     p.add_argument("--full-refresh", action="store_true")
+    p.add_argument("--all-landings", action="store_true", help="keep every landing of a key inside one load")
     p = sub.add_parser("quality")
-    p.add_argument("--landing", required=True)
+    where = p.add_mutually_exclusive_group(required=True)
+    where.add_argument("--models", help="the tables that build wrote")
+    where.add_argument("--landing", help="models recomputed from the landing tables")
     p = sub.add_parser("stream")
     p.add_argument("--source", required=True)
     p.add_argument("--target", required=True)
@@ -44,26 +50,29 @@ def main(argv: list[str] | None = None) -> int:
     from .session import get_spark
 
     spark = get_spark()
-    if args.cmd == "land":
+    if args.cmd in ("land", "backfill"):
         from .config import default_config
-        from .plans.landing import run_landing
+        from .plans.landing import run_backfill, run_landing
 
         cfg = default_config(source_path=args.source, landing_path=args.landing, quarantine_dir=args.quarantine)
         assets = args.assets.split(",") if args.assets else None
-        summary = run_landing(spark, cfg, args.start, args.end, assets, gate=not args.no_gate)
-        print(json.dumps({k: v for k, v in summary.items() if k != "per_day"}))
+        job = run_backfill if args.cmd == "backfill" else run_landing
+        summary = job(
+            spark, cfg, args.start, args.end, assets, gate=not args.no_gate, on_malformed=args.on_malformed
+        )
+        print(json.dumps({k: v for k, v in summary.items() if k != "per_asset"}))
     elif args.cmd == "build":
-        from .plans.incremental_build import incremental_build
-        from .plans.medallion import models_from_landing
+        from .plans.medallion import build_all
 
-        paths = incremental_build(
-            spark, models_from_landing(spark, args.landing), args.out, args.lookback, args.full_refresh
-        )
+        paths = build_all(spark, args.landing, args.out, args.lookback, args.full_refresh, not args.all_landings)
         print(json.dumps(paths))
     elif args.cmd == "quality":
-        from .plans.medallion import bronze_tables, models_from_landing, quality_report
+        from .plans.medallion import bronze_tables, models_from_landing, quality_report, stored_quality_report
 
-        report = quality_report(models_from_landing(spark, args.landing), bronze_tables(spark, args.landing))
+        if args.models:
+            report = stored_quality_report(spark, args.models)
+        else:
+            report = quality_report(models_from_landing(spark, args.landing), bronze_tables(spark, args.landing))
         failed = [r.asDict() for r in report.filter("failures > 0").collect()]  # one row per failing test
         print(json.dumps({"failed_tests": failed}))
         return 1 if failed else 0

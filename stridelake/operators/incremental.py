@@ -13,13 +13,10 @@ the batch are replaced; NULL keys never match; duplicates inside the batch
 are kept.
 
 ``write_upsert`` applies an upsert to a parquet table folder without a
-table format. It never overwrites a path it is reading. A table without partitions is
-written whole beside the old one and swapped in by rename. For a partitioned one the
-rewritten rows are first written to a table in the shared checkpoint folder (this also
-cuts lineage, so a lost executor recomputes from that table, not from the
-old target), then copied over with dynamic partition overwrite, touching
-only the partitions (the NULL one included) that hold batch keys or batch rows; the
-staged copy is deleted.
+table format. It never overwrites a path it is reading: new files are written beside the table and
+moved in by rename, so a failure before the move leaves the table as it was. A table without partitions is
+moved in whole. For a partitioned one only the partitions (the NULL one included) that hold batch keys
+or batch rows are rewritten; finding them reads the key columns of the target alone.
 """
 
 from __future__ import annotations
@@ -27,11 +24,10 @@ from __future__ import annotations
 import datetime as _dt
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-
 
 def mark_column(target: DataFrame, col: str, lookback_days: int = 0) -> Column:
     """``max(target.col) - lookback_days`` as a lazy scalar subquery."""
@@ -68,27 +64,64 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _delete_partition(spark: SparkSession, root: str, col: str, value) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{col}={value}")
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(p):
-        fs.delete(p, True)
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _swap_in(spark: SparkSession, new: str, target: str) -> None:
-    """Put the complete folder ``new`` in the place of ``target``; the old one is dropped last."""
+def _move_in(spark: SparkSession, new: str | None, target: str, aside: str) -> None:
+    """Rename the folder ``new`` (None: nothing) to ``target``; what was there goes to ``aside``, and comes back on failure."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = f"{new}-replaced"
-    if not (fs.rename(path(target), path(old)) and fs.rename(path(new), path(target))):
-        raise OSError(f"{target}: could not be replaced; new rows are in {new}, old ones in {old}")
-    fs.delete(path(old), True)
+    had = fs.exists(path(target))
+    if had:
+        fs.mkdirs(path(aside).getParent())
+        if not fs.rename(path(target), path(aside)):
+            raise OSError(f"{target}: could not be moved aside")
+    if new is None:
+        return
+    fs.mkdirs(path(target).getParent())
+    try:
+        moved = fs.rename(path(new), path(target))
+    except Py4JJavaError:
+        moved = False
+    if not moved:
+        if had:
+            fs.rename(path(aside), path(target))
+        raise OSError(f"{target}: could not be replaced; the new rows are in {new}")
+
+
+def replace_table(spark: SparkSession, target: str, df: DataFrame, partition_col: str | None = None) -> None:
+    """Write ``df`` as the whole table; the old one, if any, is there until the new one is complete."""
+    new = beside(target)
+    w = df.write
+    (w.partitionBy(partition_col) if partition_col else w).parquet(new)
+    _move_in(spark, new, target, f"{new}-replaced")
+    _delete(spark, f"{new}-replaced")
+
+
+def beside(target: str) -> str:
+    """A fresh folder name next to ``target``: on its filesystem, so that a rename moves it in."""
+    return f"{target.rstrip('/')}-{uuid.uuid4().hex[:12]}"
+
+
+def partition_folders(spark: SparkSession, root: str, col: str) -> list[str]:
+    """Names ``col=value`` of the partition folders under ``root``: a listing, one entry a partition."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    return sorted(st.getPath().getName() for st in fs.listStatus(path) if st.getPath().getName().startswith(f"{col}="))
+
+
+def publish_partitions(spark: SparkSession, staged: str, target: str, folders: list[str]) -> None:
+    """Each of ``folders`` of ``target`` becomes that of ``staged``; one that is not staged goes."""
+    root, aside = target.rstrip("/"), f"{staged}-replaced"
+    have = {f for col in {f.split("=")[0] for f in folders} for f in partition_folders(spark, staged, col)}
+    for f in folders:
+        _move_in(spark, f"{staged}/{f}" if f in have else None, f"{root}/{f}", f"{aside}/{f}")
+    _delete(spark, staged)
+    _delete(spark, aside)
 
 
 def _partition_literal(v) -> str:
@@ -99,6 +132,20 @@ def _partition_literal(v) -> str:
     return str(v)
 
 
+def newest_per_key(batch: DataFrame, keys: list[str], newest_by: list[str]) -> DataFrame:
+    """One row per key: the one of the latest ``newest_by`` (ties: a fixed hash order).
+
+    Rows with a NULL key match nothing; their distinct rows all stay.
+    """
+    has_key = F.lit(True)
+    for k in keys:
+        has_key = has_key & F.col(k).isNotNull()
+    rank = F.struct(*newest_by, F.xxhash64(*batch.columns))
+    best = batch.filter(has_key).groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys])
+    one = best.agg(F.max_by(F.struct(*batch.columns), rank).alias("_row")).select("_row.*")
+    return one.unionByName(batch.filter(~has_key).distinct())
+
+
 def write_upsert(
     spark: SparkSession,
     target_path: str,
@@ -107,18 +154,14 @@ def write_upsert(
     partition_col: str | None = None,
 ) -> None:
     """Upsert ``batch`` into the parquet table at ``target_path``."""
-    writer_opts = {"partitionOverwriteMode": "dynamic"}
     if not _path_exists(spark, target_path):
-        w = batch.write.mode("overwrite").options(**writer_opts)
-        (w.partitionBy(partition_col) if partition_col else w).parquet(target_path)
+        replace_table(spark, target_path, batch, partition_col)
         return
 
     # The batch's schema also reads a table that was written empty (no files).
     target = spark.read.schema(batch.schema).parquet(target_path)
     if partition_col is None:
-        new = f"{target_path.rstrip('/')}-{uuid.uuid4().hex[:12]}"
-        upsert(target, batch, keys).write.parquet(new)
-        _swap_in(spark, new, target_path)
+        replace_table(spark, target_path, upsert(target, batch, keys))
         return
 
     batch_keys = batch.select(*keys).distinct()
@@ -139,14 +182,7 @@ def write_upsert(
         .join(batch_keys, keys, "left_anti")
         .unionByName(batch, allowMissingColumns=True)
     )
-    staged = scratch_path(spark, "upsert")
-    rewritten.write.mode("overwrite").partitionBy(partition_col).parquet(staged)
-    staged_df = spark.read.schema(batch.schema).parquet(staged)
-    present = {r[0] for r in staged_df.select(partition_col).distinct().collect()}
-    staged_df.select(*[c for c in target.columns]).write.mode("overwrite").options(**writer_opts).partitionBy(
-        partition_col
-    ).parquet(target_path)
-    for value in touched:
-        if value not in present:
-            _delete_partition(spark, target_path, partition_col, _partition_literal(value))
-    _delete(spark, staged)
+    staged = beside(target_path)
+    rewritten.write.partitionBy(partition_col).parquet(staged)
+    folders = [f"{partition_col}={_partition_literal(v)}" for v in touched]
+    publish_partitions(spark, staged, target_path, folders)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.incremental import _path_exists, incremental_filter, write_upsert
+from ..operators.incremental import _path_exists, incremental_filter, replace_table, write_upsert
 from .bronze import UNIQUE_KEYS
 from . import gold
 from .pipeline import TrainingModels
@@ -79,9 +79,8 @@ def incremental_build(
             else:
                 batch = incremental_filter(df, "run_date", mark_table, lookback_days)
         if full_refresh and exists[name]:
-            # static: partitions that the source no longer has go as well
-            w = batch.write.mode("overwrite").option("partitionOverwriteMode", "static")
-            (w.partitionBy(partition) if partition else w).parquet(paths[name])
+            # the whole table: partitions that the source no longer has go as well
+            replace_table(spark, paths[name], batch, partition)
         else:
             write_upsert(spark, paths[name], batch, UNIQUE_KEYS[name], partition)
         # Read back with the known schema: an empty table has no files to infer it from.

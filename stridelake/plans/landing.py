@@ -4,24 +4,29 @@ One Spark job per asset over a whole date range:
 
 scan (one row per file) -> [list payloads: latest file per day]
 -> extract records + per-file validity (inside the row, no shuffle)
--> counts per (asset, dt) -> explode valid / invalid files -> write
-``<landing>/<asset>/dt=.../`` and ``<quarantine>/<asset>/dt=.../`` with
-dynamic partition overwrite (only the processed days are replaced).
+-> one row per record, marked valid or invalid -> one write by (outcome, day)
+-> the processed days are moved into ``<landing>/<asset>/dt=.../`` and ``<quarantine>/<asset>/dt=.../``.
 
-Days that were processed but produced no valid (or no invalid) rows have
+Files and rows are counted while they are written: an ``Observation`` sits in the stage of the write,
+whose tasks count once however often a lost executor makes earlier stages run again. Nothing is persisted
+or read a second time. Days that were processed but produced no valid (or no invalid) rows have
 their old output removed, as a rerun of the original task does.
+
+A malformed file stops the job before anything is moved (``on_malformed="raise"``), or its text goes to a
+third table, ``<quarantine>/malformed/<asset>/dt=.../`` (``"quarantine"``), while the other files land.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import validate_config
 from ..operators.extract import extract_documents
+from ..operators.incremental import _delete, beside, partition_folders, publish_partitions
+from ..operators.ingest import backfill_dates, discover_partitions
 from ..sources.raw import latest_snapshot_file, scan_raw
 
 METADATA_COLUMNS = ("ingested_at", "ingestion_date", "run_date", "source_file")
@@ -50,25 +55,53 @@ def stage_documents(docs: DataFrame, asset: dict, spread: int | None = None) ->
     return extract_documents(docs, asset)
 
 
-def landing_rows(staged: DataFrame, asset: dict, clock: _dt.datetime, valid: bool = True) -> DataFrame:
-    """Exploded records of valid (or invalid) files plus metadata columns."""
+def _row_columns(asset: dict, clock: _dt.datetime) -> list:
+    """A record's columns and its metadata, from ``r`` (the record), ``dt`` and ``source_file``."""
     targets = [c["target"] for c in asset["column_mapping"]]
     ck = (asset["extract"].get("context_key") or {}).get("target")
     if ck and ck not in targets:
         targets.append(ck)
-    # The file choice sits inside the generator rather than in a Filter: a
-    # Filter on ``valid`` would be pushed below the projection that builds
-    # ``records`` and re-evaluate the whole extraction in its condition.
-    chosen = F.when(F.col("parsed") & (F.col("valid") == F.lit(valid)), F.col("records"))
-    rows = staged.select("dt", "source_file", F.explode(chosen).alias("r"))
-    return rows.select(
+    return [
         *[F.col(f"r.`{t}`").alias(t) for t in targets],
         F.lit(clock.isoformat()).alias("ingested_at"),
         F.lit(clock.date().isoformat()).alias("ingestion_date"),
         F.col("dt").alias("run_date"),
         "source_file",
         "dt",
+    ]
+
+
+def landing_rows(staged: DataFrame, asset: dict, clock: _dt.datetime, valid: bool = True) -> DataFrame:
+    """Exploded records of valid (or invalid) files plus metadata columns."""
+    # The file choice sits inside the generator rather than in a Filter: a
+    # Filter on ``valid`` would be pushed below the projection that builds
+    # ``records`` and re-evaluate the whole extraction in its condition.
+    chosen = F.when(F.col("parsed") & (F.col("valid") == F.lit(valid)), F.col("records"))
+    rows = staged.select("dt", "source_file", F.explode(chosen).alias("r"))
+    return rows.select(*_row_columns(asset, clock))
+
+
+OUTCOME = "landing_outcome"
+
+
+def counted_rows(staged: DataFrame, asset: dict, clock: _dt.datetime, seen: Observation) -> DataFrame:
+    """Records of all parsed files with ``landing_outcome`` (valid, invalid); ``seen`` observes the counts.
+
+    A file without records passes the observation as one row without a record and is filtered behind it.
+    """
+    rows = staged.select("dt", "source_file", "parsed", "valid", F.posexplode_outer("records").alias("at", "r"))
+    # One file per outcome and day when days are small; AQE splits a hot
+    # day over several tasks instead of one (rebalance).
+    rows = rows.withColumn(OUTCOME, F.when(F.col("valid"), "valid").otherwise("invalid")).hint("rebalance", OUTCOME, "dt")
+    record = F.col("at").isNotNull() & F.col("parsed")
+    observed = rows.observe(
+        seen,
+        F.count_if(F.coalesce(F.col("at"), F.lit(0)) == 0).alias("files_seen"),
+        F.count_if(record & F.col("valid")).alias("rows_valid"),
+        F.count_if(record & ~F.col("valid")).alias("rows_invalid"),
+        F.count_if(~F.col("parsed")).alias("malformed_files"),
     )
+    return observed.filter(record).select(*_row_columns(asset, clock), OUTCOME)
 
 
 def batch_counts(staged: DataFrame, asset_name: str) -> DataFrame:
@@ -117,12 +150,7 @@ def quality_gate(summary: dict) -> dict:
     return summary
 
 
-def _delete_dir(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(p):
-        fs.delete(p, True)
+COUNTS = ("files_seen", "rows_valid", "rows_invalid", "staged_files", "malformed_files")
 
 
 def land_asset(
@@ -133,41 +161,51 @@ def land_asset(
     end_date: str | None = None,
     clock: _dt.datetime | None = None,
     on_malformed: str = "raise",
-) -> list[dict]:
-    """Land one asset for a date range; returns per-day counts."""
+    days: list[str] | None = None,
+) -> dict:
+    """Land one asset for a date range, or for the listed ``days``; returns its counts.
+
+    ``staged_files`` is the number of days with landed rows. An asset without a raw folder of these days
+    has no files: its counts are 0 and its tables stay as they are.
+    """
+    if on_malformed not in ("raise", "quarantine"):
+        raise ValueError("on_malformed must be 'raise' or 'quarantine'")
     asset = config["assets"][asset_name]
     clock = clock or _dt.datetime.now()
-    docs = scan_raw(spark, config["source_path"], asset["source_folder"], start_date, end_date)
-    # Persisted once, read by the counts and both writes; recomputable from
-    # the source files if an executor is lost.
-    staged = stage_documents(docs, asset).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        counts = [r.asDict() for r in batch_counts(staged, asset_name).collect()]  # one row per day
-        bad = sum(c["malformed_files"] for c in counts)
-        if bad and on_malformed == "raise":
-            names = [r.source_file for r in staged.filter(~F.col("parsed")).select("source_file").limit(10).collect()]
-            raise MalformedDocumentError(f"{asset_name}: {bad} malformed JSON file(s), e.g. {names}")
-        landing_root = f"{config['landing_path'].rstrip('/')}/{asset_name}"
-        quarantine_root = f"{config['quarantine_dir'].rstrip('/')}/{asset_name}"
-        for root, valid, key in ((landing_root, True, "rows_valid"), (quarantine_root, False, "rows_invalid")):
-            days_with_rows = [c["dt"] for c in counts if c[key] > 0]
-            if days_with_rows:
-                (
-                    landing_rows(staged, asset, clock, valid)
-                    # One file per day when days are small; AQE splits a hot
-                    # day over several tasks instead of one (rebalance).
-                    .hint("rebalance", "dt")
-                    .write.mode("overwrite")
-                    .option("partitionOverwriteMode", "dynamic")
-                    .partitionBy("dt")
-                    .parquet(root)
-                )
-            for c in counts:
-                if c[key] == 0:
-                    _delete_dir(spark, f"{root}/dt={c['dt']}")
+    raw_root = f"{config['source_path'].rstrip('/')}/{asset['source_folder']}"
+    found = [f.removeprefix("dt=") for f in partition_folders(spark, raw_root, "dt")]
+    wanted = set(days) if days is not None else None
+    processed = [
+        d for d in found
+        if (wanted is None or d in wanted) and (start_date is None or d >= start_date) and (end_date is None or d <= end_date)
+    ]
+    counts = {"asset": asset_name, **dict.fromkeys(COUNTS, 0)}
+    if not processed:
         return counts
-    finally:
-        staged.unpersist()
+    docs = scan_raw(spark, config["source_path"], asset["source_folder"], start_date, end_date, processed if days is not None else None)
+    landing_root = f"{config['landing_path'].rstrip('/')}/{asset_name}"
+    quarantine_root = f"{config['quarantine_dir'].rstrip('/')}/{asset_name}"
+    malformed_root = f"{config['quarantine_dir'].rstrip('/')}/malformed/{asset_name}"
+    folders = [f"dt={d}" for d in processed]
+    staged, seen = beside(landing_root), Observation()
+    rows = counted_rows(stage_documents(docs, asset), asset, clock, seen)
+    rows.write.partitionBy(OUTCOME, "dt").parquet(staged)
+    counts.update({k: int(v or 0) for k, v in seen.get.items()})
+    broken = beside(malformed_root)
+    if counts["malformed_files"]:
+        chosen = latest_snapshot_file(docs) if asset["extract"]["payload_kind"] == "list" else docs
+        texts = chosen.filter(F.try_parse_json("value").isNull()).select("dt", "source_file", F.col("value").alias("raw_text"))
+        if on_malformed == "raise":
+            _delete(spark, staged)
+            names = [r.source_file for r in texts.select("source_file").orderBy("source_file").limit(10).collect()]
+            raise MalformedDocumentError(f"{asset_name}: {counts['malformed_files']} malformed JSON file(s), e.g. {names}")
+        texts.write.partitionBy("dt").parquet(broken)
+    counts["staged_files"] = len(partition_folders(spark, f"{staged}/{OUTCOME}=valid", "dt"))
+    publish_partitions(spark, f"{staged}/{OUTCOME}=valid", landing_root, folders)
+    publish_partitions(spark, f"{staged}/{OUTCOME}=invalid", quarantine_root, folders)
+    publish_partitions(spark, broken, malformed_root, folders)
+    _delete(spark, staged)
+    return counts
 
 
 def run_landing(
@@ -178,19 +216,44 @@ def run_landing(
     asset_names: list[str] | None = None,
     clock: _dt.datetime | None = None,
     gate: bool = True,
+    on_malformed: str = "raise",
+    days: list[str] | None = None,
 ) -> dict:
+    """Land all enabled assets; returns the totals and, as ``per_asset``, each asset's counts."""
     validate_config(config)
     names = asset_names or [n for n, a in config["assets"].items() if a.get("enabled", True)]
     clock = clock or _dt.datetime.now()
-    per_day: list[dict] = []
-    for name in names:
-        per_day.extend(land_asset(spark, config, name, start_date, end_date, clock))
+    per_asset = [land_asset(spark, config, n, start_date, end_date, clock, on_malformed, days) for n in names]
     totals = {
         "assets": names,
-        "rows_valid": sum(c["rows_valid"] for c in per_day),
-        "rows_invalid": sum(c["rows_invalid"] for c in per_day),
+        "rows_valid": sum(c["rows_valid"] for c in per_asset),
+        "rows_invalid": sum(c["rows_invalid"] for c in per_asset),
         "quarantine_files": 0,
-        "staged_files": sum(c["staged_files"] for c in per_day),
-        "per_day": per_day,
+        "staged_files": sum(c["staged_files"] for c in per_asset),
+        "malformed_files": sum(c["malformed_files"] for c in per_asset),
+        "per_asset": per_asset,
     }
     return quality_gate(totals) if gate else totals
+
+
+def run_backfill(
+    spark: SparkSession,
+    config: dict,
+    start_date: str | None,
+    end_date: str | None,
+    asset_names: list[str] | None = None,
+    clock: _dt.datetime | None = None,
+    gate: bool = True,
+    on_malformed: str = "raise",
+) -> dict:
+    """Land the days of a range again: those for which any enabled asset has a raw folder.
+
+    The days come from a listing of the folders and become the scans' ``dt IN (...)`` partition filter, one job
+    per asset for all of them. Other days, landed or not, are not touched. ``dates`` are the days.
+    """
+    validate_config(config)
+    names = asset_names or [n for n, a in config["assets"].items() if a.get("enabled", True)]
+    folders = sorted({config["assets"][n]["source_folder"] for n in names})
+    present = discover_partitions(spark, config["source_path"], folders)
+    days = [r.run_date for r in backfill_dates(spark, start_date, end_date, present).collect()]  # one row a day
+    return {**run_landing(spark, config, None, None, names, clock, gate, on_malformed, days), "dates": days}

@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def scan_raw(
     spark: SparkSession,
     source_path: str,
     source_folder: str,
     start_date: str | None = None,
     end_date: str | None = None,
+    days: list[str] | None = None,
 ) -> DataFrame:
+    """One row per JSON file: (dt, source_file, value); the bounds and ``days`` prune ``dt=`` folders."""
     root = f"{source_path.rstrip('/')}/{source_folder}"
     df = (
         spark.read.format("text")
@@ -32,6 +33,8 @@ def scan_raw(
         df = df.filter(F.col("dt") >= start_date)
     if end_date is not None:
         df = df.filter(F.col("dt") <= end_date)
+    if days is not None:
+        df = df.filter(F.col("dt").isin(days))
     return df.select("dt", F.col("_metadata.file_name").alias("source_file"), "value")
 
 

@@ -11,23 +11,8 @@ a failure resumes from the checkpoint; the upsert is idempotent per batch.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators.incremental import write_upsert
-
-
-def latest_per_key(batch: DataFrame, keys: list[str], newest_by: str | None) -> DataFrame:
-    """One row per key: the one of the latest ``newest_by`` (ties: a fixed hash order).
-
-    Rows with a NULL key match nothing; their distinct rows all stay.
-    """
-    has_key = F.lit(True)
-    for k in keys:
-        has_key = has_key & F.col(k).isNotNull()
-    rank = F.struct(*([F.col(newest_by)] if newest_by else []), F.xxhash64(*batch.columns))
-    best = batch.filter(has_key).groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys])
-    one = best.agg(F.max_by(F.struct(*batch.columns), rank).alias("_row")).select("_row.*")
-    return one.unionByName(batch.filter(~has_key).distinct())
+from ..operators.incremental import newest_per_key, write_upsert
 
 
 def stream_upsert(
@@ -47,7 +32,8 @@ def stream_upsert(
     stream = reader.parquet(source_path)
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
-        write_upsert(batch.sparkSession, target_path, latest_per_key(batch, keys, partition_col), keys, partition_col)
+        newest = newest_per_key(batch, keys, [partition_col] if partition_col else [])
+        write_upsert(batch.sparkSession, target_path, newest, keys, partition_col)
 
     query = (
         stream.writeStream.foreachBatch(upsert_batch)

@@ -55,10 +55,8 @@ def activity(i: int, **over):
 def test_list_payload_success(spark, tmp_root):
     put(tmp_root, "activities", "2024-03-02", "activities_2024-03-02T08:00:00.json", [activity(1), activity(2)])
     counts = land_asset(spark, config(tmp_root), "activities", clock=CLOCK)
-    assert counts == [
-        {"asset": "activities", "dt": "2024-03-02", "files_seen": 1, "rows_valid": 2, "rows_invalid": 0,
-         "staged_files": 1, "malformed_files": 0}
-    ]
+    assert counts == {"asset": "activities", "files_seen": 1, "rows_valid": 2, "rows_invalid": 0,
+                      "staged_files": 1, "malformed_files": 0}
     rows = spark.read.parquet(os.path.join(tmp_root, "landing", "activities")).orderBy("activity_id").collect()
     assert [r.activity_id for r in rows] == [1, 2]
     assert rows[0].activity_type == "running" and rows[0].ingested_at == CLOCK.isoformat()
@@ -71,7 +69,7 @@ def test_required_value_missing_quarantines_whole_file(spark, tmp_root):
     del bad["activityType"]["typeKey"]
     put(tmp_root, "activities", "2024-03-02", "activities_a.json", [activity(1), bad])
     counts = land_asset(spark, config(tmp_root), "activities", clock=CLOCK)
-    assert (counts[0]["rows_valid"], counts[0]["rows_invalid"], counts[0]["staged_files"]) == (0, 2, 0)
+    assert (counts["rows_valid"], counts["rows_invalid"], counts["staged_files"]) == (0, 2, 0)
     q = spark.read.parquet(os.path.join(tmp_root, "quarantine", "activities"))
     assert q.count() == 2
     assert not os.path.exists(os.path.join(tmp_root, "landing", "activities", "dt=2024-03-02"))
@@ -83,7 +81,7 @@ def test_latest_snapshot_only(spark, tmp_root):
     put(tmp_root, "activities", "2024-03-02", "activities_2024-03-02T08:00:00.json", [activity(1)])
     put(tmp_root, "activities", "2024-03-02", "activities_2024-03-02T09:00:00.json", [activity(2), activity(3)])
     counts = land_asset(spark, config(tmp_root), "activities", clock=CLOCK)
-    assert counts[0]["files_seen"] == 1 and counts[0]["rows_valid"] == 2
+    assert counts["files_seen"] == 1 and counts["rows_valid"] == 2
     ids = sorted(r.activity_id for r in spark.read.parquet(os.path.join(tmp_root, "landing", "activities")).collect())
     assert ids == [2, 3]
 
@@ -140,7 +138,7 @@ def test_descriptor_metrics_expansion(spark, tmp_root):
         "activityDetailMetrics": [{"metrics": [3.1, 150]}, "skip-me", {"metrics": [3.2, 151]}],
     })
     counts = land_asset(spark, config(tmp_root), "activity_details", clock=CLOCK)
-    assert counts[0]["rows_valid"] == 4
+    assert counts["rows_valid"] == 4
     rows = spark.read.parquet(os.path.join(tmp_root, "landing", "activity_details")).orderBy(
         "measurement_index", "metric_index").collect()
     assert [(r.measurement_index, r.metric_index, r.metric_key, r.metric_value, r.unit_key, r.unit_factor) for r in rows] == [
@@ -162,7 +160,7 @@ def test_empty_file_counted_and_rerun_clears_stale_output(spark, tmp_root):
     os.remove(os.path.join(tmp_root, "raw", "splits", "dt=2024-03-02", "splits_1.json"))
     put(tmp_root, "splits", "2024-03-02", "splits_2.json", {"activityId": 2, "lapDTOs": []})
     counts = land_asset(spark, c, "splits", clock=CLOCK)
-    assert counts[0]["files_seen"] == 1 and counts[0]["rows_valid"] == 0 and counts[0]["staged_files"] == 0
+    assert counts["files_seen"] == 1 and counts["rows_valid"] == 0 and counts["staged_files"] == 0
     assert not os.path.exists(os.path.join(tmp_root, "landing", "splits", "dt=2024-03-02"))
 
 
