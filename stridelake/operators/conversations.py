@@ -6,18 +6,18 @@ turn) at once.
 
 Skew: a session may be very long. Nothing here sorts a whole session in one
 task:
-* positions come from ``ordinal_within_group`` (chunked numbering);
+* positions come from ``ordinal_within_group`` (hot sessions are numbered in chunks);
 * "last N" uses ``row_number() <= N``, which Spark plans as a
   ``WindowGroupLimit`` (each task forwards at most N rows per session);
 * the history before a turn is an equi-join on (session, position) with
-  the N preceding positions, so each group holds at most N messages.
+  the N preceding positions, so each group holds at most N messages;
+* the text to be summarised, of any length, is built in numbered parts of a bounded number of messages.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import NEWLINE, PY_WHITESPACE_CLASS, listagg_ordered, session_title
 from .sequence import ordinal_within_group
@@ -48,24 +48,9 @@ PROMPT_HISTORY = f"\n\n{_IND}Recent conversation:\n{_IND}"
 PROMPT_QUESTION = f"\n\n{_IND}User question:\n{_IND}"
 
 
-def _chunk_for(col: str, df: DataFrame) -> Column:
-    dtype = df.schema[col].dataType
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_trunc("hour", F.col(col))
-    return F.floor(F.col(col) / F.lit(1024))
-
-
 def with_positions(messages: DataFrame) -> DataFrame:
-    """Adds ``position`` (0-based, chronological) and ``total`` per session."""
-    pos = ordinal_within_group(
-        messages,
-        ["session_id"],
-        [F.col("created_at").asc()],
-        chunk=_chunk_for("created_at", messages),
-        name="position",
-    )
-    totals = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("total"))
-    return pos.join(totals, "session_id")
+    """Adds ``position`` (0-based, chronological) within the session."""
+    return ordinal_within_group(messages, ["session_id"], ["created_at"], name="position")
 
 
 def transcript_line(role: Column | str = "role", content: Column | str = "content") -> Column:
@@ -181,15 +166,94 @@ def messages_to_compact(
 ) -> DataFrame:
     """The message rows a compaction would fold into the session summary."""
     plan = compaction_plan(messages, sessions, trigger, limit)
-    pos = ordinal_within_group(
-        messages, ["session_id"], [F.col("created_at").asc()], _chunk_for("created_at", messages), name="position"
-    )
+    pos = with_positions(messages)
     j = pos.join(plan, "session_id")
     return j.filter(
         (F.col("position") >= F.col("summarized_before")) & (F.col("position") < F.col("summarized_after"))
     ).select("session_id", "created_at", "role", "content", "position")
 
 
+# The summary prompt template.
+SUMMARY_HEAD = (
+    "You maintain long-term memory for a running coach chat.\n"
+    "\n"
+    "Update the session summary using:\n"
+    "- the previous summary\n"
+    "- the older conversation turns that are being compacted\n"
+    "\n"
+    "Keep only durable and useful facts such as:\n"
+    "- user goals\n"
+    "- race targets\n"
+    "- training phase\n"
+    "- preferences\n"
+    "- injury or recovery notes\n"
+    "- constraints\n"
+    "- conclusions already reached\n"
+    "- unresolved follow-ups\n"
+    "\n"
+    "Do not include filler or repeated phrasing.\n"
+    "Do not invent facts.\n"
+    "Keep the summary concise and factual.\n"
+    "\n"
+    "Previous summary:\n"
+)
+SUMMARY_HISTORY = "\n\nOlder conversation to compact:\n"
+SUMMARY_TAIL = "\n\nReturn only the updated session summary."
+
+
+def summary_prompt(
+    messages: DataFrame,
+    sessions: DataFrame | None = None,
+    trigger: int = COMPACTION_TRIGGER_MESSAGE_COUNT,
+    limit: int = RECENT_RAW_MESSAGE_LIMIT,
+    messages_per_part: int = 256,
+) -> DataFrame:
+    """The prompt that folds a session's older messages into its summary: session_id, part, n_parts, text.
+
+    The parts of a session, in order and joined without a separator, are its prompt. A part holds
+    at most ``messages_per_part`` messages, so a session of any length is spread over tasks; the first one
+    has the instructions and the previous summary, the last one the closing line.
+    """
+    plan = compaction_plan(messages, sessions, trigger, limit)
+    state = _session_state(messages, sessions).select("session_id", F.coalesce(F.nullif("summary", F.lit("")), F.lit(NO_SUMMARY)).alias("prior"))
+    due = plan.join(state, "session_id").select(
+        "session_id", "prior", F.col("summarized_before").alias("first"),
+        F.ceil(F.col("messages_to_compact") / F.lit(messages_per_part)).cast("bigint").alias("n_parts"),
+    )
+    rows = messages_to_compact(messages, sessions, trigger, limit).join(due.select("session_id", "first"), "session_id")
+    part = F.floor((F.col("position") - F.col("first")) / F.lit(messages_per_part)).cast("bigint")
+    texts = (
+        rows.select("session_id", part.alias("part"), "position", transcript_line().alias("line"))
+        .groupBy("session_id", "part")
+        .agg(listagg_ordered("line", NEWLINE, "position").alias("lines"))
+    )
+    opening = F.when(F.col("part") == 0, F.concat(F.lit(SUMMARY_HEAD), F.col("prior"), F.lit(SUMMARY_HISTORY))).otherwise(F.lit(NEWLINE))
+    closing = F.when(F.col("part") == F.col("n_parts") - 1, F.lit(SUMMARY_TAIL)).otherwise(F.lit(""))
+    return texts.join(due, "session_id").select(
+        "session_id", "part", "n_parts", F.concat(opening, F.coalesce("lines", F.lit("")), closing).alias("text")
+    )
+
+
+#: The states of a run; a run that is not ended is still started.
+STARTED, COMPLETED, FAILED = "started", "completed", "failed"
+RUN_DETAILS = ("prompt_tokens", "completion_tokens", "duration_ms", "error_message")
+
+
+def run_states(events: DataFrame, run_cols: list[str], at: str = "at") -> DataFrame:
+    """The last state of every run of an event log: run columns, status, details, total_tokens.
+
+    ``events`` has a row per state change (status started, completed or failed, with the details
+    that came with it). The latest event decides; of events of the same time, an end comes after the
+    start, and a failure after a completion. One partial aggregate: a run's log, however long, is
+    reduced before the shuffle. Details that the last event lacks stay NULL, as a failed run has no counts.
+    """
+    rank = F.when(F.col("status") == STARTED, 0).when(F.col("status") == COMPLETED, 1).otherwise(2)
+    last = F.max_by(F.struct("status", *RUN_DETAILS), F.struct(F.col(at), rank)).alias("last")
+    known = events.filter(F.col("status").isin(STARTED, COMPLETED, FAILED))
+    states = known.groupBy(*run_cols).agg(last, F.count(F.lit(1)).alias("n_events")).select(*run_cols, "last.*", "n_events")
+    return states.withColumn("total_tokens", llm_run_usage(F.col("prompt_tokens"), F.col("completion_tokens")))
+
+
 def llm_run_usage(prompt_tokens: Column, completion_tokens: Column) -> Column:
     """Total tokens: NULL when both counts are NULL, else the sum with NULL as 0."""
     return F.when(
@@ -215,9 +279,7 @@ def prompt_assembly(
     exceed ``limit`` rows. ``training_context`` is a one-row frame, used as
     a scalar subquery.
     """
-    pos = ordinal_within_group(
-        messages, ["session_id"], [F.col("created_at").asc()], _chunk_for("created_at", messages), name="position"
-    ).select("session_id", "created_at", "role", "content", "position")
+    pos = with_positions(messages).select("session_id", "created_at", "role", "content", "position")
     questions = pos.filter(F.col("role") == "user")
     senders = pos.select(
         "session_id",

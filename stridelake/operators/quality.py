@@ -1,21 +1,20 @@
 """Data-quality tests as queries.
 
 Each test returns its failing rows (as the schema tests of the original
-project do); ``run_checks`` runs a list of them and returns one report row
-per test with the failure count. Counting is a partial aggregate per test;
-the relationships test is an anti join with the parent key set (broadcast
-only when proven small).
+project do). ``run_checks`` reports one row per test with the failure count, and
+reads each model as seldom as it can: one grouped pass per key set counts the rows of each key, and the
+uniqueness, not-null and relationships tests of these columns are all read off these counts; the not-null
+tests of other columns share one aggregate. Counts are partial aggregates.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def dq_not_null(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNull())
 
@@ -106,21 +105,68 @@ def failing_rows(check: Check, tables: dict[str, DataFrame]) -> DataFrame:
     raise ValueError(check.test)
 
 
+def _report(counted: DataFrame, failures: list[tuple[Check, Column]]) -> DataFrame:
+    """One row per check from one aggregate."""
+    one = counted.agg(*[F.coalesce(F.sum(f), F.lit(0)).cast("bigint").alias(f"f{i}") for i, (_, f) in enumerate(failures)])
+    rows = [
+        F.struct(
+            F.lit(ch.model).alias("model"), F.lit(ch.test).alias("test"),
+            F.lit(",".join(ch.columns)).alias("column_name"), F.col(f"f{i}").alias("failures"),
+        )
+        for i, (ch, _) in enumerate(failures)
+    ]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def _passes(checks: list[Check]) -> list[tuple[tuple[str, ...], list[Check]]]:
+    """Key sets of one model, each with the checks that its counts answer; () is the pass without groups."""
+    sets = list(dict.fromkeys(ch.columns for ch in checks if ch.test in ("unique", "unique_combination")))
+    sets += [c for c in dict.fromkeys(ch.columns for ch in checks if ch.test == "relationships") if not any(c[0] in s for s in sets)]
+    of: dict[tuple[str, ...], list[Check]] = {}
+    for ch in checks:
+        if ch.test in ("unique", "unique_combination"):
+            key = ch.columns
+        else:
+            key = next((s for s in sets if ch.columns[0] in s), ())
+        of.setdefault(key, []).append(ch)
+    return list(of.items())
+
+
+def _pass(df: DataFrame, keys: tuple[str, ...], checks: list[Check], tables: dict[str, DataFrame]) -> DataFrame:
+    if keys:
+        counted = df.groupBy(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("n"))
+    else:
+        used = list(dict.fromkeys(ch.columns[0] for ch in checks))
+        keys, counted = tuple(used), df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(used)], F.lit(1).alias("n"))
+    col = {k: F.col(f"k{i}") for i, k in enumerate(keys)}
+    failures = []
+    for i, ch in enumerate(checks):
+        c = col[ch.columns[0]]
+        if ch.test == "not_null":
+            failed = F.when(c.isNull(), F.col("n"))
+        elif ch.test == "unique":
+            failed = F.when(c.isNotNull() & (F.col("n") > 1), 1)
+        elif ch.test == "unique_combination":
+            failed = F.when(F.col("n") > 1, 1)
+        elif ch.test == "relationships":
+            parents = tables[ch.parent].select(F.col(ch.parent_column).alias(f"p{i}")).distinct()
+            counted = counted.join(parents, c == F.col(f"p{i}"), "left")
+            failed = F.when(c.isNotNull() & F.col(f"p{i}").isNull(), F.col("n"))
+        else:
+            raise ValueError(ch.test)
+        failures.append((ch, failed))
+    return _report(counted, failures)
+
+
 def run_checks(tables: dict[str, DataFrame], checks: tuple[Check, ...] = CHECKS) -> DataFrame:
     """One row per check: model, test, column_name, failures. A check whose table is absent is an error."""
     missing = sorted({t for ch in checks for t in (ch.model, ch.parent) if t is not None and t not in tables})
     if missing:
         raise ValueError(f"tables of the checks are missing: {', '.join(missing)}")
     parts = []
-    for ch in checks:
-        parts.append(
-            failing_rows(ch, tables).agg(F.count(F.lit(1)).cast("bigint").alias("failures")).select(
-                F.lit(ch.model).alias("model"),
-                F.lit(ch.test).alias("test"),
-                F.lit(",".join(ch.columns)).alias("column_name"),
-                "failures",
-            )
-        )
+    for model in dict.fromkeys(ch.model for ch in checks):
+        for keys, some in _passes([ch for ch in checks if ch.model == model]):
+            parts.append(_pass(tables[model], keys, some, tables))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -10,11 +10,11 @@ from . import functions as SF
 from .operators import conversations as conv
 from .operators import ingest, quality
 from .operators.incremental import incremental_filter, upsert
-from .oracle import _q
+from .oracle import _q, dur, pace
 from .plans import bronze
 from .plans.pipeline import TrainingModels
-from .query_registry import _SPLIT_DOCS as _SPLIT_DOCS_TEXT
 from .query_registry import register
+from .session import scratch_path
 from .sources import fixtures
 from .sources.tables import read_table
 
@@ -66,6 +66,60 @@ def q_bronze_latest_workout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bronze.bronze_workouts(landing.select("workout_id", "workout_name", "workout_segments", "run_date", "dt"))
 
 
+# Landing that comes in two runs: up to a day, then the rest, with every third activity landed once more
+# at the end with a changed value. The second run starts at the first one's mark.
+RELANDED_DAY = "2030-01-01"
+
+
+def _relanding_sql(table: str, day: str, cutoff: str, changed: str, keys: str) -> str:
+    return f"""
+with land as (
+ select *, 1 as landing, {day} as dt from {table}
+ union all
+ select * replace ({changed} + 1e0 as {changed}), 2 as landing, date '{RELANDED_DAY}' as dt from {table} where activity_id % 3 = 0),
+first_run as (select * from land where dt <= date '{cutoff}'),
+second_run as (select * from land where dt >= (select max(dt) from first_run)
+               qualify row_number() over (partition by {keys} order by dt desc) = 1)
+select * from first_run f anti join second_run s using ({keys})
+union all select * from second_run"""
+
+
+def _relanded(spark: SparkSession, asset: str, rows: DataFrame, day, cutoff: str, changed: str) -> DataFrame:
+    root = scratch_path(spark, f"bronze-{asset}")
+    first = rows.withColumn("landing", F.lit(1)).withColumn("dt", day)
+    again = rows.filter(F.col("activity_id") % 3 == 0).withColumn(changed, F.col(changed) + F.lit(1.0))
+    again = again.withColumn("landing", F.lit(2)).withColumn("dt", F.lit(RELANDED_DAY).cast("date"))
+    for run, landed in enumerate((first.filter(F.col("dt") <= cutoff), first.filter(F.col("dt") > cutoff).unionByName(again))):
+        # (two landing jobs; the copy of a row is in the same days' folders, as re-landed files are)
+        landed.write.mode("append" if run else "errorifexists").partitionBy("dt").parquet(f"{root}/landing/{asset}")
+        bronze.build_bronze(spark, f"{root}/landing", f"{root}/bronze", tables=(asset,))
+    return spark.read.schema(first.schema).parquet(f"{root}/bronze/{asset}")
+
+
+@register(
+    "bronze_splits",
+    _relanding_sql(
+        "t_splits", "cast(date_trunc('month', cast(run_date as date)) as date)", "1996-06-01", "average_hr", "activity_id, message_index"
+    ),
+)
+def q_bronze_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored bronze laps after two incremental loads, some activities landed twice."""
+    month = F.trunc(F.to_date("run_date"), "month")
+    return _relanded(spark, "splits", fixtures.splits(spark, sf_dir), month, "1996-06-01", "average_hr")
+
+
+@register(
+    "bronze_activity_details",
+    _relanding_sql(
+        "t_activity_details", "cast(run_date as date)", "2024-01-14", "metric_value", "activity_id, measurement_index, metric_index"
+    ),
+)
+def q_bronze_activity_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored bronze samples after two incremental loads, some activities landed twice."""
+    rows = fixtures.activity_details(spark, sf_dir)
+    return _relanded(spark, "activity_details", rows, F.to_date("run_date"), "2024-01-14", "metric_value")
+
+
 _INCR = f"""
 with land as (select *, cast(run_date as date) as dt from t_activities),
 target as (select * from land where run_date <= '{BASE_CUTOFF}'),
@@ -236,25 +290,85 @@ def q_conversation_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.conversation_transcript(_messages(spark, sf_dir), limit=RECENT_LIMIT)
 
 
+_DUE = f"""
+with size as (select session_id, count(*) as n from t_messages group by 1),
+due as (select session_id, n, summarized, summary, n - summarized - {COMPACTION_LIMIT} as old
+        from size join t_sessions using (session_id) where n > {COMPACTION_TRIGGER} and n - summarized > {COMPACTION_LIMIT}),
+numbered as (select *, cast(row_number() over (partition by session_id order by created_at) - 1 as bigint) as position from t_messages),
+old as (select m.*, d.summarized, d.summary, d.old from numbered m join due d
+        on m.session_id = d.session_id and position >= summarized and position < summarized + old)
+"""
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.sessions(spark, sf_dir)
+
+
 @register(
     "compaction_plan",
-    f"""
-select session_id, cast(count(*) as bigint) as total_messages, cast(0 as bigint) as summarized_before,
- cast(count(*) - {COMPACTION_LIMIT} as bigint) as messages_to_compact, cast(count(*) - {COMPACTION_LIMIT} as bigint) as summarized_after
-from t_messages group by session_id having count(*) > {COMPACTION_TRIGGER} and count(*) > {COMPACTION_LIMIT}""",
+    _DUE
+    + """select session_id, cast(n as bigint) as total_messages, summarized as summarized_before,
+ cast(old as bigint) as messages_to_compact, cast(summarized + old as bigint) as summarized_after from due""",
 )
 def q_compaction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conv.compaction_plan(_messages(spark, sf_dir), trigger=COMPACTION_TRIGGER, limit=COMPACTION_LIMIT)
+    m, s = _messages(spark, sf_dir), _sessions(spark, sf_dir)
+    return conv.compaction_plan(m, s, trigger=COMPACTION_TRIGGER, limit=COMPACTION_LIMIT)
+
+
+@register("messages_to_compact", _DUE + "select session_id, created_at, role, content, position from old")
+def q_messages_to_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, s = _messages(spark, sf_dir), _sessions(spark, sf_dir)
+    return conv.messages_to_compact(m, s, trigger=COMPACTION_TRIGGER, limit=COMPACTION_LIMIT)
+
+
+#: The given sessions are short, so parts are, too; the library's own size is larger.
+MESSAGES_PER_PART = 2
+# The summary prompt, once more as lines, for the SQL side.
+_SUMMARY_LINES = """You maintain long-term memory for a running coach chat.
+
+Update the session summary using:
+- the previous summary
+- the older conversation turns that are being compacted
+
+Keep only durable and useful facts such as:
+- user goals
+- race targets
+- training phase
+- preferences
+- injury or recovery notes
+- constraints
+- conclusions already reached
+- unresolved follow-ups
+
+Do not include filler or repeated phrasing.
+Do not invent facts.
+Keep the summary concise and factual.
+
+Previous summary:
+@PRIOR@
+
+Older conversation to compact:
+@OLD@
+
+Return only the updated session summary."""
 
 
 @register(
-    "messages_to_compact",
-    _RANKED
-    + f"""select session_id, created_at, role, content, cast(total - rd as bigint) as position from r
-where total > {COMPACTION_TRIGGER} and total > {COMPACTION_LIMIT} and total - rd < total - {COMPACTION_LIMIT}""",
+    "summary_prompt",
+    _DUE
+    + f"""select session_id, part, n_parts,
+ if(part = 0, replace(split_part({_q(_SUMMARY_LINES)}, '@OLD@', 1), '@PRIOR@',
+   case when coalesce(summary, '') = '' then 'No previous summary.' else summary end), chr(10))
+ || lines || if(part = n_parts - 1, split_part({_q(_SUMMARY_LINES)}, '@OLD@', 2), '') as text
+from (select session_id, cast((position - summarized) // {MESSAGES_PER_PART} as bigint) as part, any_value(summary) as summary,
+       cast((any_value(old) + {MESSAGES_PER_PART} - 1) // {MESSAGES_PER_PART} as bigint) as n_parts,
+       string_agg(if(role = 'user', 'User', 'Assistant') || ': ' || content, chr(10) order by position) as lines
+      from old group by 1, 2)""",
 )
-def q_messages_to_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conv.messages_to_compact(_messages(spark, sf_dir), trigger=COMPACTION_TRIGGER, limit=COMPACTION_LIMIT)
+def q_summary_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt that updates each due session's summary, in numbered parts."""
+    m, s = _messages(spark, sf_dir), _sessions(spark, sf_dir)
+    return conv.summary_prompt(m, s, COMPACTION_TRIGGER, COMPACTION_LIMIT, MESSAGES_PER_PART)
 
 
 @register(
@@ -279,56 +393,26 @@ def q_prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.prompt_assembly(_messages(spark, sf_dir), m.latest_training_context, limit=RECENT_LIMIT)
 
 
-_TOKENS = """
-with runs as (select session_id, created_at,
-  case when (session_id + created_at) % 5 = 0 then null else cast(floor(length(content) / 4) as bigint) end as prompt_tokens,
-  case when (session_id + created_at) % 7 = 0 then null else cast(floor(length(content) / 3) as bigint) end as completion_tokens
- from t_messages where role = 'assistant')
-"""
-
-
 @register(
     "llm_run_usage",
-    _TOKENS
-    + """select session_id, created_at, prompt_tokens, completion_tokens,
- case when prompt_tokens is null and completion_tokens is null then null
-      else coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0) end as total_tokens,
- 'completed' as status
-from runs""",
+    """
+select session_id, created_at, case when k % 13 = 0 then 'started' when k % 11 = 0 then 'failed' else 'completed' end as status,
+ prompt_tokens, completion_tokens, if(k % 13 = 0, null, k * 10) as duration_ms,
+ if(k % 11 = 0 and k % 13 <> 0, 'provider unavailable', null) as error_message, if(k % 13 = 0, 1, 2)::bigint as n_events,
+ if(prompt_tokens is null, completion_tokens, prompt_tokens + ifnull(completion_tokens, 0)) as total_tokens
+from (select *, if(k % 13 = 0 or k % 11 = 0 or k % 5 = 0, null, length(content) // 4) as prompt_tokens,
+       if(k % 13 = 0 or k % 11 = 0 or k % 7 = 0, null, length(content) // 3) as completion_tokens
+      from (select *, session_id + created_at as k from t_messages where role = 'assistant'))""",
 )
 def q_llm_run_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token accounting of the model runs behind assistant turns.
-
-    Each of these runs returned its reply, so it is completed, whether or not it reported counts.
-    """
-    m = _messages(spark, sf_dir).filter(F.col("role") == "assistant")
-    key = F.col("session_id") + F.col("created_at")
-    runs = m.select(
-        "session_id",
-        "created_at",
-        F.when(key % 5 == 0, F.lit(None).cast("bigint"))
-        .otherwise(F.floor(F.length("content") / F.lit(4.0)).cast("bigint"))
-        .alias("prompt_tokens"),
-        F.when(key % 7 == 0, F.lit(None).cast("bigint"))
-        .otherwise(F.floor(F.length("content") / F.lit(3.0)).cast("bigint"))
-        .alias("completion_tokens"),
-    )
-    total = conv.llm_run_usage(F.col("prompt_tokens"), F.col("completion_tokens"))
-    return runs.select(
-        "*",
-        total.alias("total_tokens"),
-        F.lit("completed").alias("status"),
-    )
+    """Last state and token accounting of every model run, reduced from the log of its events."""
+    return conv.run_states(fixtures.run_events(spark, sf_dir), ["session_id", "created_at"])
 
 
 # --- scalar helpers -----------------------------------------------------------------
 @register(
     "format_duration",
-    """select activity_id, {d1} as duration_min, {d2} as shifted_duration_min
-from t_activities""".format(
-        d1="case when duration is null or duration < 0 then null else printf('%d:%02d', cast(floor(round(duration) / 60) as integer), cast(mod(round(duration), 60) as integer)) end",
-        d2="case when duration - 3000e0 is null or duration - 3000e0 < 0 then null else printf('%d:%02d', cast(floor(round(duration - 3000e0) / 60) as integer), cast(mod(round(duration - 3000e0), 60) as integer)) end",
-    ),
+    f"select activity_id, {dur('duration')} as duration_min, {dur('duration - 3000e0')} as shifted_duration_min from t_activities",
 )
 def q_format_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``m:ss`` of every activity's duration (and of a shifted one that goes negative)."""
@@ -342,11 +426,9 @@ def q_format_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "format_pace",
-    """select activity_id,
- case when average_speed is null or average_speed <= 0 then null else printf('%d:%02d', cast(floor(round(1000e0 / average_speed) / 60) as integer), cast(mod(round(1000e0 / average_speed), 60) as integer)) end as pace,
- case when average_speed > 0 then cast(cast(floor(1000e0 / average_speed / 60e0) as bigint) as varchar) || ':'
-   || cast(cast((1000e0 / average_speed / 60e0 - floor(1000e0 / average_speed / 60e0)) * 60 as bigint) as varchar) end as pace_min_per_km
-from t_activities""",
+    f"""select activity_id, {pace('average_speed')} as pace,
+ if(minutes is null, null, concat_ws(':', trunc(minutes)::bigint, ((minutes - trunc(minutes)) * 60)::bigint)) as pace_min_per_km
+from (select *, if(average_speed > 0, 1000e0 / average_speed / 60e0, null) as minutes from t_activities)""",
 )
 def q_format_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pace text from speed, and the decimal-minutes formatter."""
@@ -478,22 +560,3 @@ def q_backfill_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every session's full transcript as rows, with the chronological position."""
     return conv.with_positions(_messages(spark, sf_dir)).select("session_id", "created_at", "role", "content", "position")
-
-
-@register(
-    "run_summary",
-    """
-with c as (select 'splits' as asset, run_date, valid, n from (""" + _SPLIT_DOCS_TEXT + """ select * from files) x)
-select 'splits' as assets, cast(sum(case when valid then n else 0 end) as bigint) as rows_valid,
- cast(sum(case when valid then 0 else n end) as bigint) as rows_invalid, cast(0 as bigint) as quarantine_files,
- cast(count(distinct case when valid then run_date end) as bigint) as staged_files
-from c""",
-)
-def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run totals over the per-day counts of a landing run (here: the laps asset)."""
-    from .plans import landing as _landing
-    from .query_registry import _staged
-
-    counts = _landing.batch_counts(_staged(spark, sf_dir, "splits"), "splits")
-    s = _landing.run_summary(counts)
-    return s.select(F.array_join("assets", ",").alias("assets"), "rows_valid", "rows_invalid", "quarantine_files", "staged_files")

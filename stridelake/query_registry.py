@@ -105,6 +105,7 @@ import datetime as _dt  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from .config import DEFAULT_LANDING_CONFIG  # noqa: E402
+from .oracle import canonical_segments  # noqa: E402
 from .plans import landing as _landing  # noqa: E402
 from .sources import raw_docs as _raw_docs  # noqa: E402
 
@@ -208,17 +209,13 @@ def q_quarantine_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     _WORKOUT_DOCS
     + f"""
 select workout_id, workout_name, 'running' as workout_type, cast(workout_id * 60 as bigint) as estimated_duration_in_secs,
- workout_id * 100e0 as estimated_distance_in_meters, cast(json_array_length(workout_segments) as integer) as n_segments,
+ workout_id * 100e0 as estimated_distance_in_meters, {canonical_segments()} as workout_segments,
  {_CLOCK_COLS}, run_date, source_file, run_date as dt
-from w where valid""",
+from w join part on p_partkey + 1 = workout_id where valid""",
 )
 def q_payload_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Record payloads; the nested plan survives as JSON text (counted here)."""
-    df = _landed(spark, sf_dir, "workouts")
-    cols = [c for c in df.columns if c != "workout_segments"]
-    n = F.size(F.from_json("workout_segments", "array<string>")).alias("n_segments")
-    i = cols.index("estimated_distance_in_meters") + 1
-    return df.select(*cols[:i], n, *cols[i:])
+    """Record payloads; the nested plan survives as JSON text, in the variant's form (sorted keys)."""
+    return _landed(spark, sf_dir, "workouts")
 
 
 @register(
@@ -244,8 +241,7 @@ def q_schema_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.select("dt", "source_file", F.size("records").alias("n_records"), "valid")
 
 
-@register(
-    "batch_counts",
+_COUNTS = (
     """
 with c as (
  select 'activities' as asset, run_date as dt, count(*) as files_seen,
@@ -265,8 +261,11 @@ with c as (
 select asset, dt, cast(files_seen as bigint) as files_seen, cast(rows_valid as bigint) as rows_valid,
  cast(rows_invalid as bigint) as rows_invalid, cast(case when rows_valid > 0 then 1 else 0 end as bigint) as staged_files,
  cast(0 as bigint) as malformed_files
-from c""",
+from c"""
 )
+
+
+@register("batch_counts", _COUNTS)
 def q_batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per (asset, day): files seen, valid/invalid rows, staged flag, malformed files."""
     out = None
@@ -276,4 +275,18 @@ def q_batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@register(
+    "run_summary",
+    f"""
+select string_agg(distinct asset, ',' order by asset) as assets, cast(sum(rows_valid) as bigint) as rows_valid,
+ cast(sum(rows_invalid) as bigint) as rows_invalid, cast(0 as bigint) as quarantine_files,
+ cast(sum(staged_files) as bigint) as staged_files
+from ({_COUNTS}) per_day""",
+)
+def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run totals of a landing run over all four assets."""
+    s = _landing.run_summary(q_batch_counts(spark, sf_dir))
+    return s.select(F.array_join("assets", ",").alias("assets"), "rows_valid", "rows_invalid", "quarantine_files", "staged_files")
+
+
 from . import query_ops  # noqa: E402,F401  (registers the remaining queries)

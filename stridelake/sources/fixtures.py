@@ -12,8 +12,7 @@ Scale notes:
   the same key the window partitions by: one shuffle serves both.
 * ``activity_details`` numbers the samples of a user. One user may hold a
   large share of all events, so the numbering uses
-  ``ordinal_within_group`` (chunked by hour) instead of one window over the
-  whole user.
+  ``ordinal_within_group`` instead of one window over the whole user.
 * The six metrics per sample come from ``explode(sequence(0, 5))``, a
   generator, not a join.
 """
@@ -212,8 +211,7 @@ def activity_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = ordinal_within_group(
         ev,
         ["user_id"],
-        [F.col("ts").asc_nulls_last(), F.col("event_id").asc_nulls_last()],
-        chunk=F.date_trunc("hour", F.col("ts")),
+        ["ts", "event_id"],
         name="measurement_index",
     )
     e = numbered.select(
@@ -262,6 +260,44 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat sessions, some of which already have a summary of their first messages."""
+    ids = read_table(spark, sf_dir, "conversations", ["conv_id"]).distinct()
+    n = F.pmod(F.col("conv_id"), F.lit(3)).cast("bigint")
+    return ids.select(
+        F.col("conv_id").alias("session_id"),
+        n.alias("summarized_message_count"),
+        F.when(n == 1, F.lit("")).when(n == 2, F.concat(F.lit("Runner "), F.col("conv_id").cast("string"), F.lit(" has a race goal."))).alias("summary"),
+    )
+
+
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log of model runs: every assistant turn's run is started; most are completed, some fail, some have no end yet."""
+    m = messages(spark, sf_dir).filter(F.col("role") == "assistant")
+    key = F.col("session_id") + F.col("created_at")
+    none = F.lit(None).cast("bigint")
+    tokens = lambda every, per: F.when(key % every == 0, none).otherwise(F.floor(F.length("content") / F.lit(float(per))).cast("bigint"))
+    started = F.struct(
+        F.lit("started").alias("status"), F.lit(0).alias("after"), none.alias("prompt_tokens"),
+        none.alias("completion_tokens"), none.alias("duration_ms"), F.lit(None).cast("string").alias("error_message"),
+    )
+    ended = F.when(
+        key % 11 == 0,
+        F.struct(
+            F.lit("failed").alias("status"), F.lit(1).alias("after"), none.alias("prompt_tokens"),
+            none.alias("completion_tokens"), (key * 10).alias("duration_ms"), F.lit("provider unavailable").alias("error_message"),
+        ),
+    ).otherwise(
+        F.struct(
+            F.lit("completed").alias("status"), F.lit(1).alias("after"), tokens(5, 4).alias("prompt_tokens"),
+            tokens(7, 3).alias("completion_tokens"), (key * 10).alias("duration_ms"), F.lit(None).cast("string").alias("error_message"),
+        )
+    )
+    log = F.filter(F.array(ended, started), lambda e: (e["status"] == "started") | (key % 13 != 0))
+    e = m.select("session_id", "created_at", F.explode(log).alias("e"))
+    return e.select("session_id", "created_at", (F.col("created_at") * 2 + F.col("e.after")).alias("at"), "e.*").drop("after")
+
+
 def as_landing(df: DataFrame) -> DataFrame:
     """A derived table as a landing table: ``dt`` = the run date partition."""
     return df.withColumn("dt", F.to_date("run_date"))

@@ -75,3 +75,74 @@ def test_llm_usage(spark):
     df = spark.createDataFrame([(12, 8), (None, None), (None, 5)], "p long, c long")
     got = [r[0] for r in df.select(conv.llm_run_usage(F.col("p"), F.col("c"))).collect()]
     assert got == [20, None, 5]
+
+
+SESSIONS = "session_id long, summary string, summarized_message_count long"
+TEMPLATE = """You maintain long-term memory for a running coach chat.
+
+Update the session summary using:
+- the previous summary
+- the older conversation turns that are being compacted
+
+Keep only durable and useful facts such as:
+- user goals
+- race targets
+- training phase
+- preferences
+- injury or recovery notes
+- constraints
+- conclusions already reached
+- unresolved follow-ups
+
+Do not include filler or repeated phrasing.
+Do not invent facts.
+Keep the summary concise and factual.
+
+Previous summary:
+{prior}
+
+Older conversation to compact:
+{old}
+
+Return only the updated session summary."""
+
+
+def test_summary_prompt_in_parts_equals_the_whole_text(spark):
+    m = _msgs(spark)
+    sessions = spark.createDataFrame([(1, "Likes hills.", 3)], SESSIONS)
+    for size, parts in ((1, 3), (2, 2), (100, 1)):
+        rows = conv.summary_prompt(m, sessions, trigger=4, limit=2, messages_per_part=size).orderBy("part").collect()
+        assert [(r.session_id, r.part, r.n_parts) for r in rows] == [(1, k, parts) for k in range(parts)]
+        old = "Assistant: m3\nUser: m4\nAssistant: m5"
+        assert "".join(r.text for r in rows) == TEMPLATE.format(prior="Likes hills.", old=old)
+    blank = spark.createDataFrame([(1, "", None), (2, None, 0)], SESSIONS)
+    text = conv.summary_prompt(m, blank, trigger=4, limit=6).collect()
+    assert [r.text for r in text] == [TEMPLATE.format(prior="No previous summary.", old="User: m0\nAssistant: m1")]
+    assert conv.summary_prompt(m, sessions, trigger=40, limit=2).count() == 0
+    assert conv.summary_prompt(m.limit(0), sessions).count() == 0
+
+
+def test_summary_prompt_of_a_very_long_session_is_spread(spark):
+    rows = spark.range(3000).selectExpr("1L as session_id", "id as created_at", "'user' as role", "concat('m', id) as content")
+    parts = conv.summary_prompt(rows, messages_per_part=100).orderBy("part").collect()
+    assert len(parts) == 30 and max(r.text.count("User: ") for r in parts) == 100
+    assert "".join(r.text for r in parts) == TEMPLATE.format(prior="No previous summary.", old="\n".join(f"User: m{i}" for i in range(2994)))
+
+
+def test_run_states_reduce_an_event_log(spark):
+    schema = "run long, at long, status string, prompt_tokens long, completion_tokens long, duration_ms long, error_message string"
+    log = [
+        (1, 10, "started", None, None, None, None), (1, 20, "completed", 5, 7, 100, None),
+        (2, 10, "started", None, None, None, None), (2, 30, "failed", None, None, 40, "timeout"),
+        (3, 10, "started", None, None, None, None),
+        (4, 10, "completed", 5, None, 3, None), (4, 10, "started", None, None, None, None),  # one clock tick: ended
+        (5, 10, "started", None, None, None, None), (5, 20, "failed", None, None, 1, "x"),
+        (5, 30, "started", None, None, None, None), (5, 40, "completed", None, None, 9, None),  # tried again
+        (6, 10, "unknown", None, None, None, None),
+        (1, 10, "started", None, None, None, None),  # logged twice
+    ]
+    got = conv.run_states(spark.createDataFrame(log, schema).repartition(4), ["run"])
+    assert {r.run: (r.status, r.total_tokens, r.duration_ms, r.error_message, r.n_events) for r in got.collect()} == {
+        1: ("completed", 12, 100, None, 3), 2: ("failed", None, 40, "timeout", 2), 3: ("started", None, None, None, 1),
+        4: ("completed", 5, 3, None, 2), 5: ("completed", None, 9, None, 4),
+    }
