@@ -9,8 +9,12 @@
    most of a group cheaply and decides nothing else.
 4. Second scan: within every bucket all pairs of classes of different components are compared, however many
    rows the bucket has. Large buckets are cut into blocks, and each pair of blocks is one piece of work; pairs of blocks
-   of the same component are left out. All pairs found are confirmed or lie in one component by then, so nothing is
-   left that a further scan could find.
+   of the same component are left out. Sketches mark the rows that have a candidate in their piece; these rows come
+   once more with their full sets, and pairs are confirmed inside the piece, the likeliest first. A piece
+   joins its components as it goes and returns only links that join two of them, at most one less than it
+   has rows: nothing grows with the pairs but the comparisons. A pair that shares buckets in several trees is
+   compared in the first of them alone. All pairs found are confirmed or lie in one component by then, so
+   nothing is left that a further scan could find.
 
 Links are facts (full sets decide). Candidates are confirmed from an estimate of the threshold less
 ``slack`` on; the sketch's standard error at 0.75 is at most 0.025, so 0.1 is 4 of them. A pair at exactly 0.75 is missed by all 12 trees of depth 2
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, slices, stored, words_of
+from .common import free_name, id_text, slices, stored, words_of
 
 SHINGLE = 5
 TREES, DEPTH = 12, 8
@@ -158,7 +162,9 @@ def _places(nodes: DataFrame, min_depth: int) -> DataFrame:
 
     every = nodes.select("sig", "node").mapInArrow(run, PLACES)
     shared = every.groupBy("bucket").count().filter("count > 1").select("bucket")
-    return stored(every.join(shared, "bucket").join(nodes.select("node", "n", "sketch"), "node"), "forest")
+    size = 2 * DEPTH  # bytes of a tree's minima
+    keys = F.concat(*[F.substring("sig", t * size + 1, 2 * min_depth) for t in range(TREES)]).alias("keys")
+    return stored(every.join(shared, "bucket").join(nodes.select("node", "n", "sketch", keys), "node"), "forest")
 
 
 def _similar_size(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -188,12 +194,13 @@ def nearest(rows: dict[str, np.ndarray], new: int, window: int, least: float):
 
 
 def every_pair(rows: dict[str, np.ndarray], least: float):
-    """(a, b, estimate) of all pairs of rows of one piece that lie in different components and, if it has two sides, on both."""
+    """(i, j, estimate) of the pairs of rows of one piece that lie in different components, on both sides if the
+    piece has two, and share no earlier tree's bucket."""
     n = len(rows["node"])
-    at = np.arange(n)
     end = np.searchsorted(rows["piece"], rows["piece"], side="right")  # sorted by piece
+    earlier = np.arange(TREES)[None, :]
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
-    i = at
+    i = np.arange(n)
     for s in range(1, n):
         i = i[i + s < end[i]]
         if not len(i):
@@ -201,25 +208,75 @@ def every_pair(rows: dict[str, np.ndarray], least: float):
         ok = (rows["comp"][i] != rows["comp"][i + s]) & ((rows["side"][i] == 0) | (rows["side"][i] != rows["side"][i + s]))
         x = i[ok & _similar_size(rows, i, i + s)]
         if len(x):
+            x = x[~((rows["keys"][x] == rows["keys"][x + s]) & (earlier < rows["tree"][x][:, None])).any(axis=1)]
             e = estimates(rows["sketch"][x], rows["sketch"][x + s])
-            x, e = x[e >= least], e[e >= least]
-            a, b = rows["node"][x], rows["node"][x + s]
-            out.append((np.minimum(a, b), np.maximum(a, b), e.astype(np.float32)))
+            out.append((x[e >= least], x[e >= least] + s, e[e >= least].astype(np.float32)))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def spanning_links(rows: dict[str, np.ndarray], least: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b), a < b: confirmed links that join all components of each piece that links of its pairs join."""
+    i, j, est = every_pair(rows, least)
+    top: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def find(x: tuple[int, int]) -> tuple[int, int]:
+        while (up := top.get(x, x)) != x:
+            top[x] = top.get(up, up)
+            x = up
+        return x
+
+    piece, comp, node, items = rows["piece"].tolist(), rows["comp"].tolist(), rows["node"], rows["items"]
+    a, b = [], []
+    for k in np.argsort(-est, kind="stable").tolist():
+        x, y = int(i[k]), int(j[k])
+        u, v = find((piece[x], comp[x])), find((piece[y], comp[y]))
+        if u != v and similar(items[x], items[y], percent):
+            top[u] = v
+            a.append(node[x])
+            b.append(node[y])
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
 def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
-    out = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names if c != "sketch"}
-    out["sketch"] = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint64).reshape(-1, 2 * BINS // 64)
+    binary = {"sketch": (np.uint64, 2 * BINS // 64), "keys": (np.uint32, TREES)}
+    out = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names if c not in binary and c != "items"}
+    for c, (kind, width) in binary.items():
+        if c in b.schema.names:
+            out[c] = np.frombuffer(b"".join(b.column(c).to_pylist()), kind).reshape(b.num_rows, -1)
+            assert c != "sketch" or out[c].shape[1] == width
+    if "items" in b.schema.names:
+        out["items"] = np.empty(b.num_rows, object)
+        out["items"][:] = [np.frombuffer(x, np.uint64) for x in b.column("items").to_pylist()]
     return out
 
 
+def _piecewise(work, batches: Iterator[pa.RecordBatch], rows: int) -> Iterator:
+    """``work`` of the columns of whole pieces; batches are sorted by piece."""
+    held = None
+    for b in slices(batches, rows):
+        new = _columns(b)
+        new = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
+        cut = int(np.searchsorted(new["piece"], new["piece"][-1]))  # the last piece may go on
+        if cut:
+            yield work({c: v[:cut] for c, v in new.items()})
+        held = {c: v[cut:] for c, v in new.items()}
+    if held is not None:
+        yield work(held)
+
+
 def _pair_batch(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float32()))], names=["a", "b", "est"])
 
 
 def neighbours(places: DataFrame, window: int, least: float) -> DataFrame:
-    """Distinct (a, b, est), a < b: the nearest row of each in its window. Windows end with their partition; ``across`` needs none of these."""
+    """Distinct (a, b, est), a < b: the nearest row of each in its window. Windows end with their partition; ``pieces`` needs none of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -236,13 +293,17 @@ def neighbours(places: DataFrame, window: int, least: float) -> DataFrame:
     return rows.mapInArrow(run, PAIRS).groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
-def across(places: DataFrame, comp: DataFrame, least: float) -> DataFrame:
-    """Distinct (a, b, est), a < b: all pairs of different components that share a bucket.
+PIECES = "piece long, side int, tree short, node long, comp long, n long, sketch binary, keys binary"
+
+
+def pieces(places: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold several components, dealt out as pieces of bounded size.
 
     The rows of a bucket are cut into blocks of about BLOCK rows; a component with more rows than that in the bucket has blocks
     of its own, which are not compared with one another. Each pair of blocks is a piece, dealt out by itself.
     """
-    rows = stored(places.join(comp, "node", "left").select("bucket", "node", "n", "sketch", F.coalesce("comp", "node").alias("comp")), "forest-rows")
+    columns = ["bucket", "tree", "node", "n", "sketch", "keys"]
+    rows = stored(places.join(comp, "node", "left").select(*columns, F.coalesce("comp", "node").alias("comp")), "forest-rows")
     counts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("held"))
     mixed = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("bucket")
     large = F.col("held") > BLOCK
@@ -253,27 +314,45 @@ def across(places: DataFrame, comp: DataFrame, least: float) -> DataFrame:
     blocks = sizes.select("bucket", "large", "own", F.explode(F.sequence(F.lit(1).cast("long"), "blocks")).alias("block"))
     x, y = (blocks.select("bucket", F.struct("large", "own", "block").alias(c)) for c in "xy")
     same = F.col("x.large") & F.col("y.large") & (F.col("x.own") == F.col("y.own"))
-    pieces = x.join(y, "bucket").filter((F.col("x") <= F.col("y")) & ~same)
-    pieces = pieces.select("bucket", F.xxhash64("bucket", "x", "y").alias("piece"), "x", "y")
-    alone = pieces.filter("x = y").select("bucket", "piece", F.lit(0).alias("side"), "x.*")
-    ends = [pieces.filter("x <> y").select("bucket", "piece", F.lit(k + 1).alias("side"), f"{c}.*") for k, c in enumerate("xy")]
+    pairs = x.join(y, "bucket").filter((F.col("x") <= F.col("y")) & ~same)
+    pairs = pairs.select("bucket", F.xxhash64("bucket", "x", "y").alias("piece"), "x", "y")
+    alone = pairs.filter("x = y").select("bucket", "piece", F.lit(0).alias("side"), "x.*")
+    ends = [pairs.filter("x <> y").select("bucket", "piece", F.lit(k + 1).alias("side"), f"{c}.*") for k, c in enumerate("xy")]
     of_piece = alone.unionByName(ends[0]).unionByName(ends[1])
     rows = rows.join(counts.join(sizes, ["bucket", "large", "own"]).drop("held"), ["bucket", "comp"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks") + 1).join(of_piece, block)
+    return rows.select("piece", "side", "tree", "node", "comp", "n", "sketch", "keys")
+
+
+def promising(dealt: DataFrame, least: float) -> DataFrame:
+    """The rows that have a candidate in their piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in slices(batches, 4096):
-            new = _columns(b)
-            new = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
-            cut = int(np.searchsorted(new["piece"], new["piece"][-1]))  # the last piece may go on
-            yield _pair_batch(every_pair({c: v[:cut] for c, v in new.items()}, least))
-            held = {c: v[cut:] for c, v in new.items()}
-        if held is not None:
-            yield _pair_batch(every_pair(held, least))
+        def marked(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+            i, j, _ = every_pair(rows, least)
+            at = np.union1d(i, j)
+            plain = [("piece", pa.int64()), ("side", pa.int32()), ("tree", pa.int16()), ("node", pa.int64()), ("comp", pa.int64()), ("n", pa.int64())]
+            data = [pa.array(rows[c][at], t) for c, t in plain]
+            data += [pa.array([x.tobytes() for x in rows[c][at]], pa.binary()) for c in ("sketch", "keys")]
+            return pa.RecordBatch.from_arrays(data, names=[c for c, _ in plain] + ["sketch", "keys"])
+
+        yield from _piecewise(marked, batches, 4096)
+
+    return dealt.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, PIECES)
+
+
+def linked(rows: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """(a, b): links that join what the pairs within each piece join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joined(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+            a, b = spanning_links(rows, least, percent)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        yield from _piecewise(joined, batches, 256)
 
-    dealt = rows.select("piece", "side", "node", "comp", "n", "sketch").repartition("piece").sortWithinPartitions("piece")
-    return dealt.mapInArrow(run, PAIRS).groupBy("a", "b").agg(F.max("est").alias("est"))
+    dealt = rows.join(sets.select("node", "items"), "node").repartition("piece").sortWithinPartitions("piece")
+    return stored(dealt.mapInArrow(run, "a long, b long"), "links")
 
 
 # --- confirmation and components ------------------------------------------------------------------
@@ -317,9 +396,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in slices(batches):
             keep = []
             for i, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist())):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * both >= percent * (len(p) + len(q) - both):
+                if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent):
                     keep.append(i)
             yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -384,22 +461,20 @@ def near_duplicates(
     todo = stored(neighbours(places, window, least), "candidates")
     near = _ends(todo)
     whole = _full_sets(own, classes.join(near, "node", "left_semi"))
-    tested = todo.select("a", "b")
-    for last in (False, True):
-        if not todo.isEmpty():
-            # the best candidate of each class first: these links join most of a group
-            ranked = F.struct(F.col("est"), -F.col("a"), -F.col("b"))
-            ends = todo.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", ranked.alias("rank"))
-            best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), "rank").alias("p")).select("p.a", "p.b").distinct()
-            best = stored(best, "best-candidates")
-            comp = _joined(comp, _confirmed(best, whole, percent))
-            rest = todo.select("a", "b").join(best, ["a", "b"], "left_anti")
-            comp = _joined(comp, _confirmed(_between(rest, comp), whole, percent))
-        if not last:
-            todo = stored(across(places, comp, least).join(tested, ["a", "b"], "left_anti"), "candidates")
-            more = stored(_ends(todo).join(near, "node", "left_anti"), "near-classes")
-            if not more.isEmpty():
-                whole = whole.unionByName(_full_sets(own, classes.join(more, "node", "left_semi")))
+    if not todo.isEmpty():
+        # the best candidate of each class first: these links join most of a group
+        ranked = F.struct(F.col("est"), -F.col("a"), -F.col("b"))
+        ends = todo.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", ranked.alias("rank"))
+        best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), "rank").alias("p")).select("p.a", "p.b").distinct()
+        best = stored(best, "best-candidates")
+        comp = _joined(comp, _confirmed(best, whole, percent))
+        rest = todo.select("a", "b").join(best, ["a", "b"], "left_anti")
+        comp = _joined(comp, _confirmed(_between(rest, comp), whole, percent))
+    rows = stored(promising(pieces(places, comp), least), "promising")
+    more = stored(rows.select("node").distinct().join(near, "node", "left_anti"), "near-classes")
+    if not more.isEmpty():
+        whole = whole.unionByName(_full_sets(own, classes.join(more, "node", "left_semi")))
+    comp = _joined(comp, linked(rows, whole, least, percent))
 
     copies = classes.filter("members > 1").select("f1", "f2", F.col("node").alias("first_id"))
     rows = sets.drop("sig", "sketch").join(copies, ["f1", "f2"], "left").withColumn("node", F.coalesce("first_id", "doc_id"))
@@ -433,11 +508,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows that repeat an id whose document stays, one remains. Rows without an id stay.
     """
     found = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "near-duplicates")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    own = free_name(docs, "found")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(own)).distinct()
+    out = docs.join(gone, docs[id_col].cast("long") == F.col(own), "left_anti")
     repeated = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if repeated.isEmpty():
         return out
-    again = repeated.select(F.col("doc_id").alias("_again"))
-    key = out[id_col].cast("long") == F.col("_again")
+    again = repeated.select(F.col("doc_id").alias(own))
+    key = out[id_col].cast("long") == F.col(own)
     return out.join(again, key, "left_anti").unionByName(out.join(again, key, "left_semi").dropDuplicates([id_col]))

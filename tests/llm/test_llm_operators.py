@@ -249,6 +249,43 @@ def test_near_duplicates_of_a_hub(spark):
     assert [(x["component_id"], x["count"]) for x in got] == [(0, 2500)]
 
 
+def test_pieces_return_spanning_links_only():
+    """All pairs of a piece are candidates; the links returned are one less than the rows, whatever the pairs."""
+    make = near_duplicates.Shingler()
+    base = prose(70, 200).split()
+
+    def rows(n, edits):
+        texts = [" ".join(base[:k % 190] + [f"x{k}y{e}" for e in range(edits)] + base[k % 190 + edits :]) for k in range(n)]
+        sets = [make.shingles(t) for t in texts]
+        items = np.empty(2 * n, object)
+        items[:] = sets + sets  # two pieces
+        sketches = np.stack([np.frombuffer(near_duplicates.sketch(x), np.uint64) for x in sets])
+        twice = lambda x: np.concatenate([x, x])
+        node = np.arange(n)
+        return {
+            "piece": np.repeat([5, 9], n), "side": np.zeros(2 * n, int), "tree": twice(np.zeros(n, int)), "node": twice(node),
+            "comp": twice(node), "n": twice(np.array([len(x) for x in sets])), "sketch": twice(sketches),
+            "keys": np.zeros((2 * n, near_duplicates.TREES), np.uint32), "items": items,
+        }
+
+    for n in (40, 120):
+        close, far = rows(n, 1), rows(n, 25)
+        i, _, _ = near_duplicates.every_pair(close, 0.65)
+        a, b = near_duplicates.spanning_links(close, 0.65, 75)
+        assert len(i) > n * n / 2 and len(a) == 2 * (n - 1) and (a < b).all()
+        assert len(near_duplicates.spanning_links(far, 0.2, 75)[0]) < 2 * n
+        close["tree"][:] = 3  # the pairs share an earlier tree's bucket, where they are compared
+        assert not len(near_duplicates.every_pair(close, 0.65)[0])
+        close["tree"][:], close["comp"][:] = 0, 1
+        assert not len(near_duplicates.spanning_links(close, 0.65, 75)[0])
+
+
+def test_one_of_each_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 1, 2), (1, "a b c d e f", 3, 4)], "doc_id long, text string, _gone int, _again int")
+    got = near_duplicates.one_of_each(df)
+    assert got.columns == df.columns and [r["doc_id"] for r in got.collect()] == [1]
+
+
 def test_near_duplicates_edges(spark, edge, none):
     got = near_duplicates.near_duplicates(edge).collect()
     assert len(got) == len(edge_rows())
