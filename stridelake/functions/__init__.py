@@ -155,13 +155,6 @@ def session_title(first_message: ColumnOrName, max_length: int = 60) -> Column:
     )
 
 
-def strip_py(text: ColumnOrName) -> Column:
-    """Python ``str.strip()`` over the same whitespace set."""
-    return F.regexp_replace(
-        _c(text), "^" + PY_WHITESPACE_CLASS + "+|" + PY_WHITESPACE_CLASS + "+\\z", ""
-    )
-
-
 def listagg_ordered(value: str, separator: str, order_by: str) -> Column:
     """``listagg(value, sep) WITHIN GROUP (ORDER BY order_by)``.
 
@@ -187,5 +180,4 @@ __all__ = [
     "round2",
     "round_half_away",
     "session_title",
-    "strip_py",
 ]

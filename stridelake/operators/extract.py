@@ -27,10 +27,6 @@ def _json_path(dotted: str) -> str:
     return "$" + "".join("['" + p.replace("'", "\\'") + "']" for p in parts)
 
 
-def _is_object(v: Column) -> Column:
-    return F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
-
-
 def _doc_kind(value: Column) -> Column:
     """First non-blank character of the raw text: '{' object, '[' array."""
     return F.regexp_extract(value, r"^\s*(.)", 1)

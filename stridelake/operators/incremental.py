@@ -146,6 +146,21 @@ def newest_per_key(batch: DataFrame, keys: list[str], newest_by: list[str]) -> D
     return one.unionByName(batch.filter(~has_key).distinct())
 
 
+def not_outdated(spark: SparkSession, target_path: str, batch: DataFrame, keys: list[str], newest_by: str) -> DataFrame:
+    """Batch rows but those whose key the target holds with a greater ``newest_by``.
+
+    Reads the target's keys and ``newest_by`` alone. A missing target holds nothing; NULL keys match nothing.
+    """
+    if not _path_exists(spark, target_path):
+        return batch
+    held = spark.read.schema(batch.schema).parquet(target_path).groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys])
+    held = held.agg(F.max(newest_by).alias("_newest"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & (batch[k] == F.col(f"_key_{k}"))
+    return batch.join(held, same & (batch[newest_by] < F.col("_newest")), "left_anti")
+
+
 def write_upsert(
     spark: SparkSession,
     target_path: str,

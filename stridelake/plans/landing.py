@@ -12,6 +12,11 @@ whose tasks count once however often a lost executor makes earlier stages run ag
 or read a second time. Days that were processed but produced no valid (or no invalid) rows have
 their old output removed, as a rerun of the original task does.
 
+A list asset whose files have one element a line (``extract.layout: lines``, as the daily raw writer lays
+them out) is not read by whole documents: its lines are split over tasks and extracted one by one, the typed
+rows are written once, and what is wrong with a file is counted from that table and joined back, so no
+row holds a document that grows with the day.
+
 A malformed file stops the job before anything is moved (``on_malformed="raise"``), or its text goes to a
 third table, ``<quarantine>/malformed/<asset>/dt=.../`` (``"quarantine"``), while the other files land.
 """
@@ -27,7 +32,7 @@ from ..config import validate_config
 from ..operators.extract import extract_documents
 from ..operators.incremental import _delete, beside, partition_folders, publish_partitions
 from ..operators.ingest import backfill_dates, discover_partitions
-from ..sources.raw import latest_snapshot_file, scan_raw
+from ..sources.raw import latest_snapshot_file, list_elements, scan_raw
 
 METADATA_COLUMNS = ("ingested_at", "ingestion_date", "run_date", "source_file")
 
@@ -150,6 +155,54 @@ def quality_gate(summary: dict) -> dict:
     return summary
 
 
+def stage_elements(lines: DataFrame, asset: dict) -> DataFrame:
+    """One row per line of list files: its record ``r`` (NULL on a line without one) and what the line says of its file."""
+    single = {**asset, "extract": {**asset["extract"], "payload_kind": "record"}}
+    staged = extract_documents(list_elements(lines), single)
+    record = F.col("value") != ""
+    return staged.select(
+        "dt", "source_file", F.get("records", F.lit(0)).alias("r"),
+        record.alias("is_record"),
+        (record & ~F.col("valid")).alias("is_invalid"),
+        (record & ~F.col("parsed")).alias("is_broken"),
+        "opens", "closes", "commas",
+    )
+
+
+def file_outcomes(elements: DataFrame) -> DataFrame:
+    """(dt, source_file, n, outcome) of list files from their lines: valid, invalid or malformed.
+
+    A file is one array if it opens and closes once, each line's element is JSON, and there are as many commas
+    as elements but one.
+    """
+    n, commas = F.count_if("is_record"), F.sum("commas")
+    array = (F.count_if("opens") == 1) & (F.count_if("closes") == 1) & (F.count_if("is_broken") == 0)
+    outcome = (
+        F.when(~array | (commas != F.greatest(n - 1, F.lit(0))), "malformed")
+        .when(F.count_if("is_invalid") > 0, "invalid")
+        .otherwise("valid")
+    )
+    return elements.groupBy("dt", "source_file").agg(n.alias("n"), outcome.alias("outcome"))
+
+
+def line_rows(spark: SparkSession, docs: DataFrame, asset: dict, clock: _dt.datetime, scratch: str) -> tuple[DataFrame, dict[str, int]]:
+    """Records of all well-formed files of lines, with ``landing_outcome``, and the counts."""
+    elements = stage_elements(latest_snapshot_file(docs), asset)
+    elements.write.partitionBy("dt").parquet(scratch)
+    elements = spark.read.schema(elements.schema).parquet(scratch)
+    files = file_outcomes(elements)
+    is_ = lambda o: F.col("outcome") == o
+    counts = files.agg(
+        F.count(F.lit(1)).alias("files_seen"),
+        F.coalesce(F.sum(F.when(is_("valid"), F.col("n"))), F.lit(0)).alias("rows_valid"),
+        F.coalesce(F.sum(F.when(is_("invalid"), F.col("n"))), F.lit(0)).alias("rows_invalid"),
+        F.count_if(is_("malformed")).alias("malformed_files"),
+    ).first().asDict()
+    good = files.filter(F.col("outcome") != "malformed").select("dt", "source_file", F.col("outcome").alias(OUTCOME))
+    rows = elements.filter("is_record").select("dt", "source_file", "r").join(good, ["dt", "source_file"])
+    return rows.hint("rebalance", OUTCOME, "dt").select(*_row_columns(asset, clock), OUTCOME), counts
+
+
 COUNTS = ("files_seen", "rows_valid", "rows_invalid", "staged_files", "malformed_files")
 
 
@@ -182,29 +235,42 @@ def land_asset(
     counts = {"asset": asset_name, **dict.fromkeys(COUNTS, 0)}
     if not processed:
         return counts
-    docs = scan_raw(spark, config["source_path"], asset["source_folder"], start_date, end_date, processed if days is not None else None)
+    lines = asset["extract"].get("layout") == "lines"
+    docs = scan_raw(
+        spark, config["source_path"], asset["source_folder"], start_date, end_date, processed if days is not None else None, lines
+    )
     landing_root = f"{config['landing_path'].rstrip('/')}/{asset_name}"
     quarantine_root = f"{config['quarantine_dir'].rstrip('/')}/{asset_name}"
     malformed_root = f"{config['quarantine_dir'].rstrip('/')}/malformed/{asset_name}"
     folders = [f"dt={d}" for d in processed]
-    staged, seen = beside(landing_root), Observation()
-    rows = counted_rows(stage_documents(docs, asset), asset, clock, seen)
-    rows.write.partitionBy(OUTCOME, "dt").parquet(staged)
-    counts.update({k: int(v or 0) for k, v in seen.get.items()})
-    broken = beside(malformed_root)
+    staged, broken, elements = beside(landing_root), beside(malformed_root), beside(landing_root)
+    if lines:
+        rows, seen = line_rows(spark, docs, asset, clock, elements)
+        rows.write.partitionBy(OUTCOME, "dt").parquet(staged)
+    else:
+        observed = Observation()
+        counted_rows(stage_documents(docs, asset), asset, clock, observed).write.partitionBy(OUTCOME, "dt").parquet(staged)
+        seen = observed.get
+    counts.update({k: int(v or 0) for k, v in seen.items()})
     if counts["malformed_files"]:
         chosen = latest_snapshot_file(docs) if asset["extract"]["payload_kind"] == "list" else docs
-        texts = chosen.filter(F.try_parse_json("value").isNull()).select("dt", "source_file", F.col("value").alias("raw_text"))
+        if lines:
+            bad = file_outcomes(stage_elements(chosen, asset)).filter("outcome = 'malformed'").select("dt", "source_file")
+            texts = chosen.join(bad, ["dt", "source_file"]).select("dt", "source_file", F.col("value").alias("raw_text"))
+        else:
+            texts = chosen.filter(F.try_parse_json("value").isNull()).select("dt", "source_file", F.col("value").alias("raw_text"))
         if on_malformed == "raise":
-            _delete(spark, staged)
-            names = [r.source_file for r in texts.select("source_file").orderBy("source_file").limit(10).collect()]
+            for folder in (staged, elements):
+                _delete(spark, folder)
+            names = [r.source_file for r in texts.select("source_file").distinct().orderBy("source_file").limit(10).collect()]
             raise MalformedDocumentError(f"{asset_name}: {counts['malformed_files']} malformed JSON file(s), e.g. {names}")
         texts.write.partitionBy("dt").parquet(broken)
     counts["staged_files"] = len(partition_folders(spark, f"{staged}/{OUTCOME}=valid", "dt"))
     publish_partitions(spark, f"{staged}/{OUTCOME}=valid", landing_root, folders)
     publish_partitions(spark, f"{staged}/{OUTCOME}=invalid", quarantine_root, folders)
     publish_partitions(spark, broken, malformed_root, folders)
-    _delete(spark, staged)
+    for folder in (staged, elements):
+        _delete(spark, folder)
     return counts
 
 

@@ -190,30 +190,28 @@ SEGMENTS_SCHEMA = T.ArrayType(
 )
 
 
-def _step_columns(step: str, nested: bool) -> list:
-    def f(path: str):
-        return F.col(f"{step}.{path}")
-
-    return [
-        cast_int_half_even(f("stepOrder")).alias("step_order"),
-        (F.lit(None).cast("int") if nested else cast_int_half_even(f("numberOfIterations"))).alias(
-            "number_of_iterations"
-        ),
-        f("type").alias("step_dto_type"),
-        f("stepType.stepTypeKey").alias("step_type"),
-        f("endCondition.conditionTypeKey").alias("end_condition_type_key"),
-        f("endConditionValue").alias("end_condition_value"),
-        f("targetType.workoutTargetTypeKey").alias("target_type"),
-        f("targetValueOne").alias("target_value_one"),
-        f("targetValueTwo").alias("target_value_two"),
+def _step_struct(step, nested: bool):
+    """The attributes of one planned step; ``step`` is a Column of the parsed step."""
+    iterations = F.lit(None).cast("int") if nested else cast_int_half_even(step["numberOfIterations"])
+    return F.struct(
+        cast_int_half_even(step["stepOrder"]).alias("step_order"),
+        iterations.alias("number_of_iterations"),
+        step["type"].alias("step_dto_type"),
+        step["stepType"]["stepTypeKey"].alias("step_type"),
+        step["endCondition"]["conditionTypeKey"].alias("end_condition_type_key"),
+        step["endConditionValue"].alias("end_condition_value"),
+        step["targetType"]["workoutTargetTypeKey"].alias("target_type"),
+        step["targetValueOne"].alias("target_value_one"),
+        step["targetValueTwo"].alias("target_value_two"),
         F.lit(nested).alias("is_nested_step"),
-    ]
+    )
 
 
 def workout_steps_explode(workouts: DataFrame) -> DataFrame:
     """Segments -> top-level steps -> children of repeat groups (depth 2).
 
-    Parsed once with a typed ``from_json``; two generators, no joins. A NULL
+    One scan and one typed ``from_json``; every top-level step becomes the array of itself and its
+    children, so generators replace the union and no row is read twice. A NULL
     or missing array yields no rows, like the lateral ``json_each``.
     """
     parsed = workouts.select(
@@ -222,12 +220,11 @@ def workout_steps_explode(workouts: DataFrame) -> DataFrame:
         F.explode(F.from_json("workout_segments", SEGMENTS_SCHEMA)).alias("seg"),
     )
     top = parsed.select("workout_id", "workout_name", F.explode("seg.workoutSteps").alias("st"))
-    top_rows = top.select("workout_id", "workout_name", *_step_columns("st", nested=False))
-    children = top.filter(F.col("st.type") == "RepeatGroupDTO").select(
-        "workout_id", "workout_name", F.explode("st.workoutSteps").alias("ch")
-    )
-    child_rows = children.select("workout_id", "workout_name", *_step_columns("ch", nested=True))
-    return top_rows.unionByName(child_rows)
+    st = F.col("st")
+    own = F.array(_step_struct(st, nested=False))
+    nested = F.when(st["type"] == "RepeatGroupDTO", F.transform(st["workoutSteps"], lambda c: _step_struct(c, nested=True)))
+    steps = F.when(nested.isNull(), own).otherwise(F.concat(own, nested))
+    return top.select("workout_id", "workout_name", F.inline(steps))
 
 
 def running_workouts(workouts: DataFrame) -> DataFrame:
@@ -344,7 +341,10 @@ def running_workout_results(run_splits: DataFrame, planned: DataFrame) -> DataFr
     steps = planned.select(*PLANNED_STEP_COLUMNS)
     names = workout_names(steps)
     is_warmup = F.col("step_type") == "warmup"
-    wc_rows = wc.join(names, "workout_id", "left").select(
+    # Laps outside workouts have no id to join by: a key of their own spreads them over all tasks.
+    key = F.coalesce(F.col("workout_id").cast("string"), F.concat(F.lit("none "), F.col("activity_id").cast("string")))
+    named = names.select(F.col("workout_id").cast("string").alias("_name_key"), "workout_name")
+    wc_rows = wc.withColumn("_key", key).join(named, F.col("_key") == F.col("_name_key"), "left").select(
         "activity_id",
         "workout_id",
         "run_date",

@@ -560,3 +560,87 @@ def q_backfill_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every session's full transcript as rows, with the chronological position."""
     return conv.with_positions(_messages(spark, sf_dir)).select("session_id", "created_at", "role", "content", "position")
+
+
+# --- landing on files ----------------------------------------------------------------
+_LOCAL_START = """case when o_custkey % 5 = 0 then '' when o_custkey % 5 = 1 and month = date '1995-03-01' then null
+  else cast(month as varchar) || ' 07:00:00' end"""
+
+
+@register(
+    "raw_daily_landing",
+    f"""
+with raw as (select t.*, o_custkey, month, {_LOCAL_START} as start_time_local,
+              cast(month + interval 1 month as date) || ' 05:00:00' as gmt
+             from t_activities t join (select *, cast(date_trunc('month', o_orderdate) as date) as month from orders) o
+             on o_orderkey = activity_id),
+filed as (select *, cast(substr(coalesce(nullif(start_time_local, ''), gmt), 1, 10) as date) as dt from raw),
+kept as (select *, bool_and(start_time_local is not null) over (partition by dt) as valid from filed)
+select activity_id, start_time_local, gmt as start_time_gmt, 'Run ' || activity_id as activity_name, activity_type, distance,
+ duration, o_custkey as owner_id, 'Customer ' || o_custkey as owner_full_name, average_speed, average_hr, has_splits,
+ device_id, workout_id, '2024-01-01T00:00:00' as ingested_at, '2024-01-01' as ingestion_date, cast(dt as varchar) as run_date,
+ 'activities_2024-01-01T00:00:00.json' as source_file, dt
+from kept where valid""",
+)
+def q_raw_daily_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw activity rows -> one JSON file per event day -> landed table, read back (one day's file is quarantined)."""
+    from .config import default_config
+    from .plans import landing
+    from .query_registry import QUERY_CLOCK
+    from .sources.raw import landing_scan
+    from .sources.raw_docs import activity_payloads
+    from .sources.raw_sink import write_daily_documents
+
+    root = scratch_path(spark, "raw-daily")
+    cfg = default_config(source_path=f"{root}/raw", landing_path=f"{root}/landing", quarantine_dir=f"{root}/quarantine")
+    payloads = activity_payloads(spark, sf_dir)
+    write_daily_documents(payloads, f"{root}/raw", "activities", QUERY_CLOCK.isoformat(), "1970-01-01", order_col="activity_id")
+    landing.land_asset(spark, cfg, "activities", clock=QUERY_CLOCK)
+    return landing_scan(spark, f"{root}/landing", "activities")
+
+
+# Values that casts meet in the wild, by order key: what each dtype makes of them.
+_WILD = (
+    # text, int64, float64, boolean
+    ("12", 12, 12.0, None),
+    ("3.7", None, 3.7, None),
+    (" 8 ", 8, 8.0, None),
+    ("true", None, None, True),
+    ("x1", None, None, None),
+    ("", None, None, None),
+    ("1e3", None, 1000.0, None),
+    ("9223372036854775808", None, 9223372036854775808.0, None),
+)
+
+
+def _wild_sql() -> str:
+    show = lambda v: "null" if v is None else repr(v).lower()
+    rows = ", ".join(f"({i}, {_q(t)}, {show(a)}, {show(b)}, {show(c)})" for i, (t, a, b, c) in enumerate(_WILD))
+    return f"""select cast(o_orderkey as varchar) || '.json' as source_file, o_orderkey as id, t as text, cast(a as bigint) as as_int,
+ cast(b as double) as as_float, cast(c as boolean) as as_bool, '"' || t || '"' as as_json, cast(o_custkey as double) as number
+from orders join (values {rows}) v(i, t, a, b, c) on i = o_orderkey % {len(_WILD)}"""
+
+
+@register("lenient_cast", _wild_sql())
+def q_lenient_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record payloads whose values fit their declared types or do not: what does not fit becomes NULL."""
+    from .operators.extract import extract_documents
+
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
+    texts = F.array(*[F.lit(t) for t, *_ in _WILD])
+    text = F.get(texts, (F.col("o_orderkey") % len(_WILD)).cast("int"))
+    docs = o.select(
+        F.lit("2024-01-01").alias("dt"),
+        F.concat(F.col("o_orderkey").cast("string"), F.lit(".json")).alias("source_file"),
+        F.to_json(F.struct(F.col("o_orderkey").alias("id"), text.alias("v"), F.col("o_custkey").alias("n"))).alias("value"),
+    )
+    column = lambda target, source, dtype: {"target": target, "source": source, "dtype": dtype, "required": False}
+    asset = {
+        "extract": {"payload_kind": "record"},
+        "column_mapping": [
+            column("id", "id", "int64"), column("text", "v", "string"), column("as_int", "v", "int64"),
+            column("as_float", "v", "float64"), column("as_bool", "v", "boolean"), column("as_json", "v", "json"),
+            column("number", "n", "float64"),
+        ],
+    }
+    return extract_documents(docs, asset).select("source_file", F.inline("records"))

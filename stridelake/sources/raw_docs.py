@@ -3,36 +3,29 @@
 The landing stage consumes vendor payload files. To exercise it on the
 given data (sized by the scale factor) these functions render the derived
 training-log rows back into payload documents, one row per "file":
-``(dt, source_file, value)``. ``write_documents`` can lay them out as real
-files for end-to-end runs.
+``(dt, source_file, value)``.
 
-Each document groups a bounded set of rows (the orders of one day and
-priority, the lines of one order, the samples of one user-hour), so no
-document grows with the table. A few deterministic rules plant invalid
+Each document groups the lines of one order, the samples of one user-hour, or the orders of one day and
+priority. The latter grow with the orders of a day, as a list payload does by its contract (one snapshot a
+day); ``sources.raw_sink`` and line-wise landing handle such files without holding one whole. A few deterministic rules plant invalid
 files (a required field missing) so validation and quarantine have work.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures
 from .tables import read_table
 
 
-def activity_list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily activity snapshots: one file per (day, priority); the lexically
-    last file of a day (priority 5) is the one landing keeps."""
-    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"])
-    a = fixtures.activities(spark, sf_dir).join(
-        o.select(F.col("o_orderkey").alias("activity_id"), "o_custkey", "o_orderpriority"), "activity_id"
-    )
-    local = F.when(F.col("o_custkey") % 53 == 0, F.lit(None)).otherwise(F.col("start_time_gmt"))
-    rec = F.struct(
+def _activity_record(local: Column, gmt: Column) -> Column:
+    """The payload of one activity, from the activities table joined to its order's ``o_custkey``."""
+    return F.struct(
         F.col("activity_id").alias("activityId"),
         local.alias("startTimeLocal"),
-        F.col("start_time_gmt").alias("startTimeGMT"),
+        gmt.alias("startTimeGMT"),
         F.concat(F.lit("Run "), F.col("activity_id").cast("string")).alias("activityName"),
         F.struct(F.col("activity_type").alias("typeKey")).alias("activityType"),
         F.col("distance").alias("distance"),
@@ -45,6 +38,37 @@ def activity_list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("device_id").alias("deviceId"),
         F.col("workout_id").alias("workoutId"),
     )
+
+
+def _with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"])
+    return fixtures.activities(spark, sf_dir).join(
+        o.select(F.col("o_orderkey").alias("activity_id"), "o_custkey", "o_orderdate", "o_orderpriority"), "activity_id"
+    )
+
+
+def activity_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(activity_id, payload): raw activities as the vendor returns them, dated by months.
+
+    A fifth has an empty local start (GMT, a month later, files them); some of March 1995 have none, which
+    spoils the file of the following month.
+    """
+    a = _with_orders(spark, sf_dir).withColumn("month", F.trunc(F.to_date("o_orderdate"), "month"))
+    local = (
+        F.when(F.col("o_custkey") % 5 == 0, F.lit(""))
+        .when((F.col("o_custkey") % 5 == 1) & (F.col("month") == F.lit("1995-03-01").cast("date")), F.lit(None))
+        .otherwise(F.concat(F.col("month").cast("string"), F.lit(" 07:00:00")))
+    )
+    gmt = F.concat(F.add_months("month", 1).cast("string"), F.lit(" 05:00:00"))
+    return a.select("activity_id", F.to_json(_activity_record(local, gmt)).alias("payload"))
+
+
+def activity_list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily activity snapshots: one file per (day, priority); the lexically
+    last file of a day (priority 5) is the one landing keeps."""
+    a = _with_orders(spark, sf_dir)
+    local = F.when(F.col("o_custkey") % 53 == 0, F.lit(None)).otherwise(F.col("start_time_gmt"))
+    rec = _activity_record(local, F.col("start_time_gmt"))
     files = a.groupBy("run_date", "o_orderpriority").agg(
         F.array_sort(F.collect_list(F.struct(F.col("activity_id").alias("k"), rec.alias("r")))).alias("items")
     )
@@ -186,17 +210,3 @@ DOCUMENT_SOURCES = {
     "workouts": workout_documents,
     "activity_details": detail_documents,
 }
-
-
-def write_documents(docs: DataFrame, root: str) -> None:
-    """Lay documents out as ``<root>/dt=<d>/<source_file>`` files.
-
-    Test helper: it collects the documents, so it is for small fixtures only.
-    """
-    import os
-
-    for r in docs.toLocalIterator():
-        d = os.path.join(root, f"dt={r['dt']}")
-        os.makedirs(d, exist_ok=True)
-        with open(os.path.join(d, r["source_file"]), "w", encoding="utf-8") as f:
-            f.write(r["value"])

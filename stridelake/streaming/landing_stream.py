@@ -4,7 +4,7 @@ The original pipeline runs daily over new ``dt=`` folders. Here the same
 cadence is a file-source stream over a landing table: each run with
 ``trigger(availableNow=True)`` picks up exactly the files not yet seen (the
 stream checkpoint, which the caller must name, records them); every micro-batch is cut to
-the latest row per key and upserted by the model's unique key with ``write_upsert``. Re-running after
+the latest row per key, rid of rows that the target holds from a later day, and upserted by the model's unique key with ``write_upsert``. Re-running after
 a failure resumes from the checkpoint; the upsert is idempotent per batch.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.incremental import newest_per_key, write_upsert
+from ..operators.incremental import newest_per_key, not_outdated, write_upsert
 
 
 def stream_upsert(
@@ -33,6 +33,8 @@ def stream_upsert(
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
         newest = newest_per_key(batch, keys, [partition_col] if partition_col else [])
+        if partition_col:  # a late file of an older day does not replace what a newer day brought
+            newest = not_outdated(batch.sparkSession, target_path, newest, keys, partition_col)
         write_upsert(batch.sparkSession, target_path, newest, keys, partition_col)
 
     query = (

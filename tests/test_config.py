@@ -60,3 +60,14 @@ def test_enabled_defaults_to_true():
     c = cfg()
     c["assets"]["activities"].pop("enabled")
     assert "activities" in enabled_assets(c)
+
+
+def test_layout_of_list_files():
+    c = copy.deepcopy(DEFAULT_LANDING_CONFIG)
+    c["assets"]["activities"]["extract"]["layout"] = "lines"
+    assert validate_config(c) is c
+    c["assets"]["splits"]["extract"]["layout"] = "lines"
+    c["assets"]["activities"]["extract"]["layout"] = "columns"
+    with pytest.raises(ConfigError) as e:
+        validate_config(c)
+    assert "activities: extract.layout 'columns'" in str(e.value) and "splits: extract.layout 'lines'" in str(e.value)

@@ -17,13 +17,22 @@ from stridelake.sources import raw_docs
 SF = "/root/testdata/sf0.001"
 
 
+def write_documents(docs, root):
+    """Lay documents out as ``<root>/dt=<d>/<source_file>`` files."""
+    for r in docs.toLocalIterator():
+        d = os.path.join(root, f"dt={r['dt']}")
+        os.makedirs(d, exist_ok=True)
+        with open(os.path.join(d, r["source_file"]), "w", encoding="utf-8") as f:
+            f.write(r["value"])
+
+
 def test_raw_to_gold(spark, tmp_root):
     raw = os.path.join(tmp_root, "raw")
     # a few days of derived payload files, laid out as the ingest writes them
     for asset, fn in raw_docs.DOCUMENT_SOURCES.items():
         docs = fn(spark, SF)
         days = sorted(r.dt for r in docs.select("dt").distinct().collect())[:12]
-        raw_docs.write_documents(docs.filter(F.col("dt").isin(days)), os.path.join(raw, asset))
+        write_documents(docs.filter(F.col("dt").isin(days)), os.path.join(raw, asset))
     cfg = copy.deepcopy(DEFAULT_LANDING_CONFIG)
     cfg.update(source_path=raw, landing_path=os.path.join(tmp_root, "landing"),
                quarantine_dir=os.path.join(tmp_root, "quarantine"))

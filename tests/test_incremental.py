@@ -131,3 +131,20 @@ def test_stream_takes_the_latest_landing_of_a_key(spark, tmp_root):
     stream_upsert(spark, src, target, ["k"], "dt", ckpt)
     stream_upsert(spark, src, target, ["k"], "dt", ckpt)
     assert [(r.k, r.v) for r in spark.read.parquet(target).collect()] == [(1, "new")]
+
+
+def test_late_file_of_an_older_day_does_not_replace_a_newer_row(spark, tmp_root):
+    import os
+
+    src, target, ckpt = (os.path.join(tmp_root, x) for x in ("late-src", "late-t", "late-c"))
+    schema = "k int, v string, dt date"
+    day = lambda n: __import__("datetime").date(2024, 1, n)
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").partitionBy("dt").parquet(src)
+        stream_upsert(spark, src, target, ["k"], "dt", ckpt)
+        return sorted((r.k, r.v) for r in spark.read.parquet(target).collect())
+
+    assert run([(1, "new", day(5)), (2, "x", day(5))]) == [(1, "new"), (2, "x")]
+    assert run([(1, "old", day(3)), (3, "late", day(3))]) == [(1, "new"), (2, "x"), (3, "late")]
+    assert run([(1, "same day", day(5)), (2, "newer", day(6))]) == [(1, "same day"), (2, "newer"), (3, "late")]

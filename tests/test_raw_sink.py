@@ -150,3 +150,47 @@ def test_malformed_files_stop_the_job_or_go_to_their_own_table(spark, tmp_root):
     land_asset(spark, cfg, "splits", clock=CLOCK, on_malformed="quarantine")
     assert landed() == [1, 2, 3] and not os.path.exists(os.path.join(tmp_root, "quarantine", "malformed", "splits", "dt=2024-03-02"))
     assert not [f for f in os.listdir(os.path.join(tmp_root, "landing")) if f != "splits"]
+
+
+def as_lines(cfg):
+    cfg["assets"]["activities"]["extract"]["layout"] = "lines"
+    return cfg
+
+
+def test_list_files_by_lines_equal_whole_documents(spark, tmp_root):
+    """A large array is split over tasks; the landed rows, quarantine and counts are those of whole documents."""
+    acts = [activity(i, f"2024-03-0{1 + i % 3} 07:00:00", activityName="[1,2],{\"]") for i in range(600)]
+    del acts[2]["distance"]  # spoils the file of 2024-03-03
+    write_daily_documents(payloads(spark, acts), os.path.join(tmp_root, "raw"), "activities", "2024-03-05T10:00:00", "2024-03-01")
+    whole = config(tmp_root)
+    lines = as_lines({**copy.deepcopy(whole), "landing_path": os.path.join(tmp_root, "l2"), "quarantine_dir": os.path.join(tmp_root, "q2")})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        from stridelake.sources.raw import scan_raw
+
+        docs = scan_raw(spark, whole["source_path"], "activities", lines=True)
+        assert docs.rdd.getNumPartitions() > 6 > len(raw_files(tmp_root))
+        a, b = (land_asset(spark, c, "activities", clock=CLOCK) for c in (whole, lines))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert a == b and (a["rows_valid"], a["rows_invalid"], a["staged_files"]) == (400, 200, 2)
+    for x, y in (("landing", "l2"), ("quarantine", "q2")):
+        x, y = (spark.read.parquet(os.path.join(tmp_root, r, "activities")) for r in (x, y))
+        assert x.columns == y.columns and x.exceptAll(y).count() == 0 == y.exceptAll(x).count()
+    assert sorted(os.listdir(os.path.join(tmp_root, "l2"))) == ["activities"]
+
+
+def test_broken_line_files_are_malformed(spark, tmp_root):
+    one = json.dumps(activity(1, None))
+    texts = {
+        "01": f"[{one}\n,{one}\n]", "02": f"[\n{one},\n{one}\n]\n", "03": "[]", "04": "[\n]",  # well-formed
+        "11": f"[{one}\n{one}]", "12": f"[{one}", "13": f"{one}]", "14": f"[{one},\n]", "15": f"[{one}]\n[{one}]", "16": f"[{one}\n,{{x]",
+    }
+    for d, t in texts.items():
+        put(tmp_root, "activities", f"2024-03-{d}", "activities_a.json", t)
+    counts = land_asset(spark, as_lines(config(tmp_root)), "activities", clock=CLOCK, on_malformed="quarantine")
+    assert (counts["files_seen"], counts["malformed_files"], counts["rows_invalid"], counts["rows_valid"]) == (10, 6, 4, 0)
+    bad = spark.read.parquet(os.path.join(tmp_root, "quarantine", "malformed", "activities"))
+    assert sorted({str(r.dt)[-2:] for r in bad.collect()}) == ["11", "12", "13", "14", "15", "16"]
+    with pytest.raises(MalformedDocumentError, match="6 malformed"):
+        land_asset(spark, as_lines(config(tmp_root)), "activities", clock=CLOCK)
