@@ -46,11 +46,20 @@ SCRIPTS: dict[str, tuple[tuple[int, int], ...]] = {
 }
 NAMES = [*SCRIPTS, "other"]
 STARTS = sorted((lo, hi, k) for k, ranges in enumerate(SCRIPTS.values()) for lo, hi in ranges)
+#: Runs of letters and of numerals that are no decimal digits (fractions, Roman or circled numbers).
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
 LONGEST = 4
 
 
+def words_in(text: str | None) -> list[str]:
+    """Lower-cased runs of letters."""
+    found = WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 def script_of(word: str) -> int:
     """Number of the script of the word's first letter."""
     c = ord(word[0])
@@ -118,7 +127,7 @@ class Labeller:
 
     def label(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
         """For each text its words and the language number of each."""
-        found = [WORD.findall(t.lower()) if t else [] for t in texts]
+        found = [words_in(t) for t in texts]
         ids = self.word_scores(found)
         return list(zip(found, self.viterbi(ids)))
 
@@ -126,7 +135,8 @@ class Labeller:
         lengths = np.array([len(x) for x in ids])
         order = np.argsort(-lengths, kind="stable")
         order = order[lengths[order] > 0]
-        out = [np.zeros(0, np.int8) for _ in ids]
+        kind = np.min_scalar_type(max(self.k - 1, 0))  # the smallest type that numbers the languages
+        out = [np.zeros(0, kind) for _ in ids]
         if not len(order):
             return out
         flat = np.concatenate([ids[i] for i in order])
@@ -134,8 +144,8 @@ class Labeller:
         first = np.concatenate([[0], np.cumsum(n)[:-1]])
         alive = np.searchsorted(-n, -np.arange(n[0]), side="left")  # texts longer than t
         dp = np.zeros((len(order), self.k), np.float32)
-        came = np.empty((len(flat), self.k), np.int8)  # predecessor of each word and language
-        own = np.arange(self.k, dtype=np.int8)
+        came = np.empty((len(flat), self.k), kind)  # predecessor of each word and language
+        own = np.arange(self.k, dtype=kind)
         for t in range(n[0]):
             a = alive[t]
             d, at = dp[:a], first[:a] + t
@@ -143,11 +153,11 @@ class Labeller:
                 best = d.argmax(axis=1)
                 top = d[np.arange(a), best][:, None] - np.float32(self.m.switch)
                 moved = top > d
-                came[at] = np.where(moved, best[:, None].astype(np.int8), own)
+                came[at] = np.where(moved, best[:, None].astype(kind), own)
                 d = np.where(moved, top, d)
             d = d + self.rows[flat[at]]
             dp[:a] = d - d.max(axis=1, keepdims=True)  # only differences matter; keeps float32 exact enough
-        label = np.empty(len(flat), np.int8)
+        label = np.empty(len(flat), kind)
         label[first + n - 1] = dp.argmax(axis=1)
         for t in range(n[0] - 1, 0, -1):
             a = alive[t]
@@ -228,7 +238,7 @@ def train(
 
         for b in slices(batches):
             for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
-                words.setdefault(lang, Counter()).update(WORD.findall(t.lower()))
+                words.setdefault(lang, Counter()).update(words_in(t))
             if sum(map(len, words.values())) > 200_000:
                 yield from out()
                 words.clear()
@@ -286,7 +296,12 @@ def identify(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang",
 
 
 def span_labels(docs: DataFrame, model: LanguageModel, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, spans: the language of each stretch of a (mixed) text, in code points."""
+    """doc_id, spans: the language of each stretch of a (mixed) text, in code points.
+
+    One row per row of ``docs``. A null text, and one without a letter, has no span; null ids and repeated rows
+    pass through; an empty table gives an empty table; other columns are not read. Where lower case changes a
+    text's length, positions are those of the lower-cased text.
+    """
 
     @F.pandas_udf("array<struct<start:int,end:int,lang:string>>")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -471,6 +471,36 @@ def test_viterbi_equals_exhaustive_and_labels_spans(spark):
     assert {s[2] for s in spans} == {"en", "fr"} and spans[0][2] == "en" and spans[-1][2] == "fr"
 
 
+def test_numerals_are_no_letters(spark):
+    docs = [(i, "the river and the garden" if i % 2 else "der fluss und der garten", "en" if i % 2 else "de") for i in range(40)]
+    odd = ["½ ²", "① ② ③", "Ⅷ", "12 34", "½the", "²", "²und der fluss³"]
+    df = spark.createDataFrame(docs + [(100 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(df).collect()}
+    assert [got[100 + i][0] for i in range(7)] == ["und"] * 4 + ["en", "und", "de"]
+    assert got[100] == ("und", 0.0) and language.words_in("a½b Ⅷc _d1e") == ["a", "b", "c", "d", "e"]
+
+
+def test_many_languages_keep_their_numbers():
+    k = 300
+    model = language.LanguageModel([f"l{i}" for i in range(k)], np.zeros((language.BUCKETS, k), np.float32), np.ones((len(language.NAMES), k), bool))
+    lab = language.Labeller(model)
+    lab.rows = np.full((3, k), -5, np.float32)
+    lab.rows[0, 129], lab.rows[1, 299], lab.rows[2, 7] = 90, 90, 90
+    assert [x.tolist() for x in lab.viterbi([np.array([0, 0, 1]), np.array([2]), np.array([], int)])] == [[129, 129, 299], [7], []]
+
+
+def test_span_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs, docs["doc_id"] >= 0)
+    by = {x["lang"]: x["text"] for x in docs.filter("lang in ('en', 'fr') and n_chars between 800 and 2000").collect()}
+    texts = [(1, by["en"] + "\n" + by["fr"]), (2, None), (3, ""), (4, "12 ½"), (None, by["fr"]), (5, "İ " + by["en"])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in language.span_labels(df, model).collect()}
+    assert [x[2] for x in (got[1][0], got[1][-1])] == ["en", "fr"] and got[2] == got[3] == got[4] == []
+    assert all(a[1] <= b[0] for x in got.values() for a, b in zip(x, x[1:]))
+    assert language.span_labels(df.limit(0), model).count() == 0
+
+
 def test_language_edges(edge, none):
     got = {r["doc_id"]: r for r in language.identify(edge).collect()}
     assert [got[i]["lang_pred"] for i in (0, 1, 2, 13)] == ["und"] * 4
