@@ -83,6 +83,7 @@ def shard_documents(
             F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"),
             F.size(F.filter(gaps, lambda x: x != "")).cast("long").alias("n_tokens"),
             F.xxhash64("text").alias("text_hash"),
+            F.monotonically_increasing_id().alias("row"),  # fixed by the written table
         ),
         "shard-rows",
     )
@@ -99,8 +100,10 @@ def shard_documents(
         .filter((F.col("_n") > 1) & (F.col("_parts") > 1))
         .select(*key, F.least("_parts", "_n").alias("_parts"))
     )
-    part = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("part")), F.coalesce("_parts", F.lit(1)))
-    units = rows.join(heavy, key, "left").withColumn("part", part).drop("_parts")
+    # Rows, not ids, are dealt out: a group of rows that repeat one id, or have none, is split as well. The heavy
+    # groups are fewer than 2 * n_shards * units_per_shard, as each has more than a unit of the bytes or rows.
+    part = F.pmod(F.xxhash64("row", F.lit("part")), F.coalesce("_parts", F.lit(1)))
+    units = rows.join(F.broadcast(heavy), key, "left").withColumn("part", part).drop("_parts", "row")
     units = units.withColumn("block", F.pmod(F.xxhash64("text_hash", "part"), F.lit(n_blocks)))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -441,6 +441,27 @@ def test_sharding(spark, documents, edge, none):
     assert sharding.shard_documents(none).count() == 0
 
 
+def test_sharding_splits_repeated_rows_and_null_ids(spark):
+    for i in ("cast(null as bigint)", "7L"):
+        df = spark.range(8000).selectExpr(f"{i} as doc_id", f"'{prose(1, 30)}' as text").repartition(4)
+        got = sharding.shard_documents(df, n_shards=8, rows_per_block=3000).toPandas()
+        rows = got.groupby("shard").size()
+        assert len(rows) == 8 and rows.max() < 1.1 * rows.min() and len(got) == 8000
+        assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+def test_place_units_follows_the_dot_product():
+    """Each unit, largest first, goes where its demand times the residual capacity is highest; all three sums end near even."""
+    r = np.random.default_rng(11)
+    demand = np.stack([r.integers(20, 3000, 600), r.integers(1, 500, 600), r.integers(1, 4, 600)], 1).astype(float)
+    shard = sharding.place_units(demand, 10)
+    for c, most in ((0, 1.01), (1, 1.25), (2, 1.25)):
+        load = np.bincount(shard, weights=demand[:, c], minlength=10)
+        assert load.max() < most * load.mean()
+    few = np.array([[9.0, 1, 1], [8, 1, 1], [2, 1, 1], [1, 1, 1]])
+    assert len({*sharding.place_units(few, 4).tolist()}) == 4
+
+
 # --- 9 ---------------------------------------------------------------------------------------
 
 
