@@ -4,7 +4,8 @@ Pieces of equal length are interchangeable, so a packing is a list of bins of le
 dealt by hash over blocks of bounded size. Each block is solved by several islands, tasks
 of their own: a population of packings evolves by a crossover that injects whole well-filled
 bins of one parent into the other, removes the bins that hold the same pieces a second time,
-and puts the displaced pieces back by best fit. After each round the elite of every island moves to the
+and puts the displaced pieces back: some take the places of smaller ones where that fills a loose bin better,
+the rest go by best fit. After each round the elite of every island moves to the
 next island of its block. The emptiest bins of the solved blocks are then opened again and packed
 together one level up, in fewer blocks, until a single block is left.
 
@@ -19,8 +20,10 @@ import random
 import sys
 import zlib
 from array import array
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -154,8 +157,8 @@ def fitness(bins: Bins, capacity: int) -> tuple[int, float]:
     return -len(bins), sum(sum(b) ** 2 for b in bins) / (capacity * capacity * max(1, len(bins)))
 
 
-def crossover(a: Bins, b: Bins, capacity: int, rng: random.Random) -> Bins:
-    """Inject a random share of b's well-filled bins into a, without any piece twice."""
+def crossover(a: Bins, b: Bins, capacity: int, rng: random.Random) -> tuple[Bins, list[int]]:
+    """A random share of b's well-filled bins injected into a, no piece twice: the child's bins and the displaced pieces."""
     full = [x for x in b if sum(x) >= capacity - 1] or sorted(b, key=sum)[-max(1, len(b) // 4) :]
     injected = rng.sample(full, rng.randint(1, len(full)))
     doubled = Counter(s for x in injected for s in x)
@@ -169,21 +172,84 @@ def crossover(a: Bins, b: Bins, capacity: int, rng: random.Random) -> Bins:
                     displaced.append(s)
         else:
             child.append(list(x))
-    return best_fit(sorted(displaced, reverse=True), child, capacity)
+    return child, displaced
 
 
-def mutate(a: Bins, capacity: int, rng: random.Random) -> Bins:
-    """Open the loosest bins and a few others, and best-fit their pieces in a perturbed order."""
-    order = sorted(a, key=sum)
+def mutate(bins: Bins, rng: random.Random) -> tuple[Bins, list[int]]:
+    """Open the loosest bins and a few others: the bins left and the pieces of the opened ones."""
+    order = sorted(bins, key=sum)
     k = max(1, len(order) // 50)
     opened = order[:k] + rng.sample(order[k:], min(k, len(order) - k))
     gone = {id(x) for x in opened}
-    sizes = sorted((s for x in opened for s in x), key=lambda s: -s * rng.uniform(0.7, 1.0))
-    return best_fit(sizes, [list(x) for x in a if id(x) not in gone], capacity)
+    return [x for x in bins if id(x) not in gone], [s for x in opened for s in x]
+
+
+def fullest(loose: list[int], most: int) -> tuple[int, ...]:
+    """One or two of the ascending ``loose`` pieces with the greatest sum up to ``most``."""
+    at = bisect_right(loose, most) - 1
+    if at < 0:
+        return ()
+    best, total = (loose[at],), loose[at]
+    low, high = 0, at
+    while low < high and total < most:
+        s = loose[low] + loose[high]
+        if s > most:
+            high -= 1
+        else:
+            if s > total:
+                best, total = (loose[low], loose[high]), s
+            low += 1
+    return best
+
+
+def exchange(bins: Bins, loose: list[int], capacity: int, tried: int = 8) -> list[int]:
+    """Put one or two loose pieces for one or two smaller ones of a bin where that fills it better; what is loose then.
+
+    Large loose pieces find no room later, small ones do: each exchange makes a bin fuller and the loose pieces
+    smaller. Of a bin with many pieces the ``tried`` largest are considered.
+    """
+    loose = sorted(loose)
+    for x in bins:
+        room = capacity - sum(x)
+        if not room or not loose:
+            continue
+        x.sort(reverse=True)
+        some = range(min(len(x), tried))
+        best, swap = 0, None
+        for gone in [(i,) for i in some] + list(combinations(some, 2)):
+            out = sum(x[i] for i in gone)
+            taken = fullest(loose, out + room)
+            if sum(taken) - out > best:
+                best, swap = sum(taken) - out, (gone, taken)
+                if best == room:
+                    break
+        if swap:
+            gone, taken = swap
+            for s in taken:
+                del loose[bisect_left(loose, s)]
+            for i in reversed(gone):
+                insort(loose, x.pop(i))
+            x.extend(taken)
+    return loose
+
+
+def offspring(a: Bins, b: Bins, capacity: int, rng: random.Random, bins_tried: int = 48, loose_tried: int = 192) -> Bins:
+    """A child of two packings; the exchange looks at a bounded number of the loosest bins and displaced pieces."""
+    child, displaced = crossover(a, b, capacity, rng)
+    child, opened = mutate(child, rng)
+    displaced += opened
+    rng.shuffle(displaced)
+    some, rest = displaced[:loose_tried], displaced[loose_tried:]
+    loosest = [x for x in sorted(child, key=sum) if sum(x) < capacity][:bins_tried]
+    rest += exchange(loosest, some, capacity)
+    return best_fit(sorted(rest, reverse=True), child, capacity)
 
 
 def evolve(population: list[Bins], sizes: list[int], capacity: int, generations: int, size: int, seed: int) -> list[Bins]:
-    """The population after some generations, best first; an empty one starts from best-fit orders."""
+    """The population after some generations, best first; an empty one starts from best-fit orders.
+
+    Parents are the better ones of random pairs out of the whole population; a child takes the place of the worst.
+    """
     rng = random.Random(seed)
     down = sorted(sizes, reverse=True)
     while len(population) < size:
@@ -192,11 +258,14 @@ def evolve(population: list[Bins], sizes: list[int], capacity: int, generations:
     least = -(-sum(sizes) // capacity)
     rank = lambda x: fitness(x, capacity)
     population.sort(key=rank, reverse=True)
+    chosen = lambda: min(rng.randrange(len(population)), rng.randrange(len(population)))
     for _ in range(generations):
         if len(population[0]) <= least:
             break  # as few bins as the total length allows
-        a, b = rng.sample(population[: max(2, size // 2)], 2)
-        population[-1] = mutate(crossover(a, b, capacity, rng), capacity, rng)
+        i, j = chosen(), chosen()
+        if i == j:
+            j = (i + 1) % len(population)
+        population[-1] = offspring(population[i], population[j], capacity, rng)
         population.sort(key=rank, reverse=True)
     return population
 
@@ -221,7 +290,9 @@ def from_bytes(b: bytes) -> Bins:
 ISLAND = "block long, island int, bins long, best binary, population array<binary>, sizes binary"
 
 
-def _solve(items: DataFrame, capacity: int, islands: int, rounds: int, generations: int, size: int, level: int) -> DataFrame:
+def _solve(
+    items: DataFrame, blocks: int, capacity: int, islands: int, rounds: int, generations: int, size: int, level: int
+) -> DataFrame:
     """(block, best): the best packing of each block after all rounds of all its islands."""
 
     def sizes_of(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -247,7 +318,9 @@ def _solve(items: DataFrame, capacity: int, islands: int, rounds: int, generatio
         return step
 
     for turn in range(rounds):
-        state = stored(state.groupBy("block", "island").applyInPandas(island(turn), ISLAND), f"islands-{level}-{turn}")
+        # an explicit number of tasks: merged ones would evolve their islands one after the other
+        dealt = state.repartition(blocks * islands, "block", "island")
+        state = stored(dealt.groupBy("block", "island").applyInPandas(island(turn), ISLAND), f"islands-{level}-{turn}")
         if turn + 1 < rounds:  # the elite of each island takes the worst one's place on the next island
             elite = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("best").alias("guest"))
             state = state.join(elite, ["block", "island"]).withColumn(
@@ -287,8 +360,8 @@ def pack_pieces(
     items_per_block: int = 8192,
     islands: int = 3,
     rounds: int = 2,
-    generations: int = 6,
-    population: int = 4,
+    generations: int = 8,
+    population: int = 5,
     merge: int = 16,
 ) -> DataFrame:
     """``pieces`` with sequence_id and offset. Rows of equal (doc_id, piece) are pieces of their own.
@@ -306,7 +379,7 @@ def pack_pieces(
     while True:
         last = blocks == 1
         items = rest.withColumn("block", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(blocks)))
-        best = _solve(items, capacity, islands, rounds, generations, population, level)
+        best = _solve(items, blocks, capacity, islands, rounds, generations, population, level)
 
         place = best.groupBy("block").applyInPandas(_places(capacity, level, 0 if last else reopened), PLACES)
         rank = F.row_number().over(Window.partitionBy("block", "length").orderBy("row"))

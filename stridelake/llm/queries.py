@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    alignment, chat, decontaminate, language, near_duplicates, packing, piece_codec, quality, rules, runs, sharding,
+    alignment, chat, decontaminate, language, near_duplicates, oracles, packing, piece_codec, quality, rules, runs, sharding,
     suffix_tree, tokens,
 )
 from .common import table
@@ -116,4 +116,5 @@ LLM_QUERIES = {
     "op13_token_alignment": op13_token_alignment,
 }
 
-LLM_ORACLE_SQL: dict[str, str] = {}
+#: SQL where it can express the result; the other operators are tested against brute force and the libraries.
+LLM_ORACLE_SQL: dict[str, str] = {"op4_near_duplicates": oracles.NEAR_DUPLICATES, "op10_chat_formatting": oracles.CHATS}

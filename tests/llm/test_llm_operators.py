@@ -189,6 +189,44 @@ def test_packing(spark, edge, none):
     assert packing.pack_documents(edge, path).filter("doc_id is null").count() == 2
 
 
+def triplets(n, seed):
+    """Lengths that fill n bins of 1000 exactly, three a bin: hard for best fit."""
+    r = np.random.default_rng(seed)
+    a = r.integers(380, 491, n)
+    b = np.array([r.integers(250, (1000 - x) // 2 + 1) for x in a])
+    return [int(x) for x in np.concatenate([a, b, 1000 - a - b])]
+
+
+def test_evolution_beats_best_fit(spark):
+    for n, seed in ((40, 1), (80, 2), (200, 3)):
+        sizes = triplets(n, seed)
+        plain = packing.best_fit(sorted(sizes, reverse=True), [], 1000)
+        best = packing.evolve([], sizes, 1000, 8, 5, seed)[0]
+        assert sorted(s for b in best for s in b) == sorted(sizes) and max(map(sum, best)) <= 1000
+        assert len(best) <= n + 0.1 * n < len(plain)
+    sizes = triplets(300, 4)
+    pieces = spark.createDataFrame([(i, 0, 0, s, 0) for i, s in enumerate(sizes)], packing.PIECES)
+    got = packing.pack_pieces(pieces, 1000, items_per_block=300, merge=4).toPandas()
+    assert len(got) == 900 and (got.groupby("sequence_id")["length"].sum() <= 1000).all()
+    assert got["sequence_id"].nunique() < len(packing.best_fit(sorted(sizes, reverse=True), [], 1000)) - 10
+
+
+def test_crossover_and_exchange_keep_every_piece_once():
+    import random
+
+    for seed in range(60):
+        r = random.Random(seed)
+        sizes = [r.randint(1, 60) for _ in range(r.randint(1, 80))]
+        a, b = (packing.best_fit(sorted(sizes, key=lambda s: r.random()), [], 100) for _ in range(2))
+        child = packing.offspring(a, b, 100, r, bins_tried=5, loose_tried=9)
+        assert sorted(s for x in child for s in x) == sorted(sizes) and max(map(sum, child)) <= 100
+        loose = sorted(r.randint(1, 60) for _ in range(12))
+        most = r.randint(0, 130)
+        got = packing.fullest(loose, most)
+        pairs = [0, *(x for x in loose if x <= most), *(x + y for i, x in enumerate(loose) for y in loose[i + 1 :] if x + y <= most)]
+        assert sum(got) == max(pairs)
+
+
 def test_packing_is_close_to_the_bound(spark):
     r = np.random.default_rng(4)
     rows = [(i, 0, 0, int(n), 0) for i, n in enumerate(r.integers(1, 600, 3000))]
