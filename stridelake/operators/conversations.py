@@ -9,8 +9,7 @@ task:
 * positions come from ``ordinal_within_group`` (hot sessions are numbered in chunks);
 * "last N" uses ``row_number() <= N``, which Spark plans as a
   ``WindowGroupLimit`` (each task forwards at most N rows per session);
-* the history before a turn is an equi-join on (session, position) with
-  the N preceding positions, so each group holds at most N messages;
+* the history before a turn is a window of N rows over chunks of the session that overlap by N messages;
 * the text to be summarised, of any length, is built in numbered parts of a bounded number of messages.
 """
 
@@ -25,6 +24,7 @@ from .sequence import ordinal_within_group
 # Fixed values (defaults of the chat service).
 RECENT_RAW_MESSAGE_LIMIT = 6
 COMPACTION_TRIGGER_MESSAGE_COUNT = 12
+MESSAGES_PER_CHUNK = 1024
 NO_CONVERSATION = "No previous conversation."
 NO_SUMMARY = "No previous summary."
 NEW_CHAT = "New chat"
@@ -274,25 +274,27 @@ def prompt_assembly(
     """The chat prompt for every user turn.
 
     History = the ``limit`` messages right before the turn (what the service
-    reads before storing the question). It is built by joining each message
-    to the ``limit`` positions after it -- an equi-join, so groups never
-    exceed ``limit`` rows. ``training_context`` is a one-row frame, used as
-    a scalar subquery.
+    reads before storing the question): a window of ``limit`` rows over chunks of the session. The last
+    ``limit`` messages of a chunk are also the first ones of the next chunk, so no window ends at a border,
+    every other text is moved once, and a session of any length is spread over tasks.
+    ``training_context`` is a one-row frame, used as a scalar subquery.
     """
+    rows = max(MESSAGES_PER_CHUNK, limit)
     pos = with_positions(messages).select("session_id", "created_at", "role", "content", "position")
-    questions = pos.filter(F.col("role") == "user")
-    senders = pos.select(
-        "session_id",
-        F.col("position").alias("_src"),
-        transcript_line().alias("_line"),
-        F.explode(F.sequence(F.lit(1), F.lit(limit))).alias("_k"),
-    ).select("session_id", "_src", "_line", (F.col("_src") + F.col("_k")).alias("position"))
-    history = senders.join(questions.select("session_id", "position"), ["session_id", "position"]).groupBy(
-        "session_id", "position"
-    ).agg(listagg_ordered("_line", NEWLINE, "_src").alias("_history"))
+    own = F.floor(F.col("position") / F.lit(rows)).cast("bigint")
+    places = F.when(F.col("position") % rows >= rows - limit, F.array(own, own + 1)).otherwise(F.array(own))
+    placed = pos.select("*", own.alias("_own"), F.explode(places).alias("_chunk"))
+    before = Window.partitionBy("session_id", "_chunk").orderBy("position").rowsBetween(-limit, -1)
+    lines = F.collect_list(transcript_line()).over(before)
+    history = F.when(F.size("_lines") > 0, F.array_join("_lines", NEWLINE)).alias("_history")
+    questions = (
+        placed.withColumn("_lines", lines)
+        .filter((F.col("_own") == F.col("_chunk")) & (F.col("role") == "user"))
+        .select("session_id", "created_at", "content", history)
+    )
     st = _session_state(messages, sessions).select("session_id", "summary")
     ctx = training_context.select(F.col(training_context.columns[0]).alias("c")).scalar()
-    q = questions.join(history, ["session_id", "position"], "left").join(st, "session_id", "left")
+    q = questions.join(st, "session_id", "left")
     body = F.concat(
         F.lit(PROMPT_HEAD),
         ctx,

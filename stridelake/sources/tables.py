@@ -28,20 +28,16 @@ def read_table(
 ) -> DataFrame:
     """Read a table, pruned to ``columns``.
 
-    ``spread_by``: when the scan yields fewer partitions than the cluster
-    has cores (a single-row-group file is one task however big it is), hash
-    the rows by this key over ``spark.sql.shuffle.partitions`` tasks. Use it
+    ``spread_by`` hashes the rows by this key over ``spark.sql.shuffle.partitions`` tasks, on any input, so that
+    the plan does not depend on the files (a single-row-group file is one task however big it is). Use it
     with the key the next shuffle needs anyway (e.g. the key of a window),
     so it replaces that exchange instead of adding one, or ahead of
-    CPU-heavy per-row work (JSON parsing). Large inputs already have many
-    splits and are left as they are.
+    CPU-heavy per-row work (JSON parsing) on a narrow table.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(table_path(sf_dir, name))
     df = df.select(*columns) if columns else df
     if spread_by is not None:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), spread_by)
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), spread_by)
     return df

@@ -146,3 +146,16 @@ def test_run_states_reduce_an_event_log(spark):
         1: ("completed", 12, 100, None, 3), 2: ("failed", None, 40, "timeout", 2), 3: ("started", None, None, None, 1),
         4: ("completed", 5, 3, None, 2), 5: ("completed", None, 9, None, 4),
     }
+
+
+def test_history_does_not_end_at_chunk_borders(spark, monkeypatch):
+    m = spark.range(50).selectExpr("1L as session_id", "id as created_at", "if(id % 3 = 0, 'user', 'assistant') as role", "if(id = 7, null, concat('m', id)) as content")
+    ctx = spark.createDataFrame([("c",)], "c string")
+    for rows, limit in ((1024, 4), (6, 4), (4, 4), (2, 5)):
+        monkeypatch.setattr(conv, "MESSAGES_PER_CHUNK", rows)
+        got = {r.created_at: r.prompt for r in conv.prompt_assembly(m, ctx, limit=limit).collect()}
+        assert sorted(got) == list(range(0, 50, 3))
+        for i, text in got.items():
+            said = [f"{'User' if k % 3 == 0 else 'Assistant'}: m{k}" for k in range(max(0, i - limit), i) if k != 7]
+            history = text.split("Recent conversation:\n" + " " * 8)[1].split("\n\n        User question:")[0]
+            assert history == ("\n".join(said) or "No previous conversation.")
