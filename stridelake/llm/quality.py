@@ -134,7 +134,8 @@ def train(
 ) -> Trees:
     """Trees from labelled rows where ``keep`` holds. Repeated labels of an id are averaged.
 
-    The bound on the rows is also the bound on what is broadcast: (id, label) of the sample.
+    The bound on the rows is also the bound on what is broadcast, (id, label) of the sample, and on what comes to the
+    driver: an id teaches once, however many rows repeat it (of different texts the one of the least hash).
     """
     marks = (
         labels.select(labels["doc_id"].cast("long").alias("l_id"), labels["quality"].cast("double").alias("q"))
@@ -150,7 +151,8 @@ def train(
         return pd.Series([statistics(t if isinstance(t, str) else None) for t in s])
 
     rows = docs.filter(keep).select(docs[id_col].cast("long").alias("l_id"), docs[text_col].cast("string").alias("text"))
-    got = rows.join(F.broadcast(marks), "l_id").select("l_id", "y", numbers("text").alias("x")).toPandas()
+    once = rows.join(F.broadcast(marks), "l_id").groupBy("l_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = once.select("l_id", "y", numbers("text").alias("x")).toPandas()
     got = got.sort_values("l_id", kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     return boost(x, got["y"].to_numpy(float), **options)

@@ -415,6 +415,16 @@ def test_quality_edges(spark, edge, none):
     assert quality.classify(none, labels).count() == 0
 
 
+def test_repeated_ids_teach_once(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = documents.select("doc_id", "text")
+    many = docs.crossJoin(spark.range(7)).drop("id")
+    keep = docs["doc_id"] >= 0
+    a, b = quality.train(docs, labels, keep), quality.train(many, labels, many["doc_id"] >= 0)
+    x = np.random.default_rng(1).random((200, len(quality.FEATURES)))
+    assert a.score(x).tolist() == b.score(x).tolist()
+
+
 # --- 7 ---------------------------------------------------------------------------------------
 
 
@@ -621,3 +631,30 @@ def test_pipeline_stages(spark):
         out = stage(spark, docs, SF)
         assert out.columns == first and 0 < out.count() <= docs.count(), name
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_pipeline_stages_on_edge_cases(spark, edge, none):
+    """Nulls, empty and very long texts, repeated rows, clashing names and empty tables, stage by stage."""
+    import corpus_pipeline
+
+    names = ["_gone", "found_0", "language_0", "quality_0", "leak_0", "tid", "bucket", "node"]
+    docs = edge.select("doc_id", "text", "lang", *[spark_lit(n) for n in names])
+    want = {"language": {5, 6, 7, 8}, "quality": set(), "near-duplicates": {0, 1, 2, 3, 5, 8}, "decontamination": {0, 1, 2, 5, 8}}
+    never = {"language": {0, 1, 2, 13}, "quality": set(), "near-duplicates": {6, 7, 9}, "decontamination": set()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        ids = {r["doc_id"] for r in rows}
+        assert want[name] <= ids and not never[name] & ids and len(rows) <= docs.count(), name
+        empty = stage(spark, none, SF)
+        assert empty.columns == none.columns and empty.count() == 0, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.collect()}
+    assert corpus_pipeline.STAGES[-1][1](spark, none, SF).count() == 0
+
+
+def spark_lit(name):
+    from pyspark.sql import functions as F
+
+    return F.lit(1).alias(name)
