@@ -471,6 +471,29 @@ def test_fences_are_tighter_than_any_constant_in_a_plain_source(spark):
     assert {r["doc_id"] for r in got if r["kept"]} == set(range(60)) and not any(r["base_failed"] for r in got if r["doc_id"] < 100)
 
 
+def test_kept_equals_exact_quartiles(spark):
+    """Fences from exact quartiles of the group, else of the language, else of all usable documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.withColumn("source", F_expr("if(doc_id % 9 = 0, null, concat('s', doc_id % 4))")).withColumn("lang", F_expr("if(doc_id % 31 = 0, null, lang)"))
+    stats = rules.text_statistics(docs).toPandas()
+    usable = stats[~stats["base_failed"]]
+    group = lambda df, **key: df[np.logical_and.reduce([df[c].isna() if v is None else df[c] == v for c, v in key.items()])] if key else df
+    quartile = lambda x, p: np.sort(x)[max(0, int(np.ceil(p * len(x))) - 1)]
+    want = {}
+    for r in stats.to_dict("records"):
+        lang, source = (v if isinstance(v, str) else None for v in (r["lang"], r["source"]))
+        levels = [group(usable, lang=lang, source=source), group(usable, lang=lang)]
+        own = next((g for g in levels if len(g) >= 60), usable)
+        ok = not r["base_failed"]
+        for name, (low, high, spread) in rules.LIMITS.items():
+            a, b = quartile(own[name], 0.25), quartile(own[name], 0.75)
+            wide = 3 * max(b - a, spread)
+            ok = ok and not (low and r[name] < a - wide) and not (high and r[name] > b + wide)
+        want[r["doc_id"]] = ok
+    got = {r["doc_id"]: r["kept"] for r in rules.quality_rules(docs, min_rows=60).collect()}
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
 # --- 8 ---------------------------------------------------------------------------------------
 
 
@@ -618,8 +641,16 @@ def test_chats(spark):
 
 def test_names_and_native_plans(spark, edge):
     assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 14))
-    plan = rules.quality_rules(edge)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_native_operators_have_no_python_in_any_stage(spark, edge, monkeypatch):
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().toString()) or df
+    for module in (rules, chat):
+        monkeypatch.setattr(module, "stored", lambda df, name="t": plan(df))  # what would be written
+    plan(rules.quality_rules(edge))
+    plan(chat.format_chats(spark.read.parquet(f"{SF}/conversations.parquet")))
+    assert len(plans) >= 5 and not [p for p in plans if re.search("Python|Pandas|Arrow|MapPartitions", p)]
 
 
 def test_pipeline_stages(spark):
@@ -658,3 +689,9 @@ def spark_lit(name):
     from pyspark.sql import functions as F
 
     return F.lit(1).alias(name)
+
+
+def F_expr(sql):  # noqa: N802
+    from pyspark.sql import functions as F
+
+    return F.expr(sql)
