@@ -579,7 +579,7 @@ kept as (select *, bool_and(start_time_local is not null) over (partition by dt)
 select activity_id, start_time_local, gmt as start_time_gmt, 'Run ' || activity_id as activity_name, activity_type, distance,
  duration, o_custkey as owner_id, 'Customer ' || o_custkey as owner_full_name, average_speed, average_hr, has_splits,
  device_id, workout_id, '2024-01-01T00:00:00' as ingested_at, '2024-01-01' as ingestion_date, cast(dt as varchar) as run_date,
- 'activities_2024-01-01T00:00:00.json' as source_file, dt
+ 'activities_20240101T000000.json' as source_file, dt
 from kept where valid""",
 )
 def q_raw_daily_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -594,7 +594,8 @@ def q_raw_daily_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "raw-daily")
     cfg = default_config(source_path=f"{root}/raw", landing_path=f"{root}/landing", quarantine_dir=f"{root}/quarantine")
     payloads = activity_payloads(spark, sf_dir)
-    write_daily_documents(payloads, f"{root}/raw", "activities", QUERY_CLOCK.isoformat(), "1970-01-01", order_col="activity_id")
+    stamp = f"{QUERY_CLOCK:%Y%m%dT%H%M%S}"  # no colons: local filesystems with checksums reject them
+    write_daily_documents(payloads, f"{root}/raw", "activities", stamp, "1970-01-01", order_col="activity_id")
     landing.land_asset(spark, cfg, "activities", clock=QUERY_CLOCK)
     return landing_scan(spark, f"{root}/landing", "activities")
 
