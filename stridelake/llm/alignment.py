@@ -54,7 +54,7 @@ class Grown:
 class Aligner:
     """Alignments of texts; those of their chunks are remembered, up to ``chunks_kept``."""
 
-    def __init__(self, path_a: str, path_b: str, chunks_kept: int = 300_000):
+    def __init__(self, path_a: str, path_b: str, chunks_kept: int = 600_000):
         import sentencepiece
 
         self.a = ByteEncoder(path_a)
@@ -63,6 +63,8 @@ class Aligner:
         self.bytes_a, self.size_b = self.table_a(), sp.get_piece_size()
         kind = lambda i: bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(MARK, " ").encode()
         self.bytes_b = [kind(i) for i in range(self.size_b)]
+        self.length_a, self.length_b = {i: len(x) for i, x in self.bytes_a.items()}, [len(x) for x in self.bytes_b]
+        self.shown = [str(i) for i in range(max(max(self.bytes_a) + 1, self.size_b))]
         crossing = re.compile(f"[^{MARK}]{MARK}")
         cuttable = "".join(sp.encode("a  b ", out_type=str)) == f"{MARK}a{MARK}{MARK}b{MARK}" and self.a.fast is not None
         cuttable = cuttable and not any(crossing.search(sp.id_to_piece(i)) for i in range(self.size_b))
@@ -89,6 +91,7 @@ class Aligner:
     def learn(self, chunks: list[str]) -> None:
         """Align new chunks, each of which begins with a space."""
         sums, pairs, ends, at = [], [], [], self.pairs.n
+        shown, size_b = self.shown, self.size_b
         for chunk, b in zip(chunks, self.b.encode([c[1:] for c in chunks], num_threads=1)):
             a, raw = self.encode_a(chunk), chunk.encode()
             if b"".join([self.bytes_a.get(i, b"") for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
@@ -97,10 +100,15 @@ class Aligner:
             else:
                 groups, before = self.align(a, b), len(pairs)
                 for x, y in groups:
-                    pairs += [i * self.size_b + j for i in x for j in y]
+                    if len(x) == 1 == len(y):
+                        pairs.append(x[0] * size_b + y[0])
+                    else:
+                        pairs += [i * size_b + j for i in x for j in y]
                 sums.append((len(a), len(b), len(groups), len(pairs) - before))
             self.number[chunk] = len(self.groups)
-            self.groups.append(";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups]))
+            self.groups.append(
+                ";".join([f"{','.join([shown[i] for i in x])}|{','.join([shown[i] for i in y])}" for x, y in groups])
+            )
             ends.append(at + len(pairs))
         self.sums.add(np.array(sums, self.sums.data.dtype))
         self.pairs.add(np.array(pairs, np.int64))
@@ -109,12 +117,13 @@ class Aligner:
     def align(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
         """ids of both sides between neighbouring common ends."""
         groups = []
+        length_a, length_b = self.length_a, self.length_b
         i = j = i0 = j0 = x = y = 0
         while i < len(a):
-            x += len(self.bytes_a[a[i]])
+            x += length_a[a[i]]
             i += 1
             while y < x:
-                y += len(self.bytes_b[b[j]])
+                y += length_b[b[j]]
                 j += 1
             if x == y:
                 groups.append((a[i0:i], b[j0:j]))

@@ -57,7 +57,7 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceEncoder:
     """ids of texts as little-endian unsigned 32-bit bytes, as the library encodes them without sampling."""
 
-    def __init__(self, model_path: str, words_kept: int = 500_000, pairs_kept: int = 1_000_000):
+    def __init__(self, model_path: str, words_kept: int = 700_000, pairs_kept: int = 1_000_000):
         import ahocorasick
         import sentencepiece
 
