@@ -510,7 +510,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "near-duplicates")
     own = free_name(docs, "found")
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(own)).distinct()
-    out = docs.join(gone, docs[id_col].cast("long") == F.col(own), "left_anti")
+    # the same plan at every size: whole rows are dealt out by id once, as they are once the ids are many
+    out = docs.join(gone.hint("merge"), docs[id_col].cast("long") == F.col(own), "left_anti")
     repeated = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     if repeated.isEmpty():
         return out
