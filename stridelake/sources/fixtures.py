@@ -12,7 +12,7 @@ Scale notes:
   the same key the window partitions by: one shuffle serves both.
 * ``activity_details`` numbers the samples of a user. One user may hold a
   large share of all events, so the numbering uses
-  ``ordinal_within_group`` instead of one window over the whole user.
+  ``ordinal_by_chunk`` (by hour) instead of one window over the whole user.
 * The six metrics per sample come from ``explode(sequence(0, 5))``, a
   generator, not a join.
 """
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.sequence import ordinal_within_group
+from ..operators.sequence import ordinal_by_chunk
 from .tables import read_table
 
 
@@ -208,11 +208,8 @@ DETAIL_METRIC_KEYS = (
 
 def activity_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id"])
-    numbered = ordinal_within_group(
-        ev,
-        ["user_id"],
-        ["ts", "event_id"],
-        name="measurement_index",
+    numbered = ordinal_by_chunk(
+        ev, ["user_id"], ["ts", "event_id"], chunk=F.date_trunc("hour", F.col("ts")), name="measurement_index"
     )
     e = numbered.select(
         F.col("user_id").alias("activity_id"),

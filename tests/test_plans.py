@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stridelake.operators.sequence import ordinal_within_group
+from stridelake.operators.sequence import ordinal_by_chunk, ordinal_within_group
 from stridelake.query_registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -78,6 +78,21 @@ def test_numbering_of_any_shape_of_group(spark):
     assert got.count() == 0
 
 
+def test_numbering_by_chunk_equals_row_number_with_one_exchange(spark):
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    got = ordinal_by_chunk(ev, ["user_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"), name="pos")
+    want = ev.withColumn("pos", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("bigint"))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(got)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    window = plan[plan.index("Window [row_number()") :]
+    assert plan[: plan.index("Window [row_number()")].count("Exchange") == 0  # from the window to the result: none
+    assert window.count("FileScan") == 2
+
+
 def test_numbering_exchanges_its_rows_once(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
