@@ -50,6 +50,8 @@ STARTS = sorted((lo, hi, k) for k, ranges in enumerate(SCRIPTS.values()) for lo,
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
 LONGEST = 4
+#: Words whose n-grams are in memory at a time (about 100 numbers a word).
+SCORED_AT_ONCE = 16_384
 
 
 def words_in(text: str | None) -> list[str]:
@@ -106,6 +108,16 @@ class Labeller:
         self.index: dict[str, int] = {}
         self.rows = np.zeros((0, self.k), np.float32)
 
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Scaled log probabilities of each word in each language, the best one 0."""
+        at, owner = ngrams(words)
+        score = np.stack([np.bincount(owner, weights=self.m.logp[at, k], minlength=len(words)) for k in range(self.k)], axis=1)
+        score *= self.m.scale
+        mask = self.m.allowed[[script_of(w) for w in words]]
+        mask[~mask.any(axis=1)] = True  # a script that training never saw narrows nothing
+        score = np.where(mask, score, -np.inf)
+        return np.maximum(score - score.max(axis=1, keepdims=True), -1e4).astype(np.float32)
+
     def word_scores(self, found: list[list[str]]) -> list[np.ndarray]:
         """Row of ``self.rows`` of each word of each text; words not seen before are scored together."""
         if len(self.index) > self.m.cache_words:
@@ -113,13 +125,7 @@ class Labeller:
         index = self.index
         new = list({w for ws in found for w in ws if w not in index})
         if new:
-            at, owner = ngrams(new)
-            score = np.stack([np.bincount(owner, weights=self.m.logp[at, k], minlength=len(new)) for k in range(self.k)], axis=1)
-            score *= self.m.scale
-            mask = self.m.allowed[[script_of(w) for w in new]]
-            mask[~mask.any(axis=1)] = True  # a script that training never saw narrows nothing
-            score = np.where(mask, score, -np.inf)
-            score = np.maximum(score - score.max(axis=1, keepdims=True), -1e4).astype(np.float32)
+            score = np.concatenate([self.scores(new[i : i + SCORED_AT_ONCE]) for i in range(0, len(new), SCORED_AT_ONCE)])
             first = len(index)
             index.update(zip(new, range(first, first + len(new))))
             self.rows = np.concatenate([self.rows[:first], score])
@@ -225,8 +231,10 @@ def train(
         def out():
             for lang, c in words.items():
                 grams, letters = np.zeros(BUCKETS, np.int64), np.zeros(len(NAMES), np.int64)
-                bucket, owner = ngrams(list(c))
-                grams += np.bincount(bucket, weights=np.array(list(c.values()))[owner], minlength=BUCKETS).astype(np.int64)
+                found, times = list(c), np.array(list(c.values()))
+                for i in range(0, len(found), SCORED_AT_ONCE):
+                    bucket, owner = ngrams(found[i : i + SCORED_AT_ONCE])
+                    grams += np.bincount(bucket, weights=times[i:][owner], minlength=BUCKETS).astype(np.int64)
                 for w, n in c.items():
                     letters[script_of(w)] += n * len(w)
                 at, sc = np.flatnonzero(grams), np.flatnonzero(letters)
@@ -269,8 +277,8 @@ def predictor(model: LanguageModel | None):
         lab = Labeller(model) if model else None
         for s in batches:
             langs, scores = [], []
-            for at in range(0, len(s), 2048):
-                texts = [t if isinstance(t, str) else None for t in s.iloc[at : at + 2048]]
+            for at in range(0, len(s), 1024):
+                texts = [t if isinstance(t, str) else None for t in s.iloc[at : at + 1024]]
                 a, b = lab.predict(texts) if lab else ([UNKNOWN] * len(texts), [0.0] * len(texts))
                 langs += a
                 scores += b
