@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stridelake.operators.extract import extract_documents
 from stridelake.plans import silver
 from stridelake.sources import fixtures, raw_docs
 
@@ -72,3 +73,23 @@ def test_workout_documents_hold_the_same_texts(spark, tmp_root):
     assert [(d.dt, d.source_file) for d in docs] == [("2024-01-01", f"workouts_{i}.json") for i in (0, 2, 3)]
     assert '"workoutId":7,"workoutName":"Workout 7"' in docs[0].value and '"numberOfIterations":10' in docs[0].value
     assert '"estimatedDurationInSecs"' not in docs[2].value  # every thirteenth plan lacks it
+
+
+def test_descriptors_are_read_once_per_document(spark):
+    asset = {
+        "extract": {
+            "payload_kind": "descriptor_metrics", "schema_path": "ds", "schema_index_field": "at", "schema_key_field": "key",
+            "schema_unit_path": "unit", "records_path": "ms", "values_path": "vs",
+        },
+        "column_mapping": [
+            {"target": t, "source": s, "dtype": d, "required": False}
+            for t, s, d in [("i", "metric_index", "int64"), ("k", "metric_key", "string"), ("k_json", "metric_key", "json"),
+                            ("v", "metric_value", "float64"), ("f", "unit_factor", "int64"), ("x", "absent", "string")]
+        ],
+    }
+    value = '{"ds":[{"at":0,"key":"a","unit":{"factor":2}},{"key":"no"},{"at":1,"key":"old"},{"at":1,"key":7,"unit":{"factor":"z"}}],"ms":[{"vs":[1,"w",3]}]}'
+    docs = spark.createDataFrame([("2024-01-01", "f", value)], "dt string, source_file string, value string")
+    out = extract_documents(docs, asset)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("['at']") == 1
+    (row,) = out.collect()
+    assert [tuple(r) for r in row.records] == [(0, "a", '"a"', 1.0, 2, None), (1, "7", "7", None, None, None), (2, None, None, 3.0, None, None)]
