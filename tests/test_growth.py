@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from stridelake.operators.extract import extract_documents
-from stridelake.plans import silver
+from stridelake.operators.incremental import write_upsert
+from stridelake.operators.sequence import ordinal_by_chunk
+from stridelake.plans import bronze, gold, silver
 from stridelake.sources import fixtures, raw_docs
+from stridelake.sources.tables import read_table, tasks_for
 
 
 def plan_of(df) -> str:
@@ -93,3 +98,53 @@ def test_descriptors_are_read_once_per_document(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("['at']") == 1
     (row,) = out.collect()
     assert [tuple(r) for r in row.records] == [(0, "a", '"a"', 1.0, 2, None), (1, "7", "7", None, None, None), (2, None, None, 3.0, None, None)]
+
+
+def test_upsert_computes_its_batch_once(spark, tmp_root):
+    computed = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def seen(x):
+        computed.add(1)
+        return x
+
+    table = f"{tmp_root}/table"
+    held = [(1, 10, "2024-01-01"), (2, 20, "2024-01-02"), (3, 30, "2024-01-03")]
+    spark.createDataFrame(held, "k bigint, v bigint, dt string").write.partitionBy("dt").parquet(table)
+    new = spark.createDataFrame([(1, 11, "2024-01-02"), (4, 40, None), (None, 50, "2024-01-02")], "k bigint, v bigint, dt string")
+    write_upsert(spark, table, new.withColumn("k", seen("k")), ["k"], "dt")
+    assert computed.value == 3
+    rows = spark.read.schema("k bigint, v bigint, dt string").parquet(table).collect()
+    expected = [(2, 20, "2024-01-02"), (3, 30, "2024-01-03"), (1, 11, "2024-01-02"), (4, 40, None), (None, 50, "2024-01-02")]
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, expected))
+    assert sorted(f for f in os.listdir(tmp_root) if "crc" not in f) == ["table"]
+
+
+def test_newest_landing_needs_one_exchange_of_the_rows(spark, tmp_root):
+    path = f"{tmp_root}/landing"
+    rows = [(1, 1, 5.0, "2024-01-01"), (1, 1, 5.0, "2024-01-01"), (1, 1, 6.0, "2024-01-02"), (1, 2, 7.0, "2024-01-01")]
+    spark.createDataFrame(rows, "activity_id bigint, message_index bigint, v double, dt string").write.parquet(path)
+    batch = bronze.bronze_batch("splits", spark.read.parquet(path).filter("activity_id is not null and message_index is not null"))
+    assert plan_of(batch).count("hashpartitioning") == 2  # rows with a key, and the (here no) rows without one
+    assert sorted(map(tuple, batch.collect())) == [(1, 1, 6.0, "2024-01-02"), (1, 2, 7.0, "2024-01-01")]
+
+
+def test_rows_of_a_task_are_bounded(spark, tmp_root):
+    spark.range(40).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_root}/part.parquet")
+    df = read_table(spark, tmp_root, "part")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks_for(df, 100) == least and tasks_for(df, 2) == max(least, 20) and tasks_for(df.limit(0), 2) == least
+    stamped = spark.range(50).select(F.lit(1).alias("g"), F.timestamp_seconds("id").alias("t"))
+    numbered = ordinal_by_chunk(stamped, ["g"], ["t"], F.date_trunc("minute", "t"), tasks=least + 5)
+    assert f", {least + 5})" in plan_of(numbered)
+    assert sorted(r.ordinal for r in numbered.collect()) == list(range(50))
+
+
+def test_summary_of_results_exchanges_the_laps_once(spark, tmp_root):
+    results = silver.running_workout_results(laps(spark), planned_steps(spark, tmp_root))
+    trainings = spark.createDataFrame([(1, 7, "2024-01-01", "t")], "activity_id bigint, workout_id bigint, run_date string, training_summary string")
+    plain = gold.running_workout_results_summary(results, trainings)
+    spread = gold.running_workout_results_summary(results, trainings, tasks=13)
+    assert plan_of(spread).count("hashpartitioning(activity_id") < plan_of(plain).count("hashpartitioning(activity_id")
+    assert "hashpartitioning(activity_id" in plan_of(spread) and ", 13)" in plan_of(spread)
+    assert sorted(spread.collect()) == sorted(plain.collect()) and spread.count() == 1
