@@ -68,6 +68,24 @@ def test_workout_texts_are_rendered_behind_the_join(spark, tmp_root):
     assert sorted(used.collect()) == sorted(expected.collect()) and used.count() == 5
 
 
+def test_texts_of_one_plan_are_rendered_by_many_tasks(spark, tmp_root):
+    folder = parts(spark, tmp_root, [(6, 10), (6, 10)])
+    days = [(7, f"2024-01-{d:02d}") for d in range(1, 29)]
+    used = fixtures.used_workouts(spark, folder, spark.createDataFrame(days, "workout_id bigint, run_date string"), tasks=9)
+    at = used.select(F.spark_partition_id().alias("task"), "run_date").collect()
+    assert len(at) == 56 and len({r.task for r in at}) > 4  # (adaptive execution would make it one)
+    assert "hashpartitioning(workout_id" in plan_of(used) and ", 9)" in plan_of(used)
+
+
+def test_newest_workout_holds_no_texts_as_keys(spark):
+    rows = [(1, "a", "2024-01-01"), (1, "b", "2024-01-02"), (1, "b", "2024-01-02"), (2, None, "2024-01-01"), (None, "c", "2024-01-01")]
+    landing = spark.createDataFrame(rows, "workout_id bigint, workout_segments string, run_date string").withColumn("dt", F.to_date("run_date"))
+    newest = bronze.bronze_workouts(landing)
+    assert "HashAggregate" not in plan_of(newest)
+    got = sorted(map(str, newest.drop("dt").collect()))
+    assert got == sorted(map(str, spark.createDataFrame([rows[1], rows[3], rows[4]], newest.drop("dt").schema).collect()))
+
+
 def test_workout_documents_hold_the_same_texts(spark, tmp_root):
     folder = parts(spark, tmp_root, [(6, 10), (7, 11), (12, 12)])
     spark.createDataFrame(
