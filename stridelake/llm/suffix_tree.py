@@ -7,14 +7,18 @@ longest kept suffix (count times Kullback-Leibler divergence against a bound). D
 are discounted; what the discount frees goes to the suffix's distribution, so each sums to 1.
 A token is scored in the longest suffix that is a node.
 
-Size: a word of the tree has frequency >= ``word_share``, a stored (context, next) pair has
-frequency >= ``pair_share``, hence at most 1/word_share words and 1/pair_share pairs an order, whatever
-the corpus: that is what the driver and the executors hold. The counts of all other words stay in
-a distributed table that is joined to the rare words of each text.
+Size: contexts and (context, next) pairs of ``least`` occurrences and more belong to the model, whatever the
+corpus. Up to ``held_tokens`` training tokens the tree is held whole (``Tree``). Of a larger corpus the same
+model is a set of distributed tables (``_tables``): n-grams are 64-bit keys, and the score of a text is a
+sum over its n-grams of one value each, so it is a join and a sum. The tasks hold only the
+values of the commonest words (at most ``0.5/word_share``) and n-grams (``2/pair_share``), which saves
+shuffling these, and a bitmap of fixed size that tells most n-grams without a value; all others are joined.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -236,6 +240,228 @@ def _lengthen(rows, path, nxt, n, paths, base, words):
     return keys[order], new[order], n[order]
 
 
+# --- the model as tables ----------------------------------------------------------------------
+
+BITS = 27  # of a bitmap: 16 MB, whatever the number of keys
+TURNS = (17, 29, 43, 53)  # rotation of the pairs' keys by order
+BEGIN = -0x61C8864680B583EB  # key of START
+
+
+class Hashes(dict):
+    """Keys of words: 64 bits of BLAKE2."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:  # bounded memory
+            self.clear()
+        key = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+        return key
+
+    def read(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """All tokens of the texts in one row, their keys, and where each text starts (and the end)."""
+        tokens: list[bytes] = []
+        starts = [0]
+        for t in texts:
+            tokens += words_of(t)
+            tokens.append(END)
+            starts.append(len(tokens))
+        return tokens, np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens)), np.array(starts)
+
+
+def turned(keys: np.ndarray, by: int) -> np.ndarray:
+    u = keys.view(np.uint64)
+    return ((u << np.uint64(by)) | (u >> np.uint64(64 - by))).view(np.int64)
+
+
+def pairs_of(flat: np.ndarray, starts: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each order the keys of context, of the pair one order lower and of the pair, and the last token's place.
+
+    The context of order k and its next symbol share all but their ends: they are two n-grams of k symbols one place
+    apart, so the key of the pair is made of theirs.
+    """
+    before = np.empty_like(flat)
+    before[1:] = flat[:-1]
+    before[starts[:-1]] = BEGIN
+    at, context, low = np.arange(len(flat)), before, flat
+    within = at - np.repeat(starts[:-1], np.diff(starts))
+    for order in range(1, depth + 1):
+        key = context ^ turned(low, TURNS[order - 1])
+        yield context, low, key, at
+        # one order up: this pair as context of the pair one place on, in the same text
+        on = np.flatnonzero(within[at] >= order)
+        at, context, low = at[on], key[on - 1], key[on]
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the column ``key``; a key that is not there may be found in it, one that is there always is."""
+    words = keys.groupBy(F.expr(f"cast((key & {(1 << BITS) - 1}L) div 64 as int)").alias("i")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(key & 63L as int)))").alias("w")
+    )
+    found = words.toArrow()
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    out[found["i"].to_numpy()] = found["w"].to_numpy()
+    return out
+
+
+def _marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return (bitmap[(keys & ((1 << BITS) - 1)) >> 6] >> (keys & 63)) & 1 == 1
+
+
+def _common(table: DataFrame, most: float) -> Column:
+    """Whether a row of ``table`` is one of the greatest ``n``, of which there are at most ``most``."""
+    step = F.floor(F.log2("n") * 8)
+    rows = sorted(table.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"])
+    least, held = float("inf"), 0
+    for r in rows:
+        held += r["count"]
+        if held > most:
+            break
+        least = r["step"]
+    return step >= F.lit(least)
+
+
+def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = Hashes()
+    for b in batches:
+        key = pa.array([hashes[w] for w in b.column("word").to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([key, b.column("word"), b.column("n")], names=["key", "word", "n"])
+
+
+def _count_pairs(order: int, lower: np.ndarray, held: int = 1_000_000):
+    """Counts of the pairs of one order of which both n-grams of the order below are in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, rows, waiting = Hashes(), [], 0
+
+        def out():
+            context, low, key = (np.concatenate(c) for c in zip(*rows))
+            _, at, n = np.unique(key, return_index=True, return_counts=True)
+            for i in range(0, len(at), 100_000):
+                some = at[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(context[some]), pa.array(low[some]), pa.array(n[i : i + 100_000])], names=["ctx", "low", "n"]
+                )
+
+        for b in slices(batches):
+            _, flat, starts = hashes.read(b.column("text").to_pylist())
+            *_, (context, low, key, _) = pairs_of(flat, starts, order)
+            ok = (_marked(lower, context) | (context == BEGIN)) & _marked(lower, low)
+            rows.append((context[ok], low[ok], key[ok]))
+            waiting += int(ok.sum())
+            if waiting > held:
+                yield from out()
+                rows, waiting = [], 0
+        if rows:
+            yield from out()
+
+    return run
+
+
+def _tables(
+    train: DataFrame, vocab: DataFrame, size: float, depth: int, divergence: float, least: int, discount: float
+) -> tuple[list[DataFrame], float]:
+    """Tables (key, n, value) of the n-grams of 1, 2, ... symbols, and the value of a text's start.
+
+    An n-gram's value is what its last symbol gains in the longest context that the n-gram has, over the next
+    shorter one, and what the n-gram as a context leaves to others: log10 of it. Words (with their
+    ``word``) have only the latter. Summed over a text and added to the score of its words alone, they
+    give its score in the longest contexts.
+    """
+    spark = train.sparkSession
+    ten = float(np.log(10))
+    begin = spark.createDataFrame([(BEGIN, train.count())], "key long, n long")
+    words = stored(vocab.mapInArrow(_word_keys, "key long, word binary, n long"), "word-keys")
+    root = F.log10((F.col("n") + 0.1) / F.lit(size))
+    table = words.select("key", "n", root.alias("lp"), F.lit(0.0).alias("gain"))
+    table = table.unionByName(begin.select("key", "n", F.lit(None).cast("double").alias("lp"), F.lit(0.0).alias("gain")))
+    out = []
+    for order in range(1, depth + 1):
+        known = table.filter(F.col("n") >= least)
+        pairs = train.mapInArrow(_count_pairs(order, _bitmap(known.select("key"))), "ctx long, low long, n long")
+        pairs = pairs.groupBy("ctx", "low").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        pairs = stored(pairs.join(known.select(F.col("key").alias("low"), F.col("lp").alias("lower")), "low"), f"pairs-{order}")
+        n, total = F.col("n"), F.col("total")
+        nodes = (
+            pairs.groupBy("ctx")
+            .agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("k"), F.sum(n * (F.log(n) - F.col("lower") * ten)).alias("d"))
+            .join(known.select(F.col("key").alias("ctx"), n.alias("total")), "ctx")
+            .withColumn("rest", 1 - (F.col("s") - F.col("k") * discount) / total)
+            .filter((F.col("d") - F.col("s") * F.log(total) > divergence) & (F.col("rest") > 0))
+            .select("ctx", "total", "rest")
+        )
+        nodes = stored(nodes, f"nodes-{order}")
+        left = nodes.select(F.col("ctx").alias("key"), F.log10("rest").alias("left"))
+        out.append(table.join(left, "key", "left").select("key", "n", (F.col("gain") + F.coalesce("left", F.lit(0.0))).alias("value")))
+        if order == 1:
+            start = left.filter(F.col("key") == BEGIN).first()
+            out = [words.join(left, "key", "left").select("key", "word", "n", F.coalesce("left", F.lit(0.0)).alias("value"))]
+        low, turn = F.col("low"), TURNS[order - 1]
+        key = F.col("ctx").bitwiseXOR(F.shiftleft(low, turn).bitwiseOR(F.shiftrightunsigned(low, 64 - turn)))
+        lp = F.log10((n - discount) / total + F.col("rest") * F.pow(F.lit(10.0), F.col("lower")))
+        lp = F.when(total.isNull(), F.col("lower")).otherwise(lp)
+        rows = pairs.join(nodes, "ctx", "left").select(key.alias("key"), "n", "lower", "rest", lp.alias("lp"))
+        gain = F.coalesce(F.col("lp") - F.col("lower") - F.log10("rest"), F.lit(0.0))
+        table = stored(rows.select("key", "n", "lp", gain.alias("gain")), f"order-{order}")
+    out.append(table.select("key", "n", F.col("gain").alias("value")))
+    return out, start["left"] if start else 0.0
+
+
+TABLE_PARTS = (
+    "row long, doc_id long, n_tokens long, n_frequent long, base double, score double, rare array<struct<word:binary,n:long>>, far array<long>"
+)
+
+
+def _table_parts(words: pd.DataFrame, ngrams: list[pd.DataFrame], valued: np.ndarray, size: float, start: float):
+    """Per text the sums over common words and n-grams; of the others the words and the keys that may have a value."""
+    number = {bytes(w): i for i, w in enumerate(words["word"])}
+    root = np.log10((words["n"].to_numpy(np.float64) + 0.1) / size)
+    left = words["value"].to_numpy(np.float64)
+    tops = [(t["key"].to_numpy(np.int64), t["value"].to_numpy(np.float64)) for t in ngrams]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, get = Hashes(), number.get
+        row = TaskContext.get().partitionId() << 40
+        for b in slices(batches):
+            tokens, flat, starts = hashes.read(b.column("text").to_pylist())
+            ids = np.fromiter([get(w, RARE) for w in tokens], np.int64, len(tokens))
+            known = ids >= 0
+            base, score = np.zeros(len(flat)), np.zeros(len(flat))
+            base[known] = root[ids[known]]
+            score[known] = base[known] + left[ids[known]]
+            score[starts[:-1]] += start
+            far, places = [], []
+            for (keys, values), (_, _, key, at) in zip(tops, pairs_of(flat, starts, len(tops))):
+                found = _marked(valued, key)
+                i, hit = find(keys, key, found)
+                score[at[hit]] += values[i[hit]]
+                rest = np.flatnonzero(found & ~hit)
+                far.append(key[rest])
+                places.append(at[rest])
+            far, places = np.concatenate(far), np.concatenate(places)
+            order = np.argsort(places, kind="stable")
+            sums = [np.add.reduceat(x, starts[:-1]) for x in (known.astype(np.int64), base, score)]
+            words_at = np.flatnonzero(~known)
+            cuts = np.searchsorted(words_at, starts)
+            offsets, names, times = [0], [], []
+            for i, j in zip(cuts, cuts[1:]):
+                c = Counter([tokens[k] for k in words_at[i:j]])
+                names += c.keys()
+                times += c.values()
+                offsets.append(len(names))
+            pairs = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
+            far_cuts = np.searchsorted(places[order], starts).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(row, row + b.num_rows)), b.column("doc_id"), pa.array(np.diff(starts)),
+                    *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs),
+                    pa.ListArray.from_arrays(pa.array(far_cuts), pa.array(far[order])),
+                ],
+                names=["row", "doc_id", "n_tokens", "n_frequent", "base", "score", "rare", "far"],
+            )
+            row += b.num_rows
+
+    return run
+
+
 # --- scores ---------------------------------------------------------------------------------
 
 PARTS = "row long, doc_id long, n_tokens long, n_frequent long, base double, score double, rare array<struct<word:binary,n:long>>"
@@ -286,6 +512,7 @@ def score_documents(
     discount: float = 0.6,
     id_col: str = "doc_id",
     text_col: str = "text",
+    held_tokens: int = 1_000_000,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``.
 
@@ -303,22 +530,40 @@ def score_documents(
         "vocabulary",
     )
     tokens, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    tree = grow(train, vocab, tokens, distinct, depth, word_share, pair_share, divergence, least, discount)
-    parts = stored(own.mapInArrow(_score_parts(tree), PARTS), "score-parts")
-
     size = tokens + 0.1 * (distinct + 1)
+    none, far = F.lit(0), None
+    if tokens <= held_tokens:
+        tree = grow(train, vocab, tokens, distinct, depth, 0.0, 0.0, divergence, least, discount)
+        vocab = vocab.withColumn("value", F.lit(0.0))
+        parts = stored(own.mapInArrow(_score_parts(tree), PARTS), "score-parts")
+    else:
+        (vocab, *ngrams), start = _tables(train, vocab, size, depth, divergence, least, discount)
+        vocab = stored(vocab, "word-values")
+        values = stored(functools.reduce(DataFrame.unionByName, [t.filter("value != 0").withColumn("of", F.lit(i)) for i, t in enumerate(ngrams)]), "values")
+        common = _common(values, 2 / pair_share)
+        top = values.filter(common).toArrow().to_pandas().sort_values("key")
+        tops = [top[top["of"] == i] for i in range(len(ngrams))]
+        others = values.filter(~common).select("key", "value")
+        words = vocab.filter(_common(vocab, 0.5 / word_share)).select("word", "n", "value").toArrow().to_pandas()
+        parts = stored(own.mapInArrow(_table_parts(words, tops, _bitmap(values.select("key")), size, start), TABLE_PARTS), "score-parts")
+        far = parts.select("row", F.explode("far").alias("key")).join(others, "key").groupBy("row").agg(F.sum("value").alias("f_log"))
+
     rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("k"))
     chance = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(size))
     sums = (
-        rare.join(vocab, "word", "left")
+        rare.join(vocab.select("word", "n", "value"), "word", "left")
         .groupBy("row")
-        .agg(F.sum(F.col("k") * chance).alias("r_log"), F.sum(F.when(F.col("n") > 0, F.col("k"))).alias("r_known"))
-    )
-    none = F.lit(0)
-    return parts.drop("rare").join(sums, "row", "left").select(
+        .agg(
+            F.sum(F.col("k") * chance).alias("r_log"), F.sum(F.when(F.col("n") > 0, F.col("k"))).alias("r_known"),
+            F.sum(F.col("k") * F.col("value")).alias("r_left"),
+        )
+    )
+    scored = parts.drop("rare", "far").join(sums, "row", "left")
+    scored = scored.withColumn("f_log", none) if far is None else scored.join(far, "row", "left")
+    return scored.select(
         "doc_id", held.alias("held_out"), "n_tokens",
         (F.col("n_frequent") + F.coalesce("r_known", none)).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("r_log", none)).alias("base_score"),
-        (F.col("score") + F.coalesce("r_log", none)).alias("score"),
+        (F.col("score") + F.coalesce("r_log", none) + F.coalesce("r_left", none) + F.coalesce("f_log", none)).alias("score"),
     )

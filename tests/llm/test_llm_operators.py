@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stridelake.llm import (
     chat, decontaminate, language, near_duplicates, packing, quality, rules, sharding, suffix_tree, tokens,
@@ -374,6 +375,28 @@ def test_next_symbol_distributions_sum_to_one(spark, documents):
         assert abs(p.sum() + free * rare - 1) < 1e-9
 
 
+def test_tables_give_the_scores_of_the_held_tree(spark, documents, edge, none):
+    for docs in (documents, edge, edge.unionAll(edge)):
+        by = ["doc_id", "score", "n_tokens"]
+        held = suffix_tree.score_documents(docs).toPandas().sort_values(by).reset_index(drop=True)
+        for shares in ({}, {"word_share": 1e-3, "pair_share": 1e-3}):  # how much the tasks hold changes nothing
+            got = suffix_tree.score_documents(docs, held_tokens=0, **shares).toPandas().sort_values(by).reset_index(drop=True)
+            assert len(got) == len(held) and (got["n_known"] == held["n_known"]).all()
+            for c in ("base_score", "score"):
+                assert np.allclose(np.sort(got[c]), np.sort(held[c]), atol=1e-6)
+    assert suffix_tree.score_documents(none, held_tokens=0).count() == 0
+
+
+def test_a_large_corpus_keeps_rare_contexts(spark):
+    # 5 million training tokens: the shares alone would ask for 10 occurrences of a word and 5 of a pair
+    rows = [(i, "a b " * 250_000) for i in range(1, 12)] + [(100 + i, "seldom seen words") for i in range(4)] + [(200, "words seen seldom")]
+    held = F.col("doc_id") >= 200
+    got = {r.doc_id: r for r in suffix_tree.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), held).collect()}
+    assert got[1].train_tokens == 11 * 500_001 + 16
+    assert got[100].score > got[100].base_score + 10 and abs(got[100].score - got[103].score) < 1e-9
+    assert abs(got[200].base_score - got[100].base_score) < 1e-6 and got[200].score < got[100].score - 10
+
+
 def test_lm_edges(edge, none):
     got = suffix_tree.score_documents(edge).collect()
     assert len(got) == len(edge_rows()) and all(np.isfinite(r["score"]) for r in got)
