@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, remainder, slices, stored, words_of
+from .common import SPACES, id_text, remainder, shuffles_dropped, slices, stored, words_of
 
 END = b""  # no word is empty
 RARE = -1
@@ -247,24 +247,50 @@ TURNS = (17, 29, 43, 53)  # rotation of the pairs' keys by order
 BEGIN = -0x61C8864680B583EB  # key of START
 
 
-class Hashes(dict):
-    """Keys of words: 64 bits of BLAKE2."""
+LONG = 64  # bytes of a word that are hashed as numbers
+GAP = np.isin(np.arange(256), np.frombuffer(SPACES.encode(), np.uint8))
+WITHIN = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:  # bounded memory
-            self.clear()
-        key = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
-        return key
 
-    def read(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """All tokens of the texts in one row, their keys, and where each text starts (and the end)."""
-        tokens: list[bytes] = []
-        starts = [0]
-        for t in texts:
-            tokens += words_of(t)
-            tokens.append(END)
-            starts.append(len(tokens))
-        return tokens, np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens)), np.array(starts)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The last step of splitmix64: one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_keys(data: bytes, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit keys of the words from ``first`` to before ``stop`` in ``data``, which goes on for 8 bytes after the last."""
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    n = stop - first
+    keys = _mixed(n.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    live = np.flatnonzero(n <= LONG)
+    for at in range(0, LONG, 8):
+        if at:
+            live = live[n[live] > at]
+        keys[live] = _mixed(keys[live] ^ (eights[first[live] + at] & WITHIN[np.minimum(n[live] - at, 8)]))
+    for i in np.flatnonzero(n > LONG).tolist():
+        keys[i] = int.from_bytes(hashlib.blake2b(data[first[i] : stop[i]], digest_size=8).digest(), "little")
+    return keys.view(np.int64)
+
+
+def token_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all tokens of the texts in one row, and where each text starts (and the end)."""
+    coded = [t.encode() if t else b"" for t in texts]
+    data = b"\n".join(coded).lower() + b"\n"
+    gap = GAP[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(np.diff(gap, prepend=True))
+    first, stop = edges[::2], edges[1::2]
+    upto = np.searchsorted(first, np.cumsum([len(c) + 1 for c in coded]))
+    starts = np.append(0, upto + np.arange(1, len(texts) + 1))
+    keys = np.full(starts[-1], END_KEY)
+    word = np.ones(len(keys), bool)
+    word[starts[1:] - 1] = False
+    keys[word] = word_keys(data + bytes(8), first, stop)
+    return keys, starts
+
+
+END_KEY = word_keys(bytes(8), np.zeros(1, np.int64), np.zeros(1, np.int64))[0]
 
 
 def turned(keys: np.ndarray, by: int) -> np.ndarray:
@@ -320,44 +346,95 @@ def _common(table: DataFrame, most: float) -> Column:
 
 
 def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = Hashes()
     for b in batches:
-        key = pa.array([hashes[w] for w in b.column("word").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([key, b.column("word"), b.column("n")], names=["key", "word", "n"])
+        words = b.column("word").to_pylist()
+        stop = np.cumsum([len(w) for w in words], dtype=np.int64)
+        keys = word_keys(b"".join(words) + bytes(8), np.append(0, stop)[: len(words)], stop)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), b.column("n")], names=["key", "n"])
+
+
+BLOCKS = "bucket int, ctx binary, low binary, n binary"
+
 
+def _count_pairs(order: int, lower: np.ndarray, buckets: int, held: int = 1_000_000):
+    """Counts of the pairs of one order of which both n-grams of the order below are in the bitmap.
 
-def _count_pairs(order: int, lower: np.ndarray, held: int = 1_000_000):
-    """Counts of the pairs of one order of which both n-grams of the order below are in the bitmap."""
+    Most pairs occur once or twice, and millions of rows of them cost more than their bytes. So a row has the pairs of
+    one bucket (a range of their keys), as arrays sorted by context, which the shuffle's codec shortens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rows, waiting = Hashes(), [], 0
+        rows, waiting = [], 0
+        bits = np.uint64(buckets.bit_length())
 
         def out():
-            context, low, key = (np.concatenate(c) for c in zip(*rows))
-            _, at, n = np.unique(key, return_index=True, return_counts=True)
-            for i in range(0, len(at), 100_000):
-                some = at[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(context[some]), pa.array(low[some]), pa.array(n[i : i + 100_000])], names=["ctx", "low", "n"]
-                )
+            context, low = (np.concatenate(c) for c in zip(*rows))
+            at, n = _counted(_pair_keys(order, context, low))
+            context, low = context[at], low[at]
+            bucket = ((_pair_keys(order, context, low) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            by = np.argsort((bucket << (np.uint64(64) - bits)) | (context.view(np.uint64) >> bits))
+            bucket, context, low, n = bucket[by].astype(np.int32), context[by], low[by], n[by].astype(np.int32)
+            cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+            columns = ([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])] for x in (context, low, n))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[cuts[:-1]]), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "ctx", "low", "n"]
+            )
 
         for b in slices(batches):
-            _, flat, starts = hashes.read(b.column("text").to_pylist())
-            *_, (context, low, key, _) = pairs_of(flat, starts, order)
+            flat, starts = token_keys(b.column("text").to_pylist())
+            *_, (context, low, _, _) = pairs_of(flat, starts, order)
             ok = (_marked(lower, context) | (context == BEGIN)) & _marked(lower, low)
-            rows.append((context[ok], low[ok], key[ok]))
+            rows.append((context[ok], low[ok]))
             waiting += int(ok.sum())
             if waiting > held:
                 yield from out()
                 rows, waiting = [], 0
-        if rows:
+        if waiting:
             yield from out()
 
     return run
 
 
+def _pair_keys(order: int, context: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (context ^ turned(low, TURNS[order - 1])).view(np.uint64)
+
+
+def _counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, in the order of the keys, and how often it occurs (``n`` times at each place)."""
+    by = np.argsort(keys)
+    keys = keys[by]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return by[first], np.diff(np.append(first, len(keys))) if n is None else np.add.reduceat(n[by], first)
+
+
+def _sum_pairs(order: int, least: int):
+    """The pairs of ``least`` occurrences and more of the blocks of whole buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [[b"".join(b.column(c).to_pylist()) for c in ("ctx", "low", "n")] for b in batches if b.num_rows]
+        if not blocks:
+            return
+        context, low, n = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*blocks), (np.int64, np.int64, np.int32)))
+        at, n = _counted(_pair_keys(order, context, low), n.astype(np.int64))
+        at, n = at[n >= least], n[n >= least]
+        for i in range(0, len(at), 100_000):
+            some = at[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(context[some]), pa.array(low[some]), pa.array(n[i : i + 100_000])], names=["ctx", "low", "n"]
+            )
+
+    return run
+
+
+def frequent_pairs(train: DataFrame, known: DataFrame, order: int, tokens: int, least: int) -> DataFrame:
+    """(ctx, low, n) of the pairs of one order with ``least`` occurrences and more; ``known`` has the n-grams one order lower."""
+    parts = 1 + tokens // 1_000_000  # a task sums at most about a million pairs
+    blocks = train.mapInArrow(_count_pairs(order, _bitmap(known.select("key")), max(1000, 4 * parts)), BLOCKS)
+    return blocks.repartition(parts, "bucket").mapInArrow(_sum_pairs(order, least), "ctx long, low long, n long")
+
+
 def _tables(
-    train: DataFrame, vocab: DataFrame, size: float, depth: int, divergence: float, least: int, discount: float
+    train: DataFrame, vocab: DataFrame, tokens: int, size: float, depth: int, divergence: float, least: int, discount: float
 ) -> tuple[list[DataFrame], float]:
     """Tables (key, n, value) of the n-grams of 1, 2, ... symbols, and the value of a text's start.
 
@@ -369,15 +446,14 @@ def _tables(
     spark = train.sparkSession
     ten = float(np.log(10))
     begin = spark.createDataFrame([(BEGIN, train.count())], "key long, n long")
-    words = stored(vocab.mapInArrow(_word_keys, "key long, word binary, n long"), "word-keys")
+    words = stored(vocab.mapInArrow(_word_keys, "key long, n long"), "word-keys")
     root = F.log10((F.col("n") + 0.1) / F.lit(size))
     table = words.select("key", "n", root.alias("lp"), F.lit(0.0).alias("gain"))
     table = table.unionByName(begin.select("key", "n", F.lit(None).cast("double").alias("lp"), F.lit(0.0).alias("gain")))
     out = []
     for order in range(1, depth + 1):
         known = table.filter(F.col("n") >= least)
-        pairs = train.mapInArrow(_count_pairs(order, _bitmap(known.select("key"))), "ctx long, low long, n long")
-        pairs = pairs.groupBy("ctx", "low").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        pairs = frequent_pairs(train, known, order, tokens, least)
         pairs = stored(pairs.join(known.select(F.col("key").alias("low"), F.col("lp").alias("lower")), "low"), f"pairs-{order}")
         n, total = F.col("n"), F.col("total")
         nodes = (
@@ -390,10 +466,11 @@ def _tables(
         )
         nodes = stored(nodes, f"nodes-{order}")
         left = nodes.select(F.col("ctx").alias("key"), F.log10("rest").alias("left"))
-        out.append(table.join(left, "key", "left").select("key", "n", (F.col("gain") + F.coalesce("left", F.lit(0.0))).alias("value")))
+        own = table.join(left, "key", "left").filter("gain != 0 or left is not null")
+        out.append(own.select("key", "n", (F.col("gain") + F.coalesce("left", F.lit(0.0))).alias("value")))
         if order == 1:
             start = left.filter(F.col("key") == BEGIN).first()
-            out = [words.join(left, "key", "left").select("key", "word", "n", F.coalesce("left", F.lit(0.0)).alias("value"))]
+            out = [words.join(left, "key", "left").select("key", "n", F.coalesce("left", F.lit(0.0)).alias("value"))]
         low, turn = F.col("low"), TURNS[order - 1]
         key = F.col("ctx").bitwiseXOR(F.shiftleft(low, turn).bitwiseOR(F.shiftrightunsigned(low, 64 - turn)))
         lp = F.log10((n - discount) / total + F.col("rest") * F.pow(F.lit(10.0), F.col("lower")))
@@ -401,37 +478,46 @@ def _tables(
         rows = pairs.join(nodes, "ctx", "left").select(key.alias("key"), "n", "lower", "rest", lp.alias("lp"))
         gain = F.coalesce(F.col("lp") - F.col("lower") - F.log10("rest"), F.lit(0.0))
         table = stored(rows.select("key", "n", "lp", gain.alias("gain")), f"order-{order}")
-    out.append(table.select("key", "n", F.col("gain").alias("value")))
+    out.append(table.filter("gain != 0").select("key", "n", F.col("gain").alias("value")))
     return out, start["left"] if start else 0.0
 
 
-TABLE_PARTS = (
-    "row long, doc_id long, n_tokens long, n_frequent long, base double, score double, rare array<struct<word:binary,n:long>>, far array<long>"
-)
+TABLE_PARTS = "row long, doc_id long, n_tokens long, n_frequent long, base double, score double, far array<long>"
+
+
+def _sought(keys: np.ndarray, wanted: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``find``, for long ``keys``: the places are looked for in the order of the wanted keys."""
+    look = np.flatnonzero(live)
+    look = look[np.argsort(wanted[look])]
+    at, hit = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at[look], hit[look] = find(keys, wanted[look], np.ones(len(look), bool))
+    return at, hit
 
 
 def _table_parts(words: pd.DataFrame, ngrams: list[pd.DataFrame], valued: np.ndarray, size: float, start: float):
-    """Per text the sums over common words and n-grams; of the others the words and the keys that may have a value."""
-    number = {bytes(w): i for i, w in enumerate(words["word"])}
+    """Per text the sums over common words and n-grams, other words as unknown ones; and the keys of the others that may have a value."""
+    own = words["key"].to_numpy(np.int64)
     root = np.log10((words["n"].to_numpy(np.float64) + 0.1) / size)
     left = words["value"].to_numpy(np.float64)
+    unknown = float(np.log10(0.1 / size))
     tops = [(t["key"].to_numpy(np.int64), t["value"].to_numpy(np.float64)) for t in ngrams]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, get = Hashes(), number.get
         row = TaskContext.get().partitionId() << 40
         for b in slices(batches):
-            tokens, flat, starts = hashes.read(b.column("text").to_pylist())
-            ids = np.fromiter([get(w, RARE) for w in tokens], np.int64, len(tokens))
-            known = ids >= 0
-            base, score = np.zeros(len(flat)), np.zeros(len(flat))
-            base[known] = root[ids[known]]
-            score[known] = base[known] + left[ids[known]]
+            flat, starts = token_keys(b.column("text").to_pylist())
+            ids, known = _sought(own, flat, np.ones(len(flat), bool))
+            base = np.where(known, root[ids], unknown) if len(root) else np.full(len(flat), unknown)
+            rare = np.flatnonzero(~known)
+            score = base.copy()
+            score[known] += left[ids[known]]
             score[starts[:-1]] += start
-            far, places = [], []
-            for (keys, values), (_, _, key, at) in zip(tops, pairs_of(flat, starts, len(tops))):
+            far, places = [flat[rare]], [rare]
+            for order, ((keys, values), (context, _, key, at)) in enumerate(zip(tops, pairs_of(flat, starts, len(tops))), 1):
                 found = _marked(valued, key)
-                i, hit = find(keys, key, found)
+                if order == len(tops) > 1:  # a value is here a gain, and a context that gives gains is in the table too
+                    found[found] = _marked(valued, context[found])
+                i, hit = _sought(keys, key, found)
                 score[at[hit]] += values[i[hit]]
                 rest = np.flatnonzero(found & ~hit)
                 far.append(key[rest])
@@ -439,23 +525,13 @@ def _table_parts(words: pd.DataFrame, ngrams: list[pd.DataFrame], valued: np.nda
             far, places = np.concatenate(far), np.concatenate(places)
             order = np.argsort(places, kind="stable")
             sums = [np.add.reduceat(x, starts[:-1]) for x in (known.astype(np.int64), base, score)]
-            words_at = np.flatnonzero(~known)
-            cuts = np.searchsorted(words_at, starts)
-            offsets, names, times = [0], [], []
-            for i, j in zip(cuts, cuts[1:]):
-                c = Counter([tokens[k] for k in words_at[i:j]])
-                names += c.keys()
-                times += c.values()
-                offsets.append(len(names))
-            pairs = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
             far_cuts = np.searchsorted(places[order], starts).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(row, row + b.num_rows)), b.column("doc_id"), pa.array(np.diff(starts)),
-                    *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs),
-                    pa.ListArray.from_arrays(pa.array(far_cuts), pa.array(far[order])),
+                    *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(far_cuts), pa.array(far[order])),
                 ],
-                names=["row", "doc_id", "n_tokens", "n_frequent", "base", "score", "rare", "far"],
+                names=["row", "doc_id", "n_tokens", "n_frequent", "base", "score", "far"],
             )
             row += b.num_rows
 
@@ -521,49 +597,47 @@ def score_documents(
     like others. With no training token every probability is that of an unknown word. An empty table
     gives an empty table; extra columns are not read.
     """
-    spark = docs.sparkSession
     held = remainder(F.col("doc_id"), 10) == 0 if held_out is None else held_out
     own = id_text(docs, id_col, text_col)
     train = own.filter(~held)
-    vocab = stored(
-        train.mapInArrow(_token_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"),
-        "vocabulary",
-    )
-    tokens, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    size = tokens + 0.1 * (distinct + 1)
-    none, far = F.lit(0), None
-    if tokens <= held_tokens:
-        tree = grow(train, vocab, tokens, distinct, depth, 0.0, 0.0, divergence, least, discount)
-        vocab = vocab.withColumn("value", F.lit(0.0))
-        parts = stored(own.mapInArrow(_score_parts(tree), PARTS), "score-parts")
-    else:
-        (vocab, *ngrams), start = _tables(train, vocab, size, depth, divergence, least, discount)
-        vocab = stored(vocab, "word-values")
-        values = stored(functools.reduce(DataFrame.unionByName, [t.filter("value != 0").withColumn("of", F.lit(i)) for i, t in enumerate(ngrams)]), "values")
-        common = _common(values, 2 / pair_share)
-        top = values.filter(common).toArrow().to_pandas().sort_values("key")
-        tops = [top[top["of"] == i] for i in range(len(ngrams))]
-        others = values.filter(~common).select("key", "value")
-        words = vocab.filter(_common(vocab, 0.5 / word_share)).select("word", "n", "value").toArrow().to_pandas()
-        parts = stored(own.mapInArrow(_table_parts(words, tops, _bitmap(values.select("key")), size, start), TABLE_PARTS), "score-parts")
-        far = parts.select("row", F.explode("far").alias("key")).join(others, "key").groupBy("row").agg(F.sum("value").alias("f_log"))
-
-    rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("k"))
-    chance = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(size))
-    sums = (
-        rare.join(vocab.select("word", "n", "value"), "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("k") * chance).alias("r_log"), F.sum(F.when(F.col("n") > 0, F.col("k"))).alias("r_known"),
-            F.sum(F.col("k") * F.col("value")).alias("r_left"),
+    none = F.lit(0)
+    with shuffles_dropped(docs.sparkSession):
+        vocab = stored(
+            train.mapInArrow(_token_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"),
+            "vocabulary",
         )
-    )
-    scored = parts.drop("rare", "far").join(sums, "row", "left")
-    scored = scored.withColumn("f_log", none) if far is None else scored.join(far, "row", "left")
-    return scored.select(
+        tokens, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+        size = tokens + 0.1 * (distinct + 1)
+        if tokens <= held_tokens:
+            tree = grow(train, vocab, tokens, distinct, depth, 0.0, 0.0, divergence, least, discount)
+            parts = stored(own.mapInArrow(_score_parts(tree), PARTS), "score-parts")
+            rare = parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("k"))
+            chance = F.col("k") * F.log10((F.coalesce("n", none) + 0.1) / F.lit(size))
+            looked = rare.join(vocab, "word", "left").select(
+                "row", chance.alias("r_base"), chance.alias("r_score"), F.when(F.col("n") > 0, F.col("k")).alias("r_known")
+            )
+        else:
+            (vocab, *ngrams), start = _tables(train, vocab, tokens, size, depth, divergence, least, discount)
+            vocab = stored(vocab, "word-values")
+            values = stored(functools.reduce(DataFrame.unionByName, [t.withColumn("of", F.lit(i)) for i, t in enumerate(ngrams)]), "values")
+            common, usual = _common(values, 2 / pair_share), _common(vocab, 0.5 / word_share)
+            top = values.filter(common).toArrow().to_pandas().sort_values("key")
+            tops = [top[top["of"] == i] for i in range(len(ngrams))]
+            words = vocab.filter(usual).select("key", "n", "value").toArrow().to_pandas().sort_values("key")
+            parts = stored(own.mapInArrow(_table_parts(words, tops, _bitmap(values.select("key")), size, start), TABLE_PARTS), "score-parts")
+            # the other words, as what they gain over an unknown one, and the other n-grams
+            gain = F.log10((F.col("n") + 0.1) / F.lit(0.1))
+            others = vocab.filter(~usual).select("key", gain.alias("r_base"), (gain + F.col("value")).alias("r_score"), F.lit(1).alias("r_known"))
+            others = others.unionByName(
+                values.filter(~common).select("key", F.lit(0.0).alias("r_base"), F.col("value").alias("r_score"), F.lit(0).alias("r_known"))
+            )
+            looked = parts.select("row", F.explode("far").alias("key")).join(others, "key")
+
+    sums = looked.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("r_base", "r_score", "r_known")))
+    return parts.drop("rare", "far").join(sums, "row", "left").select(
         "doc_id", held.alias("held_out"), "n_tokens",
         (F.col("n_frequent") + F.coalesce("r_known", none)).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("r_log", none)).alias("base_score"),
-        (F.col("score") + F.coalesce("r_log", none) + F.coalesce("r_left", none) + F.coalesce("f_log", none)).alias("score"),
+        (F.col("base") + F.coalesce("r_base", none)).alias("base_score"),
+        (F.col("score") + F.coalesce("r_score", none)).alias("score"),
     )
