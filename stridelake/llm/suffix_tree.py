@@ -371,14 +371,10 @@ def _count_pairs(order: int, lower: np.ndarray, buckets: int, held: int = 1_000_
             context, low = (np.concatenate(c) for c in zip(*rows))
             at, n = _counted(_pair_keys(order, context, low))
             context, low = context[at], low[at]
-            bucket = ((_pair_keys(order, context, low) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            bucket = _bucket(_pair_keys(order, context, low), buckets)
             by = np.argsort((bucket << (np.uint64(64) - bits)) | (context.view(np.uint64) >> bits))
-            bucket, context, low, n = bucket[by].astype(np.int32), context[by], low[by], n[by].astype(np.int32)
-            cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-            columns = ([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])] for x in (context, low, n))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[cuts[:-1]]), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "ctx", "low", "n"]
-            )
+            bucket, *columns = _blocks(bucket[by], context[by], low[by], n[by].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([bucket, *columns], names=["bucket", "ctx", "low", "n"])
 
         for b in slices(batches):
             flat, starts = token_keys(b.column("text").to_pylist())
@@ -395,6 +391,19 @@ def _count_pairs(order: int, lower: np.ndarray, buckets: int, held: int = 1_000_
     return run
 
 
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of equal width of the unsigned keys."""
+    return ((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _blocks(bucket: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """The numbers of the buckets, by which the columns are sorted, and the columns as bytes, one block a bucket."""
+    bucket = bucket.astype(np.int32)
+    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    blocks = ([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])] for x in columns)
+    return [pa.array(bucket[cuts[:-1]]), *(pa.array(b, pa.binary()) for b in blocks)]
+
+
 def _pair_keys(order: int, context: np.ndarray, low: np.ndarray) -> np.ndarray:
     return (context ^ turned(low, TURNS[order - 1])).view(np.uint64)
 
@@ -482,7 +491,8 @@ def _tables(
     return out, start["left"] if start else 0.0
 
 
-TABLE_PARTS = "row long, doc_id long, n_tokens long, n_frequent long, base double, score double, far array<long>"
+DOC_PARTS = "row long, doc_id long, n_tokens long, n_frequent long, base double, score double"
+FAR = "bucket int, keys binary, rows binary, base_gain binary, gain binary"
 
 
 def _sought(keys: np.ndarray, wanted: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -494,8 +504,19 @@ def _sought(keys: np.ndarray, wanted: np.ndarray, live: np.ndarray) -> tuple[np.
     return at, hit
 
 
-def _table_parts(words: pd.DataFrame, ngrams: list[pd.DataFrame], valued: np.ndarray, size: float, start: float):
-    """Per text the sums over common words and n-grams, other words as unknown ones; and the keys of the others that may have a value."""
+def _table_parts(
+    words: pd.DataFrame, ngrams: list[pd.DataFrame], valued: np.ndarray, size: float, start: float, buckets: int, held: int = 1_000_000
+):
+    """Per text the sums over common words and n-grams, other words as unknown ones; and the keys of the others that may have a value.
+
+    The keys come in rows of their own, as blocks of keys and of the rows of their texts.
+    """
+    names = [f.split()[0] for f in f"{DOC_PARTS}, {FAR}".split(", ")]
+    types = [*[pa.int64()] * 4, *[pa.float64()] * 2, pa.int32(), *[pa.binary()] * 4]
+
+    def batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, t)) for c, t in zip(names, types)], names=names)
+
     own = words["key"].to_numpy(np.int64)
     root = np.log10((words["n"].to_numpy(np.float64) + 0.1) / size)
     left = words["value"].to_numpy(np.float64)
@@ -504,6 +525,15 @@ def _table_parts(words: pd.DataFrame, ngrams: list[pd.DataFrame], valued: np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out():
+            keys, rows = (np.concatenate(c) for c in zip(*waiting))
+            waiting.clear()
+            by = np.argsort(keys.view(np.uint64))
+            bucket, keys, rows = _blocks(_bucket(keys[by], buckets), keys[by], rows[by])
+            return batch(len(bucket), bucket=bucket, keys=keys, rows=rows)
+
         for b in slices(batches):
             flat, starts = token_keys(b.column("text").to_pylist())
             ids, known = _sought(own, flat, np.ones(len(flat), bool))
@@ -522,22 +552,77 @@ def _table_parts(words: pd.DataFrame, ngrams: list[pd.DataFrame], valued: np.nda
                 rest = np.flatnonzero(found & ~hit)
                 far.append(key[rest])
                 places.append(at[rest])
+            sums = [pa.array(np.add.reduceat(x, starts[:-1])) for x in (known.astype(np.int64), base, score)]
             far, places = np.concatenate(far), np.concatenate(places)
-            order = np.argsort(places, kind="stable")
-            sums = [np.add.reduceat(x, starts[:-1]) for x in (known.astype(np.int64), base, score)]
-            far_cuts = np.searchsorted(places[order], starts).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(row, row + b.num_rows)), b.column("doc_id"), pa.array(np.diff(starts)),
-                    *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(far_cuts), pa.array(far[order])),
-                ],
-                names=["row", "doc_id", "n_tokens", "n_frequent", "base", "score", "far"],
+            waiting.append((far, row + np.searchsorted(starts, places, side="right") - 1))
+            yield batch(
+                b.num_rows, row=pa.array(np.arange(row, row + b.num_rows)), doc_id=b.column("doc_id"), n_tokens=pa.array(np.diff(starts)),
+                n_frequent=sums[0], base=sums[1], score=sums[2],
             )
             row += b.num_rows
+            if sum(len(w[0]) for w in waiting) > held:
+                yield out()
+        if waiting:
+            yield out()
 
     return run
 
 
+def _gain_blocks(buckets: int):
+    """The gains (key, base_gain, gain) as blocks of the buckets to which the texts' keys go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if got := list(batches):
+            table = pa.Table.from_batches(got)
+            key, *gains = (table.column(c).to_numpy() for c in ("key", "base_gain", "gain"))
+            by = np.argsort(key.view(np.uint64))
+            bucket, *columns = _blocks(_bucket(key[by], buckets), key[by], *(g[by] for g in gains))
+            columns.insert(1, pa.nulls(len(bucket), pa.binary()))
+            yield pa.RecordBatch.from_arrays([bucket, *columns], names=["bucket", "keys", "rows", "base_gain", "gain"])
+
+    return run
+
+
+ROW_GAINS = "task int, rows binary, base_gain binary, gain binary, known binary"
+
+
+def _gains_by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the texts' keys gain, of whole buckets, summed by the row of the text: a block for each task that read texts."""
+    far, others = ([], []), ([], [], [])
+    for b in batches:
+        for keys, rows, *gains in zip(*(b.column(c).to_pylist() for c in ("keys", "rows", "base_gain", "gain"))):
+            for to, x in zip(others if rows is None else far, (keys, *gains) if rows is None else (keys, rows)):
+                to.append(x)
+    wanted, rows = (np.frombuffer(b"".join(x), np.int64) for x in far)
+    keys, base, gain = (np.frombuffer(b"".join(x), t) for x, t in zip(others, (np.int64, np.float64, np.float64)))
+    by = np.argsort(keys)
+    i, hit = _sought(keys[by], wanted, np.ones(len(wanted), bool))
+    if not hit.any():
+        return
+    i = by[i[hit]]
+    rows, *sums = _by_row(rows[hit], base[i], gain[i], (base[i] != 0).astype(np.int64))  # every known word gains
+    yield pa.RecordBatch.from_arrays(_blocks(rows >> 40, rows, *sums), names=["task", "rows", "base_gain", "gain", "known"])
+
+
+def _by_row(rows: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """The distinct rows and the sums of the columns."""
+    order = np.argsort(rows)
+    rows = rows[order]
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    return [rows[first], *(np.add.reduceat(c[order], first) for c in columns)]
+
+
+def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of whole tasks as one row a text."""
+    blocks = [[b"".join(c.to_pylist()) for c in b.columns[1:]] for b in batches if b.num_rows]
+    if not blocks:
+        return
+    types = np.int64, np.float64, np.float64, np.int64
+    columns = _by_row(*(np.frombuffer(b"".join(c), t) for c, t in zip(zip(*blocks), types)))
+    for at in range(0, len(columns[0]), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=["row", "r_base", "r_score", "r_known"])
+
+
 # --- scores ---------------------------------------------------------------------------------
 
 PARTS = "row long, doc_id long, n_tokens long, n_frequent long, base double, score double, rare array<struct<word:binary,n:long>>"
@@ -624,17 +709,22 @@ def score_documents(
             top = values.filter(common).toArrow().to_pandas().sort_values("key")
             tops = [top[top["of"] == i] for i in range(len(ngrams))]
             words = vocab.filter(usual).select("key", "n", "value").toArrow().to_pandas().sort_values("key")
-            parts = stored(own.mapInArrow(_table_parts(words, tops, _bitmap(values.select("key")), size, start), TABLE_PARTS), "score-parts")
+            tasks = 1 + tokens // 5_000_000  # of a few million keys each
+            buckets = max(1000, 4 * tasks)
+            scored = _table_parts(words, tops, _bitmap(values.select("key")), size, start, buckets)
+            both = stored(own.mapInArrow(scored, f"{DOC_PARTS}, {FAR}"), "score-parts")
+            parts = both.filter("bucket is null").select("row", "doc_id", "n_tokens", "n_frequent", "base", "score")
             # the other words, as what they gain over an unknown one, and the other n-grams
             gain = F.log10((F.col("n") + 0.1) / F.lit(0.1))
-            others = vocab.filter(~usual).select("key", gain.alias("r_base"), (gain + F.col("value")).alias("r_score"), F.lit(1).alias("r_known"))
-            others = others.unionByName(
-                values.filter(~common).select("key", F.lit(0.0).alias("r_base"), F.col("value").alias("r_score"), F.lit(0).alias("r_known"))
-            )
-            looked = parts.select("row", F.explode("far").alias("key")).join(others, "key")
+            others = vocab.filter(~usual).select("key", gain.alias("base_gain"), (gain + F.col("value")).alias("gain"))
+            others = others.unionByName(values.filter(~common).select("key", F.lit(0.0).alias("base_gain"), F.col("value").alias("gain")))
+            far = both.filter("bucket is not null").select("bucket", "keys", "rows", "base_gain", "gain")
+            far = far.unionByName(others.mapInArrow(_gain_blocks(buckets), FAR)).repartition(tasks, "bucket")
+            looked = far.mapInArrow(_gains_by_row, ROW_GAINS).repartition(tasks, "task")
+            looked = looked.mapInArrow(_sum_rows, "row long, r_base double, r_score double, r_known long")
 
     sums = looked.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("r_base", "r_score", "r_known")))
-    return parts.drop("rare", "far").join(sums, "row", "left").select(
+    return parts.drop("rare").join(sums, "row", "left").select(
         "doc_id", held.alias("held_out"), "n_tokens",
         (F.col("n_frequent") + F.coalesce("r_known", none)).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),

@@ -387,6 +387,36 @@ def test_tables_give_the_scores_of_the_held_tree(spark, documents, edge, none):
     assert suffix_tree.score_documents(none, held_tokens=0).count() == 0
 
 
+def test_pairs_and_far_gains_are_shuffled_as_blocks(spark):
+    texts = [*(f"a{i % 7} b{i % 11} c{i} a{i % 7}" for i in range(400)), "", None, "x" * 100 + " tail\u00a0one"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    keys, starts = suffix_tree.token_keys(texts)
+    tokens = [w for t in texts for w in [*words_of(t), b""]]
+    assert len(set(zip(tokens, keys.tolist()))) == len(set(tokens)) == len(set(keys.tolist()))
+    assert np.diff(starts).tolist() == [len(words_of(t)) + 1 for t in texts]
+    count = collections.Counter(keys.tolist())
+    pairs: collections.Counter = collections.Counter()
+    for i, j in zip(starts, starts[1:]):
+        pairs.update(zip([suffix_tree.BEGIN, *keys[i:j].tolist()], keys[i:j].tolist()))
+    known = spark.createDataFrame([(k,) for k, n in count.items() if n >= 3], "key long")
+    got = {(r.ctx, r.low): r.n for r in suffix_tree.frequent_pairs(docs, known, 1, 5_000_000, 3).collect()}
+    assert got == {p: n for p, n in pairs.items() if n >= 3}
+    blocks = docs.mapInArrow(suffix_tree._count_pairs(1, suffix_tree._bitmap(known), 4), suffix_tree.BLOCKS)
+    assert blocks.count() <= 3 * 4 < len(got)
+    plan = suffix_tree.score_documents(docs, held_tokens=0, word_share=1e-1, pair_share=1e-1)._jdf.queryExecution().toString()
+    assert "_gains_by_row" in plan and "Generate explode" not in plan  # no row a looked up key
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    from stridelake.llm.common import shuffles_dropped
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    with shuffles_dropped(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key) == before
+
+
 def test_a_large_corpus_keeps_rare_contexts(spark):
     # 5 million training tokens: the shares alone would ask for 10 occurrences of a word and 5 of a pair
     rows = [(i, "a b " * 250_000) for i in range(1, 12)] + [(100 + i, "seldom seen words") for i in range(4)] + [(200, "words seen seldom")]
