@@ -10,9 +10,10 @@ A token is scored in the longest suffix that is a node.
 Size: contexts and (context, next) pairs of ``least`` occurrences and more belong to the model, whatever the
 corpus. Up to ``held_tokens`` training tokens the tree is held whole (``Tree``). Of a larger corpus the same
 model is a set of distributed tables (``_tables``): n-grams are 64-bit keys, and the score of a text is a
-sum over its n-grams of one value each, so it is a join and a sum. The tasks hold only the
+sum over its n-grams of one value each, so it is a lookup and a sum. The tasks hold only the
 values of the commonest words (at most ``0.5/word_share``) and n-grams (``2/pair_share``), which saves
-shuffling these, and a bitmap of fixed size that tells most n-grams without a value; all others are joined.
+shuffling these, and a bitmap of fixed size that tells most n-grams without a value; the keys of all others are dealt to the
+tasks that have a range of the values. Pairs to count, keys and gains are shuffled as arrays of a bucket each.
 """
 
 from __future__ import annotations
@@ -356,11 +357,11 @@ def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BLOCKS = "bucket int, ctx binary, low binary, n binary"
 
 
-def _count_pairs(order: int, lower: np.ndarray, buckets: int, held: int = 1_000_000):
+def _count_pairs(order: int, lower: np.ndarray, buckets: int, held: int = 1_500_000):
     """Counts of the pairs of one order of which both n-grams of the order below are in the bitmap.
 
     Most pairs occur once or twice, and millions of rows of them cost more than their bytes. So a row has the pairs of
-    one bucket (a range of their keys), as arrays sorted by context, which the shuffle's codec shortens.
+    one bucket (a sixteenth of a range of contexts), as arrays sorted by context, which the shuffle's codec shortens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +372,7 @@ def _count_pairs(order: int, lower: np.ndarray, buckets: int, held: int = 1_000_
             context, low = (np.concatenate(c) for c in zip(*rows))
             at, n = _counted(_pair_keys(order, context, low))
             context, low = context[at], low[at]
-            bucket = _bucket(_pair_keys(order, context, low), buckets)
+            bucket = _bucket(context ^ (low & (-1 << 60)), buckets)
             by = np.argsort((bucket << (np.uint64(64) - bits)) | (context.view(np.uint64) >> bits))
             bucket, *columns = _blocks(bucket[by], context[by], low[by], n[by].astype(np.int32))
             yield pa.RecordBatch.from_arrays([bucket, *columns], names=["bucket", "ctx", "low", "n"])
